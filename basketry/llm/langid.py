@@ -1,9 +1,10 @@
 """Language identification by compression.
 
-For each language a raw-content zstandard dictionary is made of a bounded sample of its labelled texts. A text is cut
-into blocks, each block is compressed with every language's dictionary, and the language whose total over the whole
-text is smallest is chosen. The margin is the share by which the runner-up is larger; texts with a narrow margin are
-rejected.
+For each language a raw-content zstandard dictionary is made of a bounded sample of its labelled texts. Texts are
+lower-cased and everything but letters becomes a blank. A text is cut into blocks, each block is compressed with every
+language's dictionary, and the language whose total over the whole text is smallest is chosen. Short texts are set
+behind a run of blanks, so that their blocks aren't stored as they are, and searched for shorter matches. The margin
+is the share by which the runner-up is larger; texts with a narrow margin are rejected.
 
 Defined results: null texts and texts without a letter get "und", score 0 and are rejected; ties go to the language
 that sorts first; repeated rows get equal results; with no labelled texts everything is "und"; a single language takes
@@ -15,11 +16,16 @@ from __future__ import annotations
 import regex
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 #: Bounds of what is learned from: rows of a language, characters of a text, bytes of a dictionary.
 MAX_TEXTS, MAX_CHARS, DICT_BYTES = 600, 1000, 112_640
-BLOCK, LEVEL, MARGIN = 1024, 1, 0.01
-LETTER = regex.compile(r"\p{L}")
+BLOCK, SHORT, MARGIN = 1024, 512, 0.01
+LETTER, OTHER = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}]+")
+
+
+def letters(text: str) -> bytes:
+    return OTHER.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
 def learn(labelled: DataFrame, max_texts: int = MAX_TEXTS, max_chars: int = MAX_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
@@ -33,7 +39,7 @@ def learn(labelled: DataFrame, max_texts: int = MAX_TEXTS, max_chars: int = MAX_
     out = {}
     for lang in sorted(langs):
         texts = [r["t"] for r in rows.where(F.col("lang") == lang).orderBy("h", "t").limit(max_texts).collect()]
-        blob = "\n".join(dict.fromkeys(texts)).encode("utf-8", "surrogatepass")
+        blob = b" ".join(letters(t) for t in dict.fromkeys(texts))
         if blob:
             out[lang] = blob[:dict_bytes]
     return out
@@ -42,16 +48,24 @@ def learn(labelled: DataFrame, max_texts: int = MAX_TEXTS, max_chars: int = MAX_
 class Classifier:
     """Chooses the language under whose dictionary a text compresses best."""
 
-    def __init__(self, dicts: dict[str, bytes], block: int = BLOCK, level: int = LEVEL):
-        self.langs, self.block = sorted(dicts), block
-        params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-        self.packers = []
+    def __init__(self, dicts: dict[str, bytes], block: int = BLOCK, short: int = SHORT):
+        self.langs, self.block, self.short = sorted(dicts), block, short
+        self.packers, self.short_packers = self._packers(dicts, min_match=4), self._packers(dicts, min_match=3, strategy=zstandard.STRATEGY_BTOPT)
+
+    def _packers(self, dicts: dict[str, bytes], **how) -> list:
+        out = []
         for lang in self.langs:
+            params = zstandard.ZstdCompressionParameters.from_level(
+                3, source_size=self.block, dict_size=len(dicts[lang]), write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS, **how
+            )
             d = zstandard.ZstdCompressionDict(dicts[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
-            self.packers.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
+            out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
+        return out
 
     def sizes(self, data: bytes) -> list[int]:
+        if len(data) <= self.short:
+            return [len(p.compress(b" " * 512 + data)) for p in self.short_packers]
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
         return [sum(map(len, map(p.compress, blocks))) for p in self.packers]
 
@@ -59,7 +73,7 @@ class Classifier:
         """(language, score from 0 to 1, margin)."""
         if not self.langs or text is None or not LETTER.search(text):
             return "und", 0.0, 0.0
-        sizes = self.sizes(text.encode("utf-8", "surrogatepass"))
+        sizes = self.sizes(letters(text))
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         if len(order) == 1:
             return self.langs[0], 1.0, 1.0
@@ -70,31 +84,15 @@ class Classifier:
 
 def identify(docs: DataFrame, dicts: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """docs (with text) -> its columns and lang_pred, score, margin, rejected."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = StructType(list(docs.schema)).add("lang_pred", StringType()).add("score", DoubleType()).add("margin", DoubleType())
 
     def run(batches):
-        judge = Classifier(dicts)
-        for pdf in batches:
-            found = [judge(t if isinstance(t, str) else None) for t in pdf["_lid_text"]]
-            yield pdf[["_lid_key"]].assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found], margin=[x[2] for x in found])
-
-    del fields
-    if docs.columns == ["doc_id", "text"]:  # what goes to Python is all there is
-        rows = docs.select(F.col("doc_id").alias("_lid_key"), F.col("text").alias("_lid_text"))
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        out = rows.mapInPandas(run, f"_lid_key {kind}, lang_pred string, score double, margin double").withColumnRenamed("_lid_key", "doc_id")
-        return out.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("margin") < margin))
-
-    def run_all(batches):
         judge = Classifier(dicts)
         for pdf in batches:
             found = [judge(t if isinstance(t, str) else None) for t in pdf["text"]]
             yield pdf.assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found], margin=[x[2] for x in found])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType(list(docs.schema)).add("lang_pred", StringType()).add("score", DoubleType()).add("margin", DoubleType())
-    return docs.mapInPandas(run_all, schema).withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("margin") < margin))
+    return docs.mapInPandas(run, schema).withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("margin") < margin))
 
 
 def held_out():
