@@ -17,7 +17,7 @@ import bisect
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import written
+from .shared import small, written
 
 BLOCKS, SLOT_BLOCKS, PROBES = 4096, 256, 31
 
@@ -29,7 +29,7 @@ def running_sums(groups: DataFrame) -> tuple[DataFrame, list[int]]:
     offsets = [0]
     for b in range(BLOCKS):
         offsets.append(offsets[-1] + sums.get(b, 0))
-    starts = F.broadcast(groups.sparkSession.createDataFrame(list(enumerate(offsets[:-1])), "block int, start long"))
+    starts = F.broadcast(small(groups.sparkSession, "block int, start long", list(enumerate(offsets[:-1]))))
     w = Window.partitionBy("block").orderBy("gkey")
     return written(groups.join(starts, "block").select("gkey", "bytes", "block", (F.col("start") + F.sum("bytes").over(w)).alias("cum")), "cums"), offsets
 
@@ -45,7 +45,7 @@ def last_at_most(cums: DataFrame, offsets: list[int], values: list[int]) -> list
             out[i] = offsets[b]
             ask.append((i, b, v))
     if ask:
-        q = F.broadcast(cums.sparkSession.createDataFrame(ask, "i int, block int, v long"))
+        q = F.broadcast(small(cums.sparkSession, "i int, block int, v long", ask))
         found = cums.where(F.col("block").isin(sorted({b for _, b, _ in ask}))).join(q, "block").where("cum <= v").groupBy("i").agg(F.max("cum").alias("c"))
         for r in found.collect():  # a row for each value at most
             out[r["i"]] = max(out[r["i"]], r["c"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -38,3 +39,11 @@ def ascii_lower(col):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    """A small table from the driver as a literal in the plan: no Python on the executors. columns: "a int, b long"."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    data = json.dumps([dict(zip(names, r)) for r in rows])
+    kind = ", ".join(c.replace(" ", ": ", 1) for c in columns.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{kind}>>")))
