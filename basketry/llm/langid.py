@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from .shared import hash_sample
+
 #: Bounds of what is learned from: rows of a language, characters of a text, bytes of a dictionary.
 MAX_TEXTS, MAX_CHARS, DICT_BYTES = 600, 1000, 112_640
 BLOCK, SHORT, MARGIN = 1024, 512, 0.01
@@ -31,16 +33,15 @@ def letters(text: str) -> bytes:
 def learn(labelled: DataFrame, max_texts: int = MAX_TEXTS, max_chars: int = MAX_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """labelled (text, lang) -> a dictionary's bytes for each language, from at most max_texts texts of each.
 
-    The texts taken are those whose hash is smallest, whatever the order of rows. Each task passes on at most
-    max_texts texts of a language; texts go round into the dictionary until it is full.
+    The texts taken are those whose hash is smallest, whatever the order of rows; they fill the dictionary in that order.
     """
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, max_chars).alias("t"))
-    langs = [r[0] for r in rows.select("lang").distinct().collect()]
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.substring("text", 1, max_chars).alias("text"))
+    texts: dict[str, list[str]] = {}
+    for r in hash_sample(rows, max_texts, "lang"):
+        texts.setdefault(r["lang"], []).append(r["text"])
     out = {}
-    for lang in sorted(langs):
-        texts = [r["t"] for r in rows.where(F.col("lang") == lang).orderBy("h", "t").limit(max_texts).collect()]
-        blob = b" ".join(letters(t) for t in dict.fromkeys(texts))
-        if blob:
+    for lang, own in texts.items():
+        if blob := b" ".join(letters(t) for t in own[:max_texts]):
             out[lang] = blob[:dict_bytes]
     return out
 

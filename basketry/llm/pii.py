@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from .shared import hash_sample
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 SURE, ROUNDS, MAX_TRAIN = 0.8, 12, 1000
@@ -205,8 +207,8 @@ class Model:
 
 def train(docs: DataFrame, max_texts: int = MAX_TRAIN) -> Model:
     """A model from the max_texts texts with digits or an at sign whose hash is smallest, of at most 20,000 characters."""
-    rows = docs.where("text IS NOT NULL AND length(text) <= 20000").where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h"))
-    return Model.fit(sorted(dict.fromkeys(r["text"] for r in rows.orderBy("h", "text").limit(max_texts).collect())))
+    rows = docs.where("text IS NOT NULL AND length(text) <= 20000").where(F.col("text").rlike("[0-9@]")).select("text")
+    return Model.fit([r["text"] for r in hash_sample(rows, max_texts)[:max_texts]])
 
 
 def said(spans) -> str:

@@ -47,3 +47,20 @@ def small(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     data = json.dumps([dict(zip(names, r)) for r in rows])
     kind = ", ".join(c.replace(" ", ": ", 1) for c in columns.split(", "))
     return spark.range(1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{kind}>>")))
+
+
+def hash_sample(rows: DataFrame, most: int, by: str | None = None) -> list:
+    """Rows (text, and by) of at most about 1.5 * most distinct texts for each value of by, the smallest hashes first.
+
+    Whether a text is taken depends on its own hash and the number of rows alone, so no task passes on more than its
+    share, and a text that many rows have comes once.
+    """
+    key = [by] if by else []
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n")).collect()  # a row for each value of by
+    limit = F.lit(-(1 << 63))
+    for r in counts:
+        share = min(1.0, 1.5 * most / max(1, r["n"]))
+        here = F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+        limit = F.when(F.col(by) == F.lit(r[by]), here).otherwise(limit) if by else here
+    few = rows.withColumn("_h", F.xxhash64("text")).where(F.col("_h") <= limit)
+    return sorted(few.groupBy(*key, "_h").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["_h"], r["text"]))
