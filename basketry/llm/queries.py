@@ -1,12 +1,13 @@
 """The queries opN_<name>, each over the whole of its table, and the SQL of those that SQL can express."""
 
-from . import decontam, fingerprint_index, langid, packing, pii, sharding, url_filter
+from . import decontam, fingerprint_index, jaccard, langid, packing, pii, sharding, url_filter
 
 QUERIES = {
     "op2_decontamination": decontam.op2,
     "op3_packing": packing.op3,
     "op4_language_id": langid.op4,
     "op5_url_filter": url_filter.op5,
+    "op6_jaccard_join": jaccard.op6,
     "op8_substring_dedup": fingerprint_index.op8,
     "op9_pii": pii.op9,
     "op10_sharding": sharding.op10,
