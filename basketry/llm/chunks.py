@@ -28,7 +28,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def pack_blob(ids: list, texts: list[bytes]) -> bytes:
-    return zstandard.compress(pickle.dumps((ids, [len(t) for t in texts], b"".join(texts)), 5), 1)
+    return zstandard.compress(pickle.dumps((ids, [len(t) for t in texts], b"".join(texts)), 5), 3)
 
 
 class Chunk:
@@ -150,9 +150,9 @@ def powers(base: int, n: int) -> np.ndarray:
 class Rolling:
     """Hashes of any byte ranges of data in constant time each."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, codes: np.ndarray = BYTE_CODES):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODES[data] * powers(BASE, len(data))[: len(data)], out=self.sums[1:])
+        np.cumsum(codes[data] * powers(BASE, len(data))[: len(data)], out=self.sums[1:])
         self.back = powers(INVERSE, len(data) + 1)
 
     def __call__(self, start, stop) -> np.ndarray:

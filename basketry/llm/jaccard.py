@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .chunks import CHUNK_BYTES, IDX_BITS, Chunk, WordTable, at_chunks, bucket_bits, by_bucket, contains, decode_sorted, encode_sorted, mix, send_runs, write_chunks
 from .components import components
-from .shared import written
+from .shared import discard, written
 
 SHINGLE, NUM, DEN = 5, 3, 4  # words; similarity 3 / 4
-FORESTS, CLASSES = 2, 512
+FORESTS, CLASSES, PARTS = 2, 512, 4096
 
 
 def shingle_sets(chunk: Chunk, size: int = SHINGLE) -> list[np.ndarray]:
@@ -147,7 +147,7 @@ def postings_and_sets(chunks: DataFrame, answers: DataFrame, size: int, bits: in
 
 
 def long_lists(posts: DataFrame) -> DataFrame:
-    """Postings of shingles that at least two documents post, as rows: (bucket, h, rid, n, pos, bits)."""
+    """Postings of shingles that at least two documents post, as rows: (h, rid, n, pos, bits)."""
 
     def run(pdf):
         rows = np.concatenate([np.frombuffer(zstandard.decompress(b), POST) for b in pdf["blob"]])
@@ -159,11 +159,11 @@ def long_lists(posts: DataFrame) -> DataFrame:
         raw = np.ascontiguousarray(rows["bits"]).tobytes()
         w = CLASSES // 8
         return pd.DataFrame({
-            "bucket": int(pdf["bucket"].iloc[0]), "h": np.ascontiguousarray(rows["h"]).view(np.int64), "rid": rows["rid"].astype(np.int64), "n": rows["n"].astype(np.int64), "pos": rows["pos"].astype(np.int64),
+            "h": np.ascontiguousarray(rows["h"]).view(np.int64), "rid": rows["rid"].astype(np.int64), "n": rows["n"].astype(np.int64), "pos": rows["pos"].astype(np.int64),
             "bits": [raw[i * w : i * w + w] for i in range(len(rows))],
         })
 
-    return posts.groupBy("bucket").applyInPandas(run, "bucket int, h long, rid long, n long, pos long, bits binary")
+    return posts.groupBy("bucket").applyInPandas(run, "h long, rid long, n long, pos long, bits binary")
 
 
 def passing(n, pos, bits, i: int, js: np.ndarray) -> np.ndarray:
@@ -219,7 +219,8 @@ def candidates(lists: DataFrame, comps: DataFrame | None, forest: bool) -> DataF
                 out.update((min(x), max(x)) for x in list_pairs(rid[s:e], n[s:e], pos[s:e], bits[s:e], comp[s:e], forest))
         return pd.DataFrame(sorted(out), columns=["a", "b"])
 
-    return rows.select("bucket", "h", "rid", "n", "pos", "bits", "comp").groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
+    # Many more parts than there are tasks, so that a task can't get several of the longest lists.
+    return rows.select(F.pmod(F.xxhash64("h"), F.lit(PARTS)).alias("part"), "h", "rid", "n", "pos", "bits", "comp").groupBy("part").applyInPandas(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -251,6 +252,7 @@ def similarity_groups(docs: DataFrame, size: int = SHINGLE, chunk_bytes: int = C
     answers = answers.unionByName(copies.select("chunk", F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("binary").alias("extra"), "idx"))
     out = written(postings_and_sets(chunks, answers, size, bits), "posted")
     lists = written(long_lists(out.where("kind = 0").select("bucket", "blob")), "lists")
+    discard(chunks, keys)
     sets = out.where("kind = 1").select("rid", "n", "blob")
     links, comps = None, None
     for step in range(FORESTS + 1):
@@ -262,6 +264,7 @@ def similarity_groups(docs: DataFrame, size: int = SHINGLE, chunk_bytes: int = C
             break
         links = new if links is None else links.union(new)
         comps = written(components(links).select(F.col("node").alias("rid"), F.col("root").alias("comp")), "comps")
+    discard(out, lists)
     rows = members
     if comps is not None:
         rows = members.join(comps.withColumnRenamed("rid", "rep"), "rep", "left").withColumn("rep", F.coalesce("comp", "rep"))

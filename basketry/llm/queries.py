@@ -1,8 +1,9 @@
 """The queries opN_<name>, each over the whole of its table, and the SQL of those that SQL can express."""
 
-from . import decontam, fingerprint_index, jaccard, langid, packing, pii, sharding, url_filter
+from . import decontam, fingerprint_index, jaccard, langid, packing, pii, run_length_index, sharding, url_filter
 
 QUERIES = {
+    "op1_substring_index": run_length_index.op1,
     "op2_decontamination": decontam.op2,
     "op3_packing": packing.op3,
     "op4_language_id": langid.op4,
