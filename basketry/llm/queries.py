@@ -1,6 +1,6 @@
 """The queries opN_<name>, each over the whole of its table, and the SQL of those that SQL can express."""
 
-from . import decontam, fingerprint_index, jaccard, langid, packing, pii, run_length_index, sharding, url_filter
+from . import decontam, digest, fingerprint_index, jaccard, langid, packing, pii, run_length_index, sharding, url_filter
 
 QUERIES = {
     "op1_substring_index": run_length_index.op1,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_language_id": langid.op4,
     "op5_url_filter": url_filter.op5,
     "op6_jaccard_join": jaccard.op6,
+    "op7_fingerprints": digest.op7,
     "op8_substring_dedup": fingerprint_index.op8,
     "op9_pii": pii.op9,
     "op10_sharding": sharding.op10,
