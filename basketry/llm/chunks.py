@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .shared import written
 
-CHUNK_BYTES, IDX_BITS = 4 << 20, 20
+CHUNK_BYTES, IDX_BITS = 2 << 20, 20
 MASK = (1 << 64) - 1
 #: Odd multiplier of the rolling hash and its inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
@@ -85,7 +85,7 @@ def write_chunks(docs: DataFrame, ordered: bool = False, chunk_bytes: int = CHUN
 
 
 def bucket_bits(chunks: DataFrame) -> int:
-    return max(4, int(chunks.count() - 1).bit_length())
+    return max(4, int(chunks.count()).bit_length() - 1)
 
 
 # Sorted hashes as bytes

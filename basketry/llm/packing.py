@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 SIZE, BLOCK, STRETCH = 2048, 1 << 20, 32
 AFTER_SENTENCE, INSIDE, TAIL = 2, 24, 64
-CACHE = 500_000
+CACHE = 200_000
 #: Texts of these characters alone are split here, word by word; others go to the tokenizer whole.
 ELSE = re.compile("[^\t\n\r -~¡-ɏ]|<\\|")
 #: The tokenizer's own split, written for those characters.

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from .chunks import CHUNK_BYTES, Chunk, Rolling, at_chunks, bucket_bits, by_bucket, contains, decode_sorted, encode_sorted, mix, send_runs, write_chunks
 from .shared import written
 
-K, G, HOT, INDEX_BYTES = 400, 32, 512, 2 << 20
+K, G, HOT, INDEX_BYTES = 400, 128, 512, 2 << 20
 NONE = np.empty(0, np.uint64)
 WHOLE, SEND, MANY = 1, 2, 4
 CONTEXT = np.dtype([("h", "<u8"), ("chunk", "<i8"), ("start", "<i8"), ("span", "<i4"), ("size", "<i4"), ("open", "?")])
@@ -68,7 +68,7 @@ class Anchors:
         pick = (least[starts] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (pick[1:] != pick[:-1]) | (starts[1:] != starts[:-1] + 1)]))
         self.start, last = starts[new], starts[np.append(new[1:], len(starts)) - 1]
-        self.span, self.h = last - self.start, v[pick[new]]
+        self.span, self.h = last - self.start, mix(v[pick[new]] + np.uint64(1))  # the least hashes aren't spread evenly
         view, off = memoryview(chunk.data), pick[new] - self.start
         c = [xxhash.xxh3_64_intdigest(view[a:b], seed=o) for a, b, o in zip(self.start.tolist(), (last + k).tolist(), off.tolist())]
         self.c = np.asarray(c, np.uint64)
@@ -196,11 +196,9 @@ class RunLengthIndex:
         # The first place of the text has nothing before it: both its neighbours are sampled too.
         at0 = int(np.flatnonzero(sa == 0)[0])
         down = np.union1d(ends, [i for i in (at0, at0 + 1) if 0 < i < self.n])
-        up = down - 1
-        codes = mix(np.arange(1, 513, dtype=np.uint64))
-        rolling = Rolling(t, codes)
-        self.before = self._sample(sa[down], self._common(rolling, sa[down - 1], sa[down]), sa[0])
-        self.behind = self._sample(sa[up], self._common(rolling, sa[up], sa[up + 1]), sa[-1])
+        common = self._common(Rolling(t, mix(np.arange(1, 513, dtype=np.uint64))), sa[down - 1], sa[down])
+        self.before = self._sample(sa[down], common, sa[0])
+        self.behind = self._sample(sa[down - 1], common, sa[-1])
 
     def _common(self, rolling: Rolling, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of common prefixes, by binary search over rolling hashes."""
