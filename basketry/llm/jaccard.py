@@ -29,6 +29,9 @@ from .shared import discard, written
 
 SHINGLE, NUM, DEN = 5, 3, 4  # words; similarity 3 / 4
 FORESTS, CLASSES, PARTS = 2, 512, 4096
+#: Counting looks at the upper 44 bits of a shingle's hash. Shingles that agree there are counted together, and too high
+#: a count only means that a document posts more than it has to.
+COUNTED = np.uint64(~0xFFFFF & (1 << 64) - 1)
 
 
 def shingle_sets(chunk: Chunk, size: int = SHINGLE) -> list[np.ndarray]:
@@ -77,7 +80,7 @@ def set_keys(chunks: DataFrame, kind: str, size: int) -> DataFrame:
 
 def own_counts(size: int):
     def hashes(chunk: Chunk):
-        a, n = np.unique(np.concatenate([*shingle_sets(chunk, size), np.empty(0, np.uint64)]), return_counts=True)
+        a, n = np.unique(np.concatenate([*shingle_sets(chunk, size), np.empty(0, np.uint64)]) & COUNTED, return_counts=True)
         return a, n.astype(np.uint32)
 
     return hashes
@@ -122,7 +125,7 @@ def postings_and_sets(chunks: DataFrame, answers: DataFrame, size: int, bits: in
         for i, s in enumerate(shingle_sets(chunk, size)):
             if not len(s) or i in skip:
                 continue
-            common = contains(known, s)
+            common = contains(known, s & COUNTED)
             if not common.any():
                 continue
             n_alone = int(len(s) - common.sum())
@@ -130,7 +133,7 @@ def postings_and_sets(chunks: DataFrame, answers: DataFrame, size: int, bits: in
             if p <= 0:
                 continue
             own = s[common]
-            rank = np.lexsort((own, df[np.searchsorted(known, own)]))[:p]
+            rank = np.lexsort((own, df[np.searchsorted(known, own & COUNTED)]))[:p]
             rid = (number << IDX_BITS) + i
             rows = np.zeros(len(rank), POST)
             rows["h"], rows["rid"], rows["n"], rows["pos"] = own[rank], rid, len(s), n_alone + np.arange(len(rank))
