@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -30,17 +33,27 @@ def collapse_combos(df: DataFrame, group: str, name: str, separator: str = " ")
     return df.join(parts, [group, name], "left_anti")
 
 
+@lru_cache(100_000)
+def similarity(a: str, b: str) -> float:
+    if a == b:
+        return 1.0
+    return 0.9 if a in b or b in a else difflib.SequenceMatcher(None, a, b).ratio()
+
+
 def greedy_similarity(df: DataFrame, group: str, name: str, pos: str, limit: float = 0.9) -> DataFrame:
     """Rows of a group go if too similar to an earlier one that stays. Depends on order, so each group (one basket) is read in one piece."""
-    import difflib
 
     def run(pdf):
-        kept, keep = [], []
-        for x in pdf.sort_values(pos)[name]:
-            near = any((0.9 if x in k or k in x else difflib.SequenceMatcher(None, k, x).ratio()) > limit or x == k for k in kept)
-            keep.append(not near)
-            if not near:
+        pdf = pdf.sort_values([group, pos])
+        keep, now, kept = [], None, []
+        for g, x in zip(pdf[group], pdf[name]):
+            if g != now:
+                now, kept = g, []
+            keep.append(not any(similarity(k, x) > limit for k in kept))
+            if keep[-1]:
                 kept.append(x)
-        return pdf.sort_values(pos)[keep]
+        return pdf[keep]
 
-    return df.groupBy(group).applyInPandas(run, df.schema)
+    # Many groups to a call: a call for each small group would cost more than the work.
+    parts = df.withColumn("_part", F.pmod(F.xxhash64(group), F.lit(1024)))
+    return parts.groupBy("_part").applyInPandas(lambda pdf: run(pdf).drop(columns="_part"), df.schema)

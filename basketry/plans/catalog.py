@@ -8,6 +8,7 @@ from ..functions import strings as S
 from ..operators import dedupe, pairs, rules
 from ..operators.rules import Rule
 from ..sources.tables import MENTIONS_SQL, mentions, read
+from ..streaming.buffer import drain_events
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -290,6 +291,15 @@ def _(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.get(found, 0).alias("first"))
 
 
+@query("streaming_user_buffer", "WITH s AS (SELECT *, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seg FROM events) SELECT user_id, event_id, seg, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, seg ORDER BY ts, event_id) AS BIGINT) AS held FROM s", with_mentions=False)
+def _(spark, sf):
+    import tempfile
+
+    # The cluster's shared folder; only where none is named (tests on one machine) a folder of this one.
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    return drain_events(spark, sf, folder)
+
+
 @query("greedy_similarity_dedupe")
 def _(spark, sf):
     return dedupe.greedy_similarity(mentions(spark, sf).select("rx_id", "pos", "name"), "rx_id", "name", "pos")
