@@ -33,7 +33,7 @@ def dictionary_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
         p = jvm.org.apache.hadoop.fs.Path(path)
         if p.getFileSystem(conf).exists(p):
             raw = spark.read.csv(path, header=True, schema=DICTIONARY)
-            return raw.withColumn("interactions", F.filter(F.transform(F.split("interactions", ","), F.trim), lambda x: x != ""))
+            return raw.withColumn("interactions", F.filter(F.transform(F.split("interactions", ","), lambda x: F.trim(x)), lambda x: x != ""))
     raise FileNotFoundError(", ".join(paths))
 
 
