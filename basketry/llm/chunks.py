@@ -18,7 +18,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import written
+from .shared import small_batches, written
 
 CHUNK_BYTES, IDX_BITS = 2 << 20, 20
 MASK = (1 << 64) - 1
@@ -51,6 +51,7 @@ def write_chunks(docs: DataFrame, ordered: bool = False, chunk_bytes: int = CHUN
 
     ordered: chunks follow each other by doc_id, nulls first, and equal ids share a chunk; texts travel compressed.
     """
+    small_batches(docs.sparkSession)
     if ordered:
         kind = docs.schema["doc_id"].dataType
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .chunks import CHUNK_BYTES, Rolling, mix
 from .run_length_index import sliding_min
-from .shared import small, written
+from .shared import small, small_batches, written
 
 SIZE, POINTS, FULL, BITS, STEPS = 64, 16, 160, 2048, 1000
 #: c * log2(c) in integers, so that sums are exact.
@@ -145,6 +145,7 @@ def neighbours(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     kind 0: (blob of ids and texts, and that text, if the partition has it). kind 1, a row for each partition: its
     first document and its last text, for which the partitions next to it wait.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def squeeze(batches):

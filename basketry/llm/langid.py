@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .shared import hash_sample
+from .shared import hash_sample, small_batches
 
 #: Bounds of what is learned from: rows of a language, characters of a text, bytes of a dictionary.
 MAX_TEXTS, MAX_CHARS, DICT_BYTES = 600, 1000, 112_640
@@ -85,6 +85,7 @@ class Classifier:
 
 def identify(docs: DataFrame, dicts: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """docs (with text) -> its columns and lang_pred, score, margin, rejected."""
+    small_batches(docs.sparkSession)
     schema = StructType(list(docs.schema)).add("lang_pred", StringType()).add("score", DoubleType()).add("margin", DoubleType())
 
     def run(batches):

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .shared import small_batches
+
 SIZE, BLOCK, STRETCH = 2048, 1 << 20, 32
 AFTER_SENTENCE, INSIDE, TAIL = 2, 24, 64
 CACHE = 200_000
@@ -162,6 +164,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, block: int = BLOCK, with_
         if held:
             yield pieces(held, first)[0]
 
+    small_batches(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInPandas(run, fields)
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .shared import hash_sample
+from .shared import hash_sample, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -217,6 +217,7 @@ def said(spans) -> str:
 
 def find(docs: DataFrame, model: Model) -> DataFrame:
     """docs (with text) -> its columns, base and spans (lists of "kind:start:end" joined by commas)."""
+    small_batches(docs.sparkSession)
     parts = json.dumps([model.weights.tolist(), model.chain.tolist(), model.skip.tolist()])
     schema = StructType([*docs.schema, StructField("base", StringType()), StructField("spans", StringType()), StructField("counts", ArrayType(LongType()))])
 
@@ -237,6 +238,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; spans that overlap become one."""
+    small_batches(docs.sparkSession)
     parts = json.dumps([model.weights.tolist(), model.chain.tolist(), model.skip.tolist()])
 
     def run(batches):

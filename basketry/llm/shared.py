@@ -34,6 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 400) -> None:
+    """Rows of whole documents go to Python a few hundred at a time, so that a worker holds a few MB of texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing will read again."""
     for df in tables:
