@@ -7,12 +7,13 @@ from pyspark.sql import Window, functions as F
 from ..functions import strings as S
 from ..operators import dedupe, pairs, rules
 from ..operators.rules import Rule
-from ..sources.tables import MENTIONS_SQL, mentions, read
+from ..sources.tables import mentions, read
 from ..streaming.buffer import drain_events
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "class_rule_report"
+#: A dictionary that travels as a literal may have so many names; a larger one is an error, never cut.
+MOST_NAMES = 10_000
 
 TAGS = {"PROMO": ("A", "X"), "ECONOMY": ("B", "X"), "SMALL": ("C",), "LARGE": ("D",), "MEDIUM": ("E",), "STANDARD": ("F",)}
 PAIR_RULES = [("PROMO", "SMALL", "contraindicated"), ("SMALL", "PROMO", "caution"), ("LARGE", "ECONOMY", "caution"), ("MEDIUM", "MEDIUM", "duplicate"), ("STANDARD", "PROMO", "monitor")]
@@ -29,16 +30,6 @@ CLASS_RULES = [
 TAGGED_SQL = "t AS (SELECT rx_id, name, tag FROM m JOIN (VALUES " + ", ".join(f"('{k}', '{t}')" for k, ts in TAGS.items() for t in ts) + ") AS v(cls, tag) USING (cls))"
 
 
-def query(name: str, sql: str | None = None, with_mentions: bool = True):
-    def put(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = f"WITH {MENTIONS_SQL}{sql if sql.lstrip().startswith(',') else ' ' + sql}" if with_mentions else sql
-        return fn
-
-    return put
-
-
 def score():
     return F.when(F.col("qty") >= 25, 1).otherwise(0) + F.when(F.col("tax") > 0.02, 1).otherwise(0) + F.col("confidence")
 
@@ -186,7 +177,9 @@ def _(spark, sf):
 def _(spark, sf):
     """Distinct names only (a dictionary, tens of rows) meet the distinct questions: the dictionary travels as one array, in one row for each question."""
     parts = read(spark, sf, "part")
-    words = sorted(r[0] for r in parts.select("p_name").distinct().limit(100_000).collect())
+    words = sorted(r[0] for r in parts.select("p_name").distinct().limit(MOST_NAMES + 1).collect())
+    if len(words) > MOST_NAMES:
+        raise ValueError(f"a dictionary of more than {MOST_NAMES} names is no literal")
     q = parts.select(F.concat(F.replace("p_name", F.lit("e"), F.lit("a")), F.lit("s")).alias("q")).distinct()
     best = F.array_min(F.transform(F.array(*map(F.lit, words)), lambda n: F.struct(F.levenshtein(F.col("q"), n).alias("distance"), n.alias("name"))))
     return q.select("q", best.alias("x")).select("q", "x.name", "x.distance")
@@ -303,3 +296,6 @@ def _(spark, sf):
 @query("greedy_similarity_dedupe")
 def _(spark, sf):
     return dedupe.greedy_similarity(mentions(spark, sf).select("rx_id", "pos", "name"), "rx_id", "name", "pos")
+
+
+from . import basket_queries, lookup_queries, text_queries  # noqa: E402, F401 (they register theirs)
