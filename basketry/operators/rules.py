@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """kind: all_of, any_any (one of either list), at_least (distinct names), tag_sum (a name counts for each of its tags)."""
+    """kind: all_of, any_any (one of either list), at_least (distinct names), tag_sum (a name counts for each of its tags), with_least (one of others, and least distinct names of terms)."""
 
     id: str
     kind: str
@@ -33,14 +33,20 @@ def fires(rule: Rule) -> Column:
     if rule.kind == "any_any":
         return F.expr(f"arrays_overlap({have}, array({_sql_list(rule.terms)})) AND arrays_overlap({have}, array({_sql_list(rule.others)}))")
     listed = f"filter(items, x -> x.tag IN ({_sql_list(rule.terms)}))"
+    if rule.kind == "with_least":
+        return fires(Rule("", "at_least", rule.terms, least=rule.least)) & F.expr(f"arrays_overlap({have}, array({_sql_list(rule.others)}))")
     if rule.kind == "at_least":
         return F.expr(f"size(array_distinct(transform({listed}, x -> x.name))) >= {rule.least}")
     return F.expr(f"size({listed}) >= {rule.least}")
 
 
 def targets(rule: Rule) -> Column:
-    listed = f"filter(items, x -> x.tag IN ({_sql_list(rule.terms + rule.others)}))"
-    return F.expr(f"array_join(array_sort(array_distinct(transform({listed}, x -> x.name))), ', ')")
+    """The sorted names of the rule's classes."""
+    return F.expr(f"array_sort(array_distinct(transform(filter(items, x -> x.tag IN ({_sql_list(rule.terms + rule.others)})), x -> x.name)))")
+
+
+def comma_joined(names: Column) -> Column:
+    return F.array_join(names, ", ")
 
 
 def tagged(items: DataFrame, tags: dict[str, tuple], on: str) -> DataFrame:
@@ -48,8 +54,12 @@ def tagged(items: DataFrame, tags: dict[str, tuple], on: str) -> DataFrame:
     return items.withColumn("tag", F.explode(table[F.col(on)]))
 
 
-def evaluate(items: DataFrame, rules: list[Rule]) -> DataFrame:
-    """items (rx_id, name, tag) -> rx_id, rule_id, severity, priority, targets; rules that others suppress are left out."""
+def evaluate(items: DataFrame, rules: list[Rule], render=comma_joined) -> DataFrame:
+    """items (rx_id, name, tag) -> rx_id, rule_id, severity, priority, targets; rules that others suppress are left out.
+
+    render makes the targets' text of their sorted names. Rows without a name or a tag are in no class; a repeated row counts once.
+    """
+    items = items.where("name IS NOT NULL AND tag IS NOT NULL")
     baskets = items.groupBy("rx_id").agg(F.collect_set(F.struct("name", "tag")).alias("items"))
     by_id = {r.id: r for r in rules}
     found = []
@@ -57,7 +67,7 @@ def evaluate(items: DataFrame, rules: list[Rule]) -> DataFrame:
         ok = fires(r)
         for other in r.unless:
             ok = ok & ~fires(by_id[other])
-        found.append(F.when(ok, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.priority).alias("priority"), targets(r).alias("targets"))))
+        found.append(F.when(ok, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.priority).alias("priority"), render(targets(r)).alias("targets"))))
     return baskets.select("rx_id", F.explode(F.array_compact(F.array(*found))).alias("f")).select("rx_id", "f.*")
 
 
