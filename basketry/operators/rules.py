@@ -80,6 +80,8 @@ def evaluate_sql(rules: list[Rule], items: str) -> str:
             return " AND ".join(f"bool_or(tag = '{t}')" for t in r.terms)
         if r.kind == "any_any":
             return f"bool_or(tag IN ({_sql_list(r.terms)})) AND bool_or(tag IN ({_sql_list(r.others)}))"
+        if r.kind == "with_least":
+            return f"bool_or(tag IN ({_sql_list(r.others)})) AND count(DISTINCT CASE WHEN tag IN ({_sql_list(r.terms)}) THEN name END) >= {r.least}"
         if r.kind == "at_least":
             return f"count(DISTINCT CASE WHEN tag IN ({_sql_list(r.terms)}) THEN name END) >= {r.least}"
         return f"count(DISTINCT CASE WHEN tag IN ({_sql_list(r.terms)}) THEN name || '|' || tag END) >= {r.least}"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts as T
-from ..operators import lookup
-from ..sources.tables import read
+from ..operators import fragments, interactions, lookup, rules
+from ..sources.tables import mentions, read
 from .registry import query
 
 BOOK_SQL = "book AS (SELECT p_name AS drug_name, p_brand AS generic_name, min(p_partkey) AS ord FROM part GROUP BY ALL)"
@@ -86,3 +86,27 @@ def _(spark, sf):
 @query("rule_stats", "SELECT level, count(*) AS n FROM (VALUES ('major'), ('moderate'), ('moderate'), ('minor')) AS v(level) GROUP BY level", with_mentions=False)
 def _(spark, sf):
     return spark.range(4).select(F.element_at(F.array(*map(F.lit, ("major", "moderate", "moderate", "minor"))), F.col("id").cast("int") + 1).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
+
+
+MEDICINES = [*interactions.CLASSES, "レボフロキサシン"]
+ITEMS_SQL = "MEDS AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(MEDICINES)) + ") AS v(i, name)), cls AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, ts in interactions.CLASSES.items() for t in ts) + ") AS v(name, tag)), items AS (SELECT rx_id, MEDS.name, tag FROM m JOIN MEDS ON i = part % 27 LEFT JOIN cls ON MEDS.name = cls.name)"
+TITLES_SQL = "CASE rule_id " + " ".join(f"WHEN '{r.id}' THEN {i}" for i, r in enumerate(interactions.RULES)) + " END"
+SHOWN_SQL = "array_to_string(list_sort(list_distinct(list_transform(string_split(targets, ', '), lambda x: CASE x WHEN 'ニフェジピン' THEN 'ニフェジピン徐放' ELSE x END))), '、')"
+
+
+@query("interaction_report", f", {ITEMS_SQL}, f AS ({rules.evaluate_sql(interactions.RULES, 'items')}), n AS (SELECT rx_id, bool_or(name = 'レボフロキサシン') AS near FROM items GROUP BY rx_id), g AS (SELECT rx_id, rule_id || CASE WHEN rule_id <> '{interactions.BINDER}' THEN '' WHEN near THEN '{interactions.NOTES[0]}' ELSE '{interactions.NOTES[1]}' END AS title, severity, CAST(CASE WHEN rule_id = '{interactions.BINDER}' AND near THEN 2 ELSE priority END AS INTEGER) AS priority, {SHOWN_SQL} AS targets, {TITLES_SQL} AS ord FROM f JOIN n USING (rx_id)) SELECT rx_id, title, severity, priority, targets, CAST(row_number() OVER (PARTITION BY rx_id ORDER BY priority, ord) AS INTEGER) AS rank FROM g")
+def _(spark, sf):
+    """Every basket's report, with medicines in the places of parts."""
+    m = mentions(spark, sf)
+    name = F.element_at(F.array(*map(F.lit, MEDICINES)), (F.col("part") % len(MEDICINES)).cast("int") + 1)
+    none = F.lit(None).cast("string")
+    return interactions.report(m.select("rx_id", name.alias("generic"), none.alias("name"), none.alias("brand"), none.alias("raw")))
+CUT_PAIRS = [(a, b) for a in ("cold", "small", "red", "large", "fast") for b in ("widget", "bolt", "gear")]
+
+
+@query("fragment_merge")
+def _(spark, sf):
+    """Every word of a basket's names, cut apart and put together where the pair is known."""
+    m = mentions(spark, sf)
+    words = m.select("rx_id", F.posexplode(F.split("name", " ")).alias("k", "w"), "pos").select("rx_id", (F.col("pos") * 2 + F.col("k")).alias("pos"), F.col("w").alias("name"))
+    return fragments.merge_fragments(words, CUT_PAIRS)

@@ -45,3 +45,13 @@ def store_json(spark: SparkSession, path: str) -> DataFrame:
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
+
+
+def audit_lines(spark: SparkSession, path: str, drugs: str = "array<struct<generic string>>") -> DataFrame:
+    """Lines of an audit log: kind (record or error), session_id, drugs, has_interactions; other lines go. A record that is no JSON has nulls."""
+    schema = f"session_id string, timestamp string, drugs {drugs}, interactions struct<has_interactions boolean>"
+    line = F.col("value")
+    kind = F.when(F.contains(line, F.lit("DRUG_PROCESSING:")), "record").when(F.contains(line, F.lit("ERROR:")), "error")
+    body = F.from_json(F.regexp_extract(line, r"DRUG_PROCESSING:\s*(\{.*\})", 1), schema)
+    rows = spark.read.text(path).select(kind.alias("kind"), body.alias("b")).where("kind IS NOT NULL")
+    return rows.select("kind", "b.session_id", "b.timestamp", "b.drugs", F.coalesce("b.interactions.has_interactions", F.lit(False)).alias("has_interactions"))

@@ -48,3 +48,33 @@ def test_lookup_of_empty_and_null_names(spark):
     got = {r.q: (r.found, r.how) for r in lookup.exact_then_contains(asked, book).collect()}
     assert got == {"abc": ("abce", "contains"), "g": ("abcd", "exact"), "ab": (None, "none"), "": ("", "exact"), "zzz": (None, "none"), None: (None, "none")}
     assert lookup.exact_then_contains(asked, book.limit(0)).where("how <> 'none'").count() == 0
+
+
+def test_fragments_against_a_plain_loop(spark):
+    import random
+
+    from basketry.operators import fragments
+
+    pairs, rng = [("a", "b"), ("a", "c"), ("b", "b")], random.Random(3)
+    rows = [(i, [rng.choice("abcd") for _ in range(rng.randrange(7))]) for i in range(60)] + [(60, [None, "a", "b"]), (61, None)]
+
+    def plain(names):
+        names, used, out = [x for x in names or [] if x is not None], set(), []
+        for i, x in enumerate(names):
+            if i not in used:
+                j = next((j for j in range(i + 1, len(names)) if j not in used and (x, names[j]) in pairs), None)
+                out.append(x + (names[j] if j is not None else ""))
+                used.add(j)
+        return list(dict.fromkeys(out))
+
+    got = {r.i: r.x for r in spark.createDataFrame(rows, "i int, n array<string>").select("i", fragments.merged(F.col("n"), pairs).alias("x")).collect()}
+    assert got == {i: plain(n) for i, n in rows}
+
+
+def test_audit_lines(spark, tmp_path):
+    from basketry.sources.tables import audit_lines
+
+    path = tmp_path / "audit.log"
+    path.write_text('t DRUG_PROCESSING: {"session_id": "s", "drugs": [{"generic": "a"}, {"generic": "b"}], "interactions": {"has_interactions": true}}\nx ERROR: bad\nother\nDRUG_PROCESSING: {broken\n')
+    got = sorted((r.kind, r.session_id or "", len(r.drugs or []), r.has_interactions) for r in audit_lines(spark, str(path)).collect())
+    assert got == [("error", "", 0, False), ("record", "", 0, False), ("record", "s", 2, True)]
