@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from .strings import half_width
-from .texts import replace_fold
+from .texts import let, replace_fold
 
 # Words, maps and patterns that results depend on, in the order in which they hold.
 EXTERNAL = ("ゲル", "貼付", "外用", "軟膏", "クリーム")
@@ -63,7 +63,7 @@ def route(c: Column) -> Column:
 def generic_name(c: Column) -> Column:
     """Forms taken out; then the generic name of the first brand that is part of the name, else what is left."""
     base = replace_fold(c, [(f, "") for f in FORMS])
-    return F.coalesce(*(F.when(F.contains(base, F.lit(k)), v) for k, v in SYNONYMS.items()), base)
+    return let(base, lambda b: F.coalesce(*(F.when(F.contains(b, F.lit(k)), v) for k, v in SYNONYMS.items()), b))
 
 
 def same_key(name: Column, raw: Column, given_route: Column) -> Column:
@@ -92,9 +92,13 @@ def sanitized(c: Column) -> Column:
 
 def canonical(c: Column) -> Column:
     """Sanitized, then brand, alias, brand again."""
+
+    def through(entries):
+        return lambda x: F.coalesce(table(entries, x), x)
+
     c = sanitized(c)
     for entries in (BRANDS, ALIASES, BRANDS):
-        c = F.coalesce(table(entries, c), c)
+        c = let(c, through(entries))
     return c
 
 
@@ -104,8 +108,8 @@ def displayed(names: Column) -> Column:
     def show(x):
         for pattern in (r"(?i)\s*\d+(\.\d+)?\s*mg\b", "「.*?」", r"\s+"):
             x = F.regexp_replace(x, pattern, "")
-        x = F.when(F.contains(x, F.lit("徐放")), x).otherwise(F.replace(x, F.lit("ニフェジピン"), F.lit("ニフェジピン徐放")))
-        return F.coalesce(table(BRANDS, x), x)
+        x = let(x, lambda y: F.when(F.contains(y, F.lit("徐放")), y).otherwise(F.replace(y, F.lit("ニフェジピン"), F.lit("ニフェジピン徐放"))))
+        return let(x, lambda y: F.coalesce(table(BRANDS, y), y))
 
     shown = F.array_distinct(F.transform(names, show))
     return F.when(F.size(shown) > 0, F.array_join(shown, "、")).otherwise("（該当なし）")

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, fn) -> Column:
+    """fn of value, which is worked out once however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def replace_fold(c: Column, pairs: list[tuple[str, str]]) -> Column:
     """Replacements one after the other: a later one sees what an earlier one wrote."""
     for old, new in pairs:

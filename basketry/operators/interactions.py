@@ -51,19 +51,21 @@ RULES = [
     Rule("下剤の多剤併用", "at_least", ("LAXATIVE",), severity="併用注意"),
     Rule("甘草（芍薬甘草湯）＋刺激性下剤", "all_of", ("GLYCYRRHIZA", "STIM_LAX"), severity="併用注意", priority=1),
     Rule("刺激性下剤の重複", "at_least", ("STIM_LAX",), severity="併用注意", priority=1),
-    Rule("リン吸着薬／Ca製剤による他剤の吸収低下", "at_least", ("CALCIUM_BINDER", "PHOSPHATE_BINDER"), least=1, severity="併用注意", priority=3),
+    Rule("リン吸着薬／Ca製剤による他剤の吸収低下（該当薬あり：2時間以上間隔をあける）", "at_least", ("CALCIUM_BINDER", "PHOSPHATE_BINDER"), least=1, severity="併用注意", given=("CHELATED",)),
+    Rule("リン吸着薬／Ca製剤による他剤の吸収低下（該当薬なし：一般注意）", "at_least", ("CALCIUM_BINDER", "PHOSPHATE_BINDER"), least=1, severity="併用注意", priority=3, without=("CHELATED",)),
     Rule("エボカルセト＋下剤多剤（低Ca/QT延長リスク）", "with_least", ("LAXATIVE",), ("CALCIMIMETIC",), severity="併用注意", priority=3),
 ]
-#: Words of names whose uptake a binder lowers; one in the basket raises that rule's priority to 2.
+#: Words of names whose uptake a binder lowers: the class CHELATED.
 CHELATED = ("レボフロキサシン", "シプロフロキサシン", "モキシフロキサシン", "トスフロキサシン", "ミノサイクリン", "ドキシサイクリン", "テトラサイクリン", "レボチロキシン", "リオチロニン", "アレンドロネート", "リセドロネート", "ミノドロネート", "ミコフェノール", "硫酸鉄", "フマル酸第一鉄", "クエン酸第一鉄")
-BINDER, NOTES = "リン吸着薬／Ca製剤による他剤の吸収低下", ("（該当薬あり：2時間以上間隔をあける）", "（該当薬なし：一般注意）")
 
 
 def classified(mentions: DataFrame) -> DataFrame:
-    """mentions (rx_id, generic, name, brand, raw) -> rx_id, name, tag (a row for each class; one with a null tag for a name in none)."""
+    """mentions (rx_id, generic, name, brand, raw) -> rx_id, name, tag: a row for each class of a name."""
     book = F.create_map(*(x for k, v in CLASSES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     named = mentions.select("rx_id", first_text("generic", "name", "brand", "raw").alias("name"))
-    return named.select("rx_id", "name", F.explode_outer(F.coalesce(book[F.col("name")], book[canonical(F.col("name"))])).alias("tag"))
+    none = F.array().cast("array<string>")
+    chelated = F.when(F.col("name").rlike("|".join(CHELATED)), F.array(F.lit("CHELATED"))).otherwise(none)
+    return named.select("rx_id", "name", F.explode(F.concat(F.coalesce(book[F.col("name")], book[canonical(F.col("name"))], none), chelated)).alias("tag"))
 
 
 def report(mentions: DataFrame) -> DataFrame:
@@ -71,13 +73,7 @@ def report(mentions: DataFrame) -> DataFrame:
 
     Two rules of one title on calcium antagonists are one here. Null or blank names are in no class; an empty table has no findings.
     """
-    items = classified(mentions)
-    found = evaluate(items, RULES, displayed)
-    near = items.groupBy("rx_id").agg(F.bool_or(F.col("name").rlike("|".join(CHELATED))).alias("near"))
+    found = evaluate(classified(mentions), RULES, displayed)
     order = F.create_map(*(F.lit(x) for i, r in enumerate(RULES) for x in (r.id, i)))[F.col("rule_id")]
-    binder, near_too = F.col("rule_id") == BINDER, F.coalesce("near", F.lit(False))
-    out = found.join(near, "rx_id", "left").select(
-        "rx_id", F.when(binder, F.concat("rule_id", F.when(near_too, NOTES[0]).otherwise(NOTES[1]))).otherwise(F.col("rule_id")).alias("title"),
-        "severity", F.when(binder & near_too, 2).otherwise(F.col("priority")).alias("priority"), "targets", order.alias("ord"),
-    )
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("rx_id").orderBy("priority", "ord"))).drop("ord")
+    rank = F.row_number().over(Window.partitionBy("rx_id").orderBy("priority", order))
+    return found.select("rx_id", F.col("rule_id").alias("title"), "severity", "priority", "targets", rank.alias("rank"))

@@ -19,6 +19,10 @@ class Rule:
     severity: str = "moderate"
     priority: int = 2
     unless: tuple = field(default=())
+    #: Tags that must be there too, whose names are no targets.
+    given: tuple = field(default=())
+    #: Tags that must not be there.
+    without: tuple = field(default=())
 
 
 def _sql_list(terms) -> str:
@@ -40,6 +44,10 @@ def fires(rule: Rule) -> Column:
     return F.expr(f"size({listed}) >= {rule.least}")
 
 
+def has(tag: str) -> Column:
+    return F.array_contains(F.transform("items", lambda x: x.tag), tag)
+
+
 def targets(rule: Rule) -> Column:
     """The sorted names of the rule's classes."""
     return F.expr(f"array_sort(array_distinct(transform(filter(items, x -> x.tag IN ({_sql_list(rule.terms + rule.others)})), x -> x.name)))")
@@ -65,6 +73,10 @@ def evaluate(items: DataFrame, rules: list[Rule], render=comma_joined) -> DataFr
     found = []
     for r in rules:
         ok = fires(r)
+        for tag in r.given:
+            ok = ok & has(tag)
+        for tag in r.without:
+            ok = ok & ~has(tag)
         for other in r.unless:
             ok = ok & ~fires(by_id[other])
         found.append(F.when(ok, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.priority).alias("priority"), render(targets(r)).alias("targets"))))
@@ -88,7 +100,7 @@ def evaluate_sql(rules: list[Rule], items: str) -> str:
 
     parts = []
     for r in rules:
-        cond = " AND ".join([f"({test(r)})", *(f"NOT ({test(by_id[u])})" for u in r.unless)])
+        cond = " AND ".join([f"({test(r)})", *(f"bool_or(tag = '{g}')" for g in r.given), *(f"NOT bool_or(tag = '{g}')" for g in r.without), *(f"NOT ({test(by_id[u])})" for u in r.unless)])
         names = f"array_to_string(list_sort(list_distinct(list(name) FILTER (tag IN ({_sql_list(r.terms + r.others)})))), ', ')"
         parts.append(f"SELECT rx_id, '{r.id}' AS rule_id, '{r.severity}' AS severity, CAST({r.priority} AS INTEGER) AS priority, {names} AS targets FROM {items} GROUP BY rx_id HAVING {cond}")
     return "\nUNION ALL\n".join(parts)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import texts as T
 from ..operators import fragments, interactions, lookup, rules
 from ..sources.tables import mentions, read
+from . import prescription
 from .registry import query
 
 BOOK_SQL = "book AS (SELECT p_name AS drug_name, p_brand AS generic_name, min(p_partkey) AS ord FROM part GROUP BY ALL)"
@@ -89,12 +90,12 @@ def _(spark, sf):
 
 
 MEDICINES = [*interactions.CLASSES, "レボフロキサシン"]
-ITEMS_SQL = "MEDS AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(MEDICINES)) + ") AS v(i, name)), cls AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, ts in interactions.CLASSES.items() for t in ts) + ") AS v(name, tag)), items AS (SELECT rx_id, MEDS.name, tag FROM m JOIN MEDS ON i = part % 27 LEFT JOIN cls ON MEDS.name = cls.name)"
+ITEMS_SQL = "MEDS AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(MEDICINES)) + ") AS v(i, name)), cls AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, ts in [*interactions.CLASSES.items(), ("レボフロキサシン", ("CHELATED",))] for t in ts) + ") AS v(name, tag)), items AS (SELECT rx_id, MEDS.name, tag FROM m JOIN MEDS ON i = part % 27 LEFT JOIN cls ON MEDS.name = cls.name)"
 TITLES_SQL = "CASE rule_id " + " ".join(f"WHEN '{r.id}' THEN {i}" for i, r in enumerate(interactions.RULES)) + " END"
 SHOWN_SQL = "array_to_string(list_sort(list_distinct(list_transform(string_split(targets, ', '), lambda x: CASE x WHEN 'ニフェジピン' THEN 'ニフェジピン徐放' ELSE x END))), '、')"
 
 
-@query("interaction_report", f", {ITEMS_SQL}, f AS ({rules.evaluate_sql(interactions.RULES, 'items')}), n AS (SELECT rx_id, bool_or(name = 'レボフロキサシン') AS near FROM items GROUP BY rx_id), g AS (SELECT rx_id, rule_id || CASE WHEN rule_id <> '{interactions.BINDER}' THEN '' WHEN near THEN '{interactions.NOTES[0]}' ELSE '{interactions.NOTES[1]}' END AS title, severity, CAST(CASE WHEN rule_id = '{interactions.BINDER}' AND near THEN 2 ELSE priority END AS INTEGER) AS priority, {SHOWN_SQL} AS targets, {TITLES_SQL} AS ord FROM f JOIN n USING (rx_id)) SELECT rx_id, title, severity, priority, targets, CAST(row_number() OVER (PARTITION BY rx_id ORDER BY priority, ord) AS INTEGER) AS rank FROM g")
+@query("interaction_report", f", {ITEMS_SQL}, f AS ({rules.evaluate_sql(interactions.RULES, 'items')}) SELECT rx_id, rule_id AS title, severity, priority, {SHOWN_SQL} AS targets, CAST(row_number() OVER (PARTITION BY rx_id ORDER BY priority, {TITLES_SQL}) AS INTEGER) AS rank FROM f")
 def _(spark, sf):
     """Every basket's report, with medicines in the places of parts."""
     m = mentions(spark, sf)
@@ -110,3 +111,13 @@ def _(spark, sf):
     m = mentions(spark, sf)
     words = m.select("rx_id", F.posexplode(F.split("name", " ")).alias("k", "w"), "pos").select("rx_id", (F.col("pos") * 2 + F.col("k")).alias("pos"), F.col("w").alias("name"))
     return fragments.merge_fragments(words, CUT_PAIRS)
+
+
+@query("prescription_diagnosis")
+def _(spark, sf):
+    """The whole way from texts to reports: each basket is written out as a text of blocks, with medicines in the places of parts, and read again."""
+    m = mentions(spark, sf)
+    name = F.element_at(F.array(*map(F.lit, MEDICINES)), (F.col("part") % len(MEDICINES)).cast("int") + 1)
+    line = F.concat((F.col("pos") + 1).cast("string"), F.lit("【般】"), name, F.lit("錠 "), F.when(F.col("qty") > 5, F.concat(F.col("qty").cast("int").cast("string"), F.lit("mg "))).otherwise(""), F.lit("1錠 朝食後 7日分"))
+    texts = m.groupBy("rx_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("x"))
+    return prescription.diagnose(texts.select("rx_id", F.array_join(F.col("x.line"), "\n").alias("text")))

@@ -23,8 +23,8 @@ def test_report(spark):
 
 
 def test_binder_depends_on_the_basket(spark):
-    assert titles(interactions.report(basket(spark, "キックリン")))[0][:2] == (interactions.BINDER + interactions.NOTES[1], 3)
-    assert titles(interactions.report(basket(spark, "キックリン", "レボフロキサシン錠")))[0][:2] == (interactions.BINDER + interactions.NOTES[0], 2)
+    assert titles(interactions.report(basket(spark, "キックリン")))[0][:2] == ("リン吸着薬／Ca製剤による他剤の吸収低下（該当薬なし：一般注意）", 3)
+    assert titles(interactions.report(basket(spark, "キックリン", "レボフロキサシン錠")))[0][:2] == ("リン吸着薬／Ca製剤による他剤の吸収低下（該当薬あり：2時間以上間隔をあける）", 2)
     got = titles(interactions.report(basket(spark, "エボカルセト", "リナクロチド", "エロビキシバット")))
     assert [x[:2] for x in got] == [("下剤の多剤併用", 2), ("エボカルセト＋下剤多剤（低Ca/QT延長リスク）", 3)]
 
