@@ -16,6 +16,7 @@ linked with nothing; repeated rows and ids are each a row of the result; a group
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -63,8 +64,11 @@ def parities(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mix(s) % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES).astype(np.uint8) & 1).tobytes()
 
 
-def set_keys(chunks: DataFrame, kind: str, size: int) -> DataFrame:
-    """(rid, doc_id, n, key): a row for each document; equal sets have equal keys."""
+def set_keys(chunks: DataFrame, kind: str, size: int, digests: bool) -> DataFrame:
+    """(rid, doc_id, n, key, and digest if asked for): a row for each document; equal sets have equal keys.
+
+    The digest is that of the text itself (null is empty), as Spark's md5 gives it.
+    """
 
     def run(batches):
         for pdf in batches:
@@ -73,9 +77,12 @@ def set_keys(chunks: DataFrame, kind: str, size: int) -> DataFrame:
                 sets = shingle_sets(chunk, size)
                 rids = (int(number) << IDX_BITS) + np.arange(len(chunk))
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pd.DataFrame({"rid": rids, "doc_id": pd.Series(chunk.ids, dtype=object), "n": [len(s) for s in sets], "key": keys})
+                rows = {"rid": rids, "doc_id": pd.Series(chunk.ids, dtype=object), "n": [len(s) for s in sets], "key": keys}
+                if digests:
+                    rows["digest"] = [hashlib.md5(chunk.text(i)).hexdigest() for i in range(len(chunk))]
+                yield pd.DataFrame(rows)
 
-    return chunks.mapInPandas(run, f"rid long, doc_id {kind}, n long, key binary")
+    return chunks.mapInPandas(run, f"rid long, doc_id {kind}, n long, key binary" + ", digest string" * digests)
 
 
 def own_counts(size: int):
@@ -242,14 +249,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInPandas(run, "a long, b long")
 
 
-def similarity_groups(docs: DataFrame, size: int = SHINGLE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs (doc_id, text) -> (rid, doc_id, n_shingles, component_id), a row for each document."""
+def groups(docs: DataFrame, size: int = SHINGLE, chunk_bytes: int = CHUNK_BYTES, digests: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> (rid, doc_id, n, rep, and digest if asked for), a row for each document; a group has one rep."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = write_chunks(docs, chunk_bytes=chunk_bytes)
     bits = bucket_bits(chunks)
-    keys = written(set_keys(chunks, kind, size), "keys")
+    keys = written(set_keys(chunks, kind, size, digests), "keys")
     classes = keys.where("key IS NOT NULL").groupBy("key").agg(F.min("rid").alias("rep"), F.count("*").alias("m"))
-    members = written(keys.join(classes, "key", "left").select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep")), "members")
+    members = written(keys.join(classes, "key", "left").select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep"), *["digest"] * digests), "members")
     copies = members.where("rid != rep").groupBy(F.shiftright("rid", IDX_BITS).alias("chunk")).agg(F.collect_list(F.expr(f"CAST(rid & {(1 << IDX_BITS) - 1} AS INT)")).alias("idx"))
     answers = shared_counts(send_runs(chunks, own_counts(size), bits)).withColumn("idx", F.lit(None).cast("array<int>"))
     answers = answers.unionByName(copies.select("chunk", F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("binary").alias("extra"), "idx"))
@@ -268,18 +275,35 @@ def similarity_groups(docs: DataFrame, size: int = SHINGLE, chunk_bytes: int = C
         links = new if links is None else links.union(new)
         comps = written(components(links).select(F.col("node").alias("rid"), F.col("root").alias("comp")), "comps")
     discard(out, lists)
-    rows = members
-    if comps is not None:
-        rows = members.join(comps.withColumnRenamed("rid", "rep"), "rep", "left").withColumn("rep", F.coalesce("comp", "rep"))
+    if comps is None:
+        return members
+    return members.join(comps.withColumnRenamed("rid", "rep"), "rep", "left").withColumn("rep", F.coalesce("comp", "rep")).drop("comp")
+
+
+def similarity_groups(docs: DataFrame, **how) -> DataFrame:
+    """docs (doc_id, text) -> (rid, doc_id, n_shingles, component_id), a row for each document."""
+    rows = groups(docs, **how)
     least = rows.groupBy("rep").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "rep").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs without all but one document of each group: the one with the smallest id (of equal ids one row stays)."""
-    found = similarity_groups(docs, **how)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without all but one document of each group: the one with the smallest id, nulls last (of equal ids one row stays).
+
+    Rows are told apart by id and text. Rows that agree in both are in one group, so at most one of them stays, or their
+    text has no words and all of them do.
+    """
+    rows = groups(docs, digests=True, **how)
+    stays = rows.groupBy("rep").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")).select("first.rid", F.lit(1).alias("stays"))
+    cut = rows.join(stays, "rid", "left").groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.count("stays").alias("kept"))
+    cut = written(cut.where("kept < n").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "kept"), "cut")
+    own = docs.withColumn("_own", F.md5(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
+    out = own.join(cut, same, "left_anti").select(*docs.columns)
+    repeated = cut.where("kept > 0")
+    if repeated.isEmpty():
+        return out
+    return out.union(own.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_own"]).select(*docs.columns))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

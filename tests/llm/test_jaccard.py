@@ -40,3 +40,22 @@ def test_near_copies_of_all_degrees(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, rid string")
     assert jaccard.similarity_groups(docs).count() == 0 and jaccard.one_of_each(docs).columns == docs.columns
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = near_copies(3, 1, 90) + near_copies(4, 1, 90) + near_copies(5, 1, 90) + near_copies(6, 1, 90)
+    rows = [(1, a, "x"), (1, a, "x"), (2, a + " more", "x")]  # a repeated row and a near copy
+    rows += [(None, b, "x"), (None, b, "y"), (None, b + " more", "x")]  # a group without an id
+    rows += [(None, c, "x"), (9, c, "x"), (9, c.upper(), "x")]  # nulls come last; two texts of one id
+    rows += [(2, d, "x")]  # id 2 goes as a near copy, this text of it is like no other
+    rows += [(None, None, "x"), (None, None, "x"), (4, "", "x"), (4, "", "x"), (4, None, "x")]  # linked with nothing
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for how in ({}, {"chunk_bytes": 700}):
+        out = jaccard.one_of_each(docs, **how)
+        assert out.columns == docs.columns
+        left = [(r.doc_id, r.text) for r in out.collect()]
+        assert left.count((1, a)) == 1 and left.count((2, d)) == 1 and (2, a + " more") not in left
+        assert sum(x in ((None, b), (None, b + " more")) for x in left) == 1
+        assert (None, c) not in left and left.count((9, c)) + left.count((9, c.upper())) == 1
+        assert [left.count(x) for x in ((None, None), (4, ""), (4, None))] == [2, 2, 1]
+        assert len(left) == 9
