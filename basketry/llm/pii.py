@@ -3,10 +3,11 @@
 Patterns find the base spans. Wider patterns find candidates: everything that looks a little like an address or a long
 number. Candidates and base spans are the nodes of a graph for each document: neighbours in the text are linked in a
 chain, and each node is linked to the previous one with the same skeleton (its letters and digits alone), however
-distant. Node potentials come from a softmax regression on a node's shape, chain and skip potentials from counts, all
+distant, and by a weaker link to the previous one with a similar skeleton: numbers that end in the same nine digits,
+addresses of which one goes on where the other ends. Node potentials come from a softmax regression on a node's shape, chain and skip potentials from counts, all
 fitted on the base spans of a bounded sample of documents. Loopy belief propagation with the base nodes held fixed
 labels the others; those that are surely personal are added. Links follow from one occurrence to the next, so a token
-that occurs n times has n - 1 links.
+that occurs n times has n - 1 links, and as many weaker ones at most.
 
 Defined results: null and empty texts have no spans; base spans always stay, and no added span touches one; equal
 texts get equal spans; texts are read whole, in time that grows in proportion to their length.
@@ -28,6 +29,8 @@ LABELS = ("other", *KINDS)
 SURE, ROUNDS, MAX_TRAIN = 0.8, 12, 1000
 #: Before any is counted: so many pairs of equal tokens with equal labels for each with unequal ones.
 PRIOR = 1000.0
+#: Similar skeletons: digits at the end of numbers, letters at the start of addresses, the weight of their links.
+TAIL, HEAD, WEAKER = 9, 7, 0.9
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -128,6 +131,23 @@ def graph(text: str, nodes: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def similar(text: str, nodes: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Weaker skip links: each node with the previous one of its block, if their skeletons are similar but not equal."""
+    last: dict[str, tuple[int, str]] = {}
+    out = []
+    for i, (s, e) in enumerate(nodes):
+        key = skeleton(text[s:e])
+        number = key.isdigit()
+        if len(key) < (TAIL if number else HEAD):
+            continue
+        block = key[-TAIL:] if number else "@" + key[:HEAD]
+        j, other = last.get(block, (i, key))
+        if key != other and (number or key.startswith(other) or other.startswith(key)):
+            out.append((j, i))
+        last[block] = i, key
+    return out
+
+
 class Model:
     """Potentials: node weights (features x labels), chain and skip tables (labels x labels, logarithms)."""
 
@@ -161,17 +181,17 @@ class Model:
         share = lambda t: np.log(t / t.sum() / np.outer(t.sum(1), t.sum(0)) * t.sum() ** 2)
         return cls(w, 0.2 * np.clip(share(chain), -2, 2), np.log(skip / skip.sum(1, keepdims=True)))
 
-    def marginals(self, x, fixed, skips) -> np.ndarray:
-        """Beliefs of all nodes; fixed: the label of a base node or -1."""
+    def marginals(self, x, fixed, skips, near=()) -> np.ndarray:
+        """Beliefs of all nodes; fixed: the label of a base node or -1; near: weaker skip links."""
         n, k = len(x), len(LABELS)
         node = x @ self.weights
         node = np.where(fixed[:, None] >= 0, np.where(np.arange(k) == fixed[:, None], 0.0, -1e3), node)
-        pairs = [(i, i + 1) for i in range(n - 1)] + skips
+        pairs = [(i, i + 1) for i in range(n - 1)] + skips + list(near)
         if not pairs:
             z = np.exp(node - node.max(1, keepdims=True))
             return z / z.sum(1, keepdims=True)
         a, b = np.asarray(pairs).T
-        table = np.concatenate([np.repeat(self.chain[None], n - 1, 0), np.repeat(self.skip[None], len(skips), 0)])
+        table = np.concatenate([np.repeat(self.chain[None], n - 1, 0), np.repeat(self.skip[None], len(skips), 0), np.repeat(WEAKER * self.skip[None], len(near), 0)])
         src, dst = np.concatenate([a, b]), np.concatenate([b, a])
         table = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
@@ -201,7 +221,8 @@ class Model:
         nodes = sorted([(s, e, k + 1) for s, k, e in base] + [(s, e, -1) for s, e in more])
         fixed = np.asarray([k for _, _, k in nodes])
         x = np.asarray([shape(text[s:e]) for s, e, _ in nodes], float)
-        p = self.marginals(x, fixed, graph(text, [m[:2] for m in nodes]))
+        spans = [m[:2] for m in nodes]
+        p = self.marginals(x, fixed, graph(text, spans), similar(text, spans))
         return [(nodes[i][0], int(p[i].argmax()) - 1, nodes[i][1]) for i in np.flatnonzero(fixed < 0) if p[i].argmax() and p[i].max() >= SURE]
 
 

@@ -45,6 +45,19 @@ def test_repeated_tokens_share_their_label_and_numbers_alone_do_not():
     assert model.added("Order 1 310-555-4510.", []) == []
 
 
+def test_similar_tokens_share_their_label():
+    texts = [f"Call +1 (555) 555-{i:04d} or mail a{i}@mail.example.com, code {i * 7919}-{i * 31 % 1000} at 10.0.{i}.1." for i in range(200)]
+    model = pii.Model.fit(texts)
+    for first, later in (("+1 (310) 555-4510", "310-555-4510"), ("+44 20 7946 0958", "020 7946 0958")):
+        text = f"Reach us at {first} any day. Later: {later}. Order 12345-6789-10."
+        assert [(text[s:e], k) for s, k, e in model.added(text, pii.base_spans(text))] == [(later, 3)]
+        assert model.added(f"Later: {later}.", []) == []
+    text = "Reach us at +1 (310) 555-4510 any day. Order 310-555-4511."
+    assert model.added(text, pii.base_spans(text)) == []
+    text = "jane.doe@mail.example.com jane_doe@mail jane-doe@mail janedoers@mail.example.com"
+    assert pii.similar(text, [m.span() for m in re.finditer(r"\S+", text)]) == [(0, 1)]
+
+
 def test_beliefs_equal_sums_over_all_labellings_on_a_chain():
     import itertools
 
