@@ -12,7 +12,7 @@ from ..functions import attributes as A, names as N, texts as T
 from ..operators import dedupe, interactions
 
 KINDS = "般|外|麻|向"
-#: The gate: the least share of items with a class or a strength, the least confidence, the bounds of their number.
+#: The gate: the least share of items with a strength, the least confidence, the bounds of their number.
 COVERAGE, CONFIDENCE, MOST_ITEMS = 0.98, 0.8, 20
 
 
