@@ -7,12 +7,13 @@ To remove: every byte covered by a string of K bytes that also starts elsewhere.
    neighbours; they and what they cover are its context, about 1.5 K bytes. Anchors come every K / 2 bytes or so.
 2. Hashes of anchors and contexts are counted over the corpus. A context that occurs twice is removed whole. Contexts
    whose anchor occurs in one context only are done.
-3. Distinct contexts with equal anchors meet in one index: their suffix array gives a run-compressed Burrows-Wheeler
-   transform. Only at the ends of its runs are positions and their common prefixes with the neighbours kept. Streaming
-   along the text from each kept position to the next gives the matching statistics, the longest match elsewhere of
-   what starts at each place: inside runs it is the one of the place before, less one. Places with K or more are marked.
-4. An anchor with more than HOT contexts would be too much for one index: its windows' hashes are counted instead, in
-   all buckets.
+3. Distinct contexts with equal anchors meet in one index, a run-compressed Burrows-Wheeler transform. At the ends of
+   its runs the common prefixes with the neighbouring rows are sampled. The contexts are streamed against it from right
+   to left, a mapping step through the runs for each byte: inside a run the neighbours' common prefix grows by one, at
+   a run's end it is the sample. That gives the matching statistics, the longest match elsewhere of what starts at each
+   place. Places with K or more are marked.
+4. An anchor with more than HOT contexts would be too much for one index, as an index can't be split: its windows'
+   hashes are counted instead, in all buckets. Nothing is left out.
 
 Defined results: null and empty texts have no bytes; texts shorter than K stay whole; documents are rows, so a
 repeated row of at least K bytes is removed in all its copies.
@@ -182,23 +183,38 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of a text with sampled run ends."""
+    """Run-compressed Burrows-Wheeler transform of texts, with samples at the ends of its runs.
 
-    def __init__(self, t: np.ndarray):
-        """t: integers below 512."""
-        self.n = len(t)
+    A run has its first row, its symbol, the row that its first row maps to one symbol further left, and two samples:
+    what the row mapped to from its first row has in common with the row above it, and from its last row with the one
+    below. Inside a run, neighbours stay neighbours and have one symbol more in common. The suffix array goes once
+    the samples are made.
+    """
+
+    def __init__(self, t: np.ndarray, ends: np.ndarray):
+        """t: integers below 512, in which texts are followed by 0 each; ends: the places of those zeros."""
+        self.n, self.ends = len(t), ends
         sa = suffix_array(t)
         bwt = t[sa - 1]
-        ends = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1  # where runs begin, but for the first
-        self.heads = np.append(sa[0], sa[ends])
-        self.run_symbols = bwt[np.append(0, ends)]
-        self.run_lengths = np.diff(np.concatenate([[0], ends, [self.n]]))
-        # The first place of the text has nothing before it: both its neighbours are sampled too.
-        at0 = int(np.flatnonzero(sa == 0)[0])
-        down = np.union1d(ends, [i for i in (at0, at0 + 1) if 0 < i < self.n])
-        common = self._common(Rolling(t, mix(np.arange(1, 513, dtype=np.uint64))), sa[down - 1], sa[down])
-        self.before = self._sample(sa[down], common, sa[0])
-        self.behind = self._sample(sa[down - 1], common, sa[-1])
+        self.starts = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
+        self.symbols, self.lengths = bwt[self.starts], np.diff(np.append(self.starts, self.n))
+        order = np.argsort(self.symbols, kind="stable")
+        self.maps_to = np.empty(len(order), np.int64)
+        self.maps_to[order] = np.cumsum(self.lengths[order]) - self.lengths[order]
+        rolling = Rolling(t, mix(np.arange(1, 513, dtype=np.uint64)))
+
+        def common(rows):
+            """Of each row with the row above it; 0 at the edges."""
+            inside = (rows > 0) & (rows < self.n)
+            out = np.zeros(len(rows), np.int64)
+            out[inside] = self._common(rolling, sa[rows[inside] - 1], sa[rows[inside]])
+            return out
+
+        self.above, self.below = common(self.maps_to), common(self.maps_to + self.lengths)
+        row_of = np.empty(self.n, np.int64)
+        row_of[sa] = np.arange(self.n)
+        self.end_rows = row_of[ends]
+        self.end_above, self.end_below = common(self.end_rows), common(self.end_rows + 1)
 
     def _common(self, rolling: Rolling, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of common prefixes, by binary search over rolling hashes."""
@@ -209,21 +225,25 @@ class RunLengthIndex:
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
-    def _sample(self, at, length, edge):
-        """Samples by place in the text. edge: the place without a neighbour."""
-        at, length = np.append(at, edge), np.append(length, 0)
-        order = np.argsort(at, kind="stable")
-        at, length = at[order], length[order]
-        last = np.append(at[1:] != at[:-1], True)
-        return at[last], length[last]
-
     def matching_statistics(self) -> np.ndarray:
-        """For each place the length of the longest match that starts elsewhere, streamed from the samples."""
-        place = np.arange(self.n)
+        """For each place of a text the length of the longest match that starts elsewhere.
+
+        All texts are streamed side by side, from their ends to their beginnings, one mapping step through the runs for
+        each symbol. Nothing but runs and samples is read.
+        """
         out = np.zeros(self.n, np.int64)
-        for at, length in (self.before, self.behind):
-            i = np.searchsorted(at, place, "right") - 1
-            out = np.maximum(out, np.where(i >= 0, length[i] - (place - at[i]), 0))
+        sizes = np.diff(np.concatenate([[-1], self.ends])) - 1
+        order = np.argsort(-sizes, kind="stable")
+        place, row, up, down = self.ends[order], self.end_rows[order], self.end_above[order], self.end_below[order]
+        left = np.searchsorted(-sizes[order], -np.arange(1, sizes.max(initial=0) + 1), "right")  # texts of so many symbols
+        for m in left.tolist():
+            place, row, up, down = place[:m] - 1, row[:m], up[:m], down[:m]
+            run = np.searchsorted(self.starts, row, "right") - 1
+            off = row - self.starts[run]
+            up = np.where(off == 0, self.above[run], up + 1)
+            down = np.where(off == self.lengths[run] - 1, self.below[run], down + 1)
+            row = self.maps_to[run] + off
+            out[place] = np.maximum(up, down)
         return out
 
 
@@ -266,7 +286,7 @@ def marks(rows: np.ndarray, off: np.ndarray, data: bytes, k: int) -> np.ndarray:
     for b, o, n in zip(begin.tolist(), off.tolist(), rows["size"].tolist()):
         text[b : b + n] = raw[o : o + n]
         text[b : b + n] += 1
-    long = RunLengthIndex(text).matching_statistics() >= k
+    long = RunLengthIndex(text, begin + rows["size"]).matching_statistics() >= k
     out = []
     for i in np.flatnonzero(rows["open"]).tolist():
         hit = np.flatnonzero(long[begin[i] : begin[i] + rows["span"][i] + 1])
@@ -315,7 +335,8 @@ def remove_repeats(docs: DataFrame, k: int = K, g: int = G, hot: int = HOT, chun
     answers = send_runs(chunks, anchor_items(k, g), bits).groupBy("bucket").applyInPandas(anchor_answers(hot), "chunk long, blob binary, extra binary")
     out = written(spread(chunks, answers, k, g, bits), "contexts")
     found = "chunk long, kind int, blob binary"
-    from_index = out.where("kind = 0").groupBy("bucket").applyInPandas(index_marks(k, index_bytes), found)
+    # A task for each bucket: an index takes far longer than its bytes would let expect.
+    from_index = out.where("kind = 0").repartition(1 << bits, "bucket").groupBy("bucket").applyInPandas(index_marks(k, index_bytes), found)
     from_windows = out.where("kind = 1").groupBy("bucket").applyInPandas(repeated_windows, found)
     known = out.where("kind >= 2").select("chunk", "kind", "blob").union(from_index).union(from_windows)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,25 +16,51 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests on one machine) is a temporary folder made, and set for the session.
+    Where that is unset, local mode gets a temporary folder, set for the session; a cluster gets an error, as its
+    machines share no temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"basketry-{uuid.uuid4().hex}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _filesystem(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: later reads depend on no executor."""
+    """df, written as Parquet to the shared folder and read again: later reads depend on no executor.
+
+    What discard() doesn't delete before is deleted when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, at = _filesystem(spark, path)
+    fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+def set_apart(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """df with every column whose name one of names takes (case ignored) renamed to in_<name>, with more in_ while that is taken too."""
+    wanted, taken, out = {n.lower() for n in names}, {c.lower() for c in df.columns} | {n.lower() for n in names}, df
+    for c in df.columns:
+        if c.lower() in wanted:
+            new = f"in_{c}"
+            while new.lower() in taken:
+                new = f"in_{new}"
+            taken.add(new.lower())
+            out = out.withColumnRenamed(c, new)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 400) -> None:
     """Rows of whole documents go to Python a few hundred at a time, so that a worker holds a few MB of texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -44,8 +71,8 @@ def small_batches(spark: SparkSession, rows: int = 400) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing will read again."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        fs, at = _filesystem(df.sparkSession, df.written_to)
+        fs.delete(at, True)
 
 
 def ascii_lower(col):

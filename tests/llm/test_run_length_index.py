@@ -14,8 +14,11 @@ def got(df):
 
 def test_matching_statistics():
     rng = random.Random(3)
-    for _ in range(60):
-        t = np.asarray([rng.randrange(3) for _ in range(rng.randrange(2, 60))] * rng.randrange(1, 3), np.uint16)
+    for _ in range(80):
+        texts = [[rng.randrange(1, 3) for _ in range(rng.randrange(0, 30))] * rng.randrange(1, 3) for _ in range(rng.randrange(1, 6))]
+        texts += texts[: rng.randrange(2)]
+        t = np.asarray([x for own in texts for x in [*own, 0]], np.uint16)
+        ends = np.cumsum([len(x) + 1 for x in texts]) - 1
         want = []
         for i in range(len(t)):
             best = 0
@@ -24,9 +27,9 @@ def test_matching_statistics():
                 while i != j and max(i, j) + n < len(t) and t[i + n] == t[j + n]:
                     n += 1
                 best = max(best, n)
-            want.append(best)
-        index = rli.RunLengthIndex(t)
-        assert index.matching_statistics().tolist() == want and index.run_lengths.sum() == len(t)
+            want.append(best if t[i] else 0)
+        index = rli.RunLengthIndex(t, ends)
+        assert index.matching_statistics().tolist() == want and index.lengths.sum() == len(t)
 
 
 def test_whole_documents(spark, sf):
@@ -50,5 +53,18 @@ def test_passages_periods_and_many_contexts(spark):
         assert got(rli.remove_repeats(docs, k=50, g=8, hot=hot, chunk_bytes=chunk_bytes, index_bytes=2000)) == sorted(repeated_bytes(rows, 50))
 
 
+def test_texts_beyond_a_chunk_null_ids_and_clashing_names(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(500)
+    long = text(5000) + passage + text(5000)
+    rows = [(None, long, 1), (1, passage + "x" * 10, 2), (None, None, 3), (2, long[:300], 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    key = lambda x: (x[0] is None, x)
+    want = sorted(repeated_bytes([r[:2] for r in rows]), key=key)
+    out = rli.remove_repeats(docs, chunk_bytes=1000).collect()
+    assert sorted(((r.doc_id, r.n_bytes, sum(b - a for a, b in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out), key=key) == want
+
+
 def test_empty_table(spark):
     assert rli.remove_repeats(spark.createDataFrame([], "doc_id long, text string, spans int")).count() == 0
