@@ -19,16 +19,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .shared import small_batches
 
 SIZE, BLOCK, STRETCH = 2048, 1 << 20, 32
 AFTER_SENTENCE, INSIDE, TAIL = 2, 24, 64
-CACHE = 200_000
-#: Texts of these characters alone are split here, word by word; others go to the tokenizer whole.
-ELSE = re.compile("[^\t\n\r -~¡-ɏ]|<\\|")
+#: So many words are kept with their ids.
+CACHE = 400_000
+#: Characters up to U+024F that stay there in lower case. Texts of these alone are split here; others go to the tokenizer whole.
+PLAIN = "".join(c for c in map(chr, [9, 10, 13, *range(32, 127), *range(0xA1, 0x250)]) if max(c.lower()) <= "\u024f")
+ELSE = re.compile(f"[^{re.escape(PLAIN)}]|<\\|")
 #: The tokenizer's own split, written for those characters.
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
 
@@ -43,8 +48,10 @@ class Words(dict):
         self.model, self.bytes = tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
 
     def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
         piece = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
-        out = self[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece))
+        out = self[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
         return out
 
 
@@ -66,8 +73,6 @@ class Encoder:
             return self.end
         if ELSE.search(text):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
-        if len(self.words) > CACHE:
-            self.words.clear()
         return b"".join(map(self.words.__getitem__, SPLIT.findall(text.lower()))) + self.end
 
 
@@ -150,23 +155,26 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, block: int = BLOCK, with_
         }
         return pd.DataFrame(out | ({"ids": bits} if with_ids else {})), len(cuts) - 1
 
-    def run(batches):
+    arrow = to_arrow_schema(StructType.fromDDL(fields))
+
+    def run(batches):  # Arrow, as pandas would make ids beside a null floating
         encode, held, n = encoder(path), [], 0
         first = TaskContext.get().partitionId() << 32
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"].astype(object), pdf["text"]):
-                held.append((None if pd.isna(doc_id) else doc_id, encode(text)))
+        batch = lambda pdf: pa.RecordBatch.from_pandas(pdf, arrow, preserve_index=False)
+        for b in batches:
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                held.append((doc_id, encode(text.as_py())))
                 n += len(held[-1][1]) // 4
                 if n >= block:
                     out, k = pieces(held, first)
-                    yield out
+                    yield batch(out)
                     first, held, n = first + k, [], 0
         if held:
-            yield pieces(held, first)[0]
+            yield batch(pieces(held, first)[0])
 
     small_batches(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInPandas(run, fields)
+    return ordered.mapInArrow(run, fields)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -44,6 +45,28 @@ def test_documents_come_back_and_padding_is_small(spark, sf):
     assert check(packing.op3(spark, sf).collect(), texts) < 0.02
 
 
+def test_ids_of_all_characters_that_are_split_here():
+    """Every such character, and those whose lower case is one, in many neighbourhoods, against the tokenizer."""
+    rng = random.Random(2)
+    letters = [c for c in map(chr, [*range(9, 0x250), 0x2000, 0x200B, 0x212A, 0x212B, 0x1E9E, 0x301, 0x307]) if not 0xD800 <= ord(c) < 0xE000]
+    encode, plain = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = [f"{a}an {c}{a}{c} 1{c}2 '{c}s" for c in letters for a in ("x", c.upper(), c.lower())] + ["Ɗan", "Ⱥb ƏƐ"]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 25))) for _ in range(6000)]
+    texts += ["".join(rng.choice("aé's tTRrevmlLd19½ .!\n\t<|-ǅß") for _ in range(30)) for _ in range(3000)] + ["ab" * 500 + " " + "é!" * 300]
+    for t in texts:
+        assert encode(t) == np.asarray([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes(), t
+
+
+def test_null_ids_clashing_names_and_documents_beyond_a_block(spark):
+    rows = [(None, "One. " * 400, 1), (5, "Two words. " * 900, 2), (5, None, 3), (7, "", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, offset long")
+    out = packing.pack(docs, PATH, size=64, block=256, with_ids=True).collect()
+    text_of = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        text_of.setdefault((r.doc_id, r.doc_tokens), []).append(bytes(r.ids))
+    assert sorted(len(b"".join(x)) // 4 for x in text_of.values()) == sorted(len(whole(t)) for _, t, _ in rows)
+
+
 def test_odd_texts(spark):
     texts = {1: None, 2: "", 3: "Σας İ ß \x1c x", 4: "it's <|endoftext|> WE'LL 12 é ü...", 5: "a" * 30000, 6: "你好. é", 7: "Ends. " * 3000}
     docs = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "doc_id long, text string, start string")
