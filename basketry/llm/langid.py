@@ -1,73 +1,93 @@
 """Language identification by compression.
 
-For each language a raw-content zstandard dictionary is made of a bounded sample of its labelled texts. Texts are
-lower-cased and everything but letters becomes a blank. A text is cut into blocks, each block is compressed with every
-language's dictionary, and the language whose total over the whole text is smallest is chosen. Short texts are set
-behind a run of blanks, so that their blocks aren't stored as they are, and searched for shorter matches. The margin
-is the share by which the runner-up is larger; texts with a narrow margin are rejected.
+For each language a raw-content zstandard dictionary is made of segments of a bounded sample of its labelled texts.
+Texts are lower-cased and everything but letters becomes a blank. A text is cut into blocks, each block is set behind a
+run of blanks (so that short ones aren't stored as they are) and compressed with every language's dictionary, and the
+language whose total over the whole text is smallest is chosen. Texts of all lengths go the same way. The margin is the
+share by which the runner-up is larger; texts with a narrow margin are rejected.
 
 Defined results: null texts and texts without a letter get "und", score 0 and are rejected; ties go to the language
 that sorts first; repeated rows get equal results; with no labelled texts everything is "und"; a single language takes
-all texts with score 1.
+all texts with score 1; other columns, nulls in them included, pass as they are, and one that has the name of a result
+is renamed to in_<name>; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .shared import hash_sample, small_batches
+from .shared import hash_sample, set_apart, small_batches, written
 
-#: Bounds of what is learned from: rows of a language, characters of a text, bytes of a dictionary.
-MAX_TEXTS, MAX_CHARS, DICT_BYTES = 600, 1000, 112_640
-BLOCK, SHORT, MARGIN = 1024, 512, 0.01
+#: Bounds of what is learned from: languages (those with most texts), whole texts of a language, bytes of a dictionary.
+MAX_LANGS, MAX_TEXTS, DICT_BYTES = 256, 600, 112_640
+SEGMENT, BLOCK, LEAD, MARGIN = 256, 4096, b" " * 512, 0.01
 LETTER, OTHER = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}]+")
+RESULTS = ("lang_pred", "score", "margin", "rejected")
 
 
 def letters(text: str) -> bytes:
     return OTHER.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
-def learn(labelled: DataFrame, max_texts: int = MAX_TEXTS, max_chars: int = MAX_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """labelled (text, lang) -> a dictionary's bytes for each language, from at most max_texts texts of each.
+def segments(text: str, size: int = SEGMENT) -> list[bytes]:
+    """The whole text in pieces of about size bytes that end at a blank."""
+    data, at, out = letters(text).strip(), 0, []
+    while at < len(data):
+        end = data.find(b" ", at + size)
+        end = len(data) if end < 0 else end
+        out.append(data[at:end])
+        at = end + 1
+    return out
+
 
-    The texts taken are those whose hash is smallest, whatever the order of rows; they fill the dictionary in that order.
+def learn(labelled: DataFrame, max_texts: int = MAX_TEXTS, dict_bytes: int = DICT_BYTES, max_langs: int = MAX_LANGS) -> dict[str, bytes]:
+    """labelled (text, lang) -> a dictionary's bytes for each language, from max_texts texts of each at most.
+
+    Texts are taken by the smallest hashes, and of the segments of these whole texts again those with the smallest
+    hashes, whatever the order of rows. Of more than max_langs languages those with most texts are learned.
     """
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.substring("text", 1, max_chars).alias("text"))
-    texts: dict[str, list[str]] = {}
-    for r in hash_sample(rows, max_texts, "lang"):
-        texts.setdefault(r["lang"], []).append(r["text"])
-    out = {}
-    for lang, own in texts.items():
-        if blob := b" ".join(letters(t) for t in own[:max_texts]):
-            out[lang] = blob[:dict_bytes]
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
+    taken = written(hash_sample(rows, max_texts, "lang", max_langs), "sample")
+
+    def cut(batches):
+        for b in batches:
+            out = {(lang, s) for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()) for s in segments(t)}
+            out = [(lang, xxhash.xxh64_intdigest(s) >> 1, s) for lang, s in out]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "h", "segment"])
+
+    pieces = written(taken.mapInArrow(cut, "lang string, h long, segment binary").distinct(), "segments")
+    limit = F.lit(0)
+    for r in pieces.groupBy("lang").agg(F.sum(F.length("segment") + 1).alias("n")).collect():  # max_langs rows at most
+        limit = F.when(F.col("lang") == r["lang"], F.lit(min((1 << 63) - 1, int(1.5 * dict_bytes / r["n"] * (1 << 63))))).otherwise(limit)
+    out: dict[str, bytes] = {}
+    for r in sorted(pieces.where(F.col("h") <= limit).collect(), key=lambda r: (r["lang"], r["h"], bytes(r["segment"]))):  # some 1.5 * dict_bytes a language
+        own = out.get(r["lang"], b"")
+        if len(own) + 1 + len(r["segment"]) <= dict_bytes:
+            out[r["lang"]] = own + b" " * bool(own) + bytes(r["segment"])
     return out
 
 
 class Classifier:
     """Chooses the language under whose dictionary a text compresses best."""
 
-    def __init__(self, dicts: dict[str, bytes], block: int = BLOCK, short: int = SHORT):
-        self.langs, self.block, self.short = sorted(dicts), block, short
-        self.packers, self.short_packers = self._packers(dicts, min_match=4), self._packers(dicts, min_match=3, strategy=zstandard.STRATEGY_BTOPT)
-
-    def _packers(self, dicts: dict[str, bytes], **how) -> list:
-        out = []
+    def __init__(self, dicts: dict[str, bytes], block: int = BLOCK):
+        self.langs, self.block, self.packers = sorted(dicts), block, []
         for lang in self.langs:
             params = zstandard.ZstdCompressionParameters.from_level(
-                3, source_size=self.block, dict_size=len(dicts[lang]), write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS, **how
+                3, source_size=block + len(LEAD), dict_size=len(dicts[lang]), write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS, min_match=3, strategy=zstandard.STRATEGY_BTOPT
             )
             d = zstandard.ZstdCompressionDict(dicts[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
-            out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
-        return out
+            self.packers.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
 
     def sizes(self, data: bytes) -> list[int]:
-        if len(data) <= self.short:
-            return [len(p.compress(b" " * 512 + data)) for p in self.short_packers]
-        blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
+        blocks = [LEAD + data[i : i + self.block] for i in range(0, len(data), self.block)]
         return [sum(map(len, map(p.compress, blocks))) for p in self.packers]
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
@@ -83,18 +103,38 @@ class Classifier:
         return self.langs[order[0]], min(1.0, 0.5 + 5 * margin), margin
 
 
+def rejected(lang: str, margin: float, least: float = MARGIN) -> bool:
+    return lang == "und" or margin < least
+
+
 def identify(docs: DataFrame, dicts: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """docs (with text) -> its columns and lang_pred, score, margin, rejected."""
     small_batches(docs.sparkSession)
-    schema = StructType(list(docs.schema)).add("lang_pred", StringType()).add("score", DoubleType()).add("margin", DoubleType())
+    docs = set_apart(docs, RESULTS)
+    schema = StructType(list(docs.schema)).add("lang_pred", StringType()).add("score", DoubleType()).add("margin", DoubleType()).add("rejected", "boolean")
+    names = to_arrow_schema(schema).names
+
+    def run(batches):
+        judge = Classifier(dicts)
+        for b in batches:
+            found = [judge(t) for t in b.column("text").to_pylist()]
+            own = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *own, pa.array([rejected(x[0], x[2], margin) for x in found], pa.bool_())], names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, dicts: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
+    """The rows of docs that aren't rejected, as they are."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         judge = Classifier(dicts)
-        for pdf in batches:
-            found = [judge(t if isinstance(t, str) else None) for t in pdf["text"]]
-            yield pdf.assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found], margin=[x[2] for x in found])
+        for b in batches:
+            found = [judge(t) for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array([not rejected(x[0], x[2], margin) for x in found], pa.bool_()))
 
-    return docs.mapInPandas(run, schema).withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("margin") < margin))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out():
@@ -110,4 +150,4 @@ def op4(spark, sf_dir: str) -> DataFrame:
     """Every whole text of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs.select("doc_id", "text"), contract_dicts(docs))
-    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), *RESULTS)

@@ -92,18 +92,27 @@ def small(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{kind}>>")))
 
 
-def hash_sample(rows: DataFrame, most: int, by: str | None = None) -> list:
-    """Rows (text, and by) of at most about 1.5 * most distinct texts for each value of by, the smallest hashes first.
+def hash_sample(rows: DataFrame, most: int, by: str | None = None, most_by: int = 256) -> DataFrame:
+    """Of rows (text, and by) the distinct texts with the smallest hashes, at most `most` for each value of by; of more than most_by values those with most rows.
 
-    Whether a text is taken depends on its own hash and the number of rows alone, so no task passes on more than its
-    share, and a text that many rows have comes once.
+    Whether a text may be taken depends on its own hash and the number of rows, so no task passes on more than its
+    share, and a text that many rows have comes once. Only counts and hashes come to the driver, most * most_by at most.
     """
     key = [by] if by else []
-    counts = rows.groupBy(*key).agg(F.count("*").alias("n")).collect()  # a row for each value of by
-    limit = F.lit(-(1 << 63))
-    for r in counts:
-        share = min(1.0, 1.5 * most / max(1, r["n"]))
-        here = F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
-        limit = F.when(F.col(by) == F.lit(r[by]), here).otherwise(limit) if by else here
-    few = rows.withColumn("_h", F.xxhash64("text")).where(F.col("_h") <= limit)
-    return sorted(few.groupBy(*key, "_h").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["_h"], r["text"]))
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *key).limit(most_by).collect()
+    few = rows.withColumn("_h", F.xxhash64("text"))
+
+    def at_most(limits: dict):
+        if not by:
+            return F.col("_h") <= F.lit(limits.get(None, -(1 << 63)))
+        out = F.lit(False)
+        for k, v in limits.items():
+            out = F.when(F.col(by) == F.lit(k), F.col("_h") <= F.lit(v)).otherwise(out)
+        return out
+
+    loose = {r[by] if by else None: min((1 << 63) - 1, int(min(1.0, 1.5 * most / max(1, r["n"])) * (1 << 64)) - (1 << 63)) for r in counts}
+    hashes: dict = {}
+    for r in few.where(at_most(loose)).select(*key, "_h").distinct().collect():
+        hashes.setdefault(r[by] if by else None, []).append(r["_h"])
+    tight = {k: sorted(v)[:most][-1] for k, v in hashes.items()}
+    return few.where(at_most(tight)).groupBy(*key, "_h").agg(F.min("text").alias("text")).drop("_h")
