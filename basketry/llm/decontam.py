@@ -1,23 +1,28 @@
 """Benchmark decontamination by word n-grams. DataFrame functions only.
 
-Every window of 13 words of a document is hashed and looked up in the set of the benchmark's window hashes, which the
-plan carries to the executors as a literal set while it holds at most MAX_SET hashes; beyond that the hashes are joined
-by a shuffle. Hits are verified by a join on the window's words, which also names the items.
+Every word of a document is hashed once. A window of the benchmark is known by the hashes of its first and last word
+and its size; where such a pair occurs in a document, a candidate window is cut out. Candidates are verified by a join
+on the window's words, which also names the items. The set of pairs travels to the executors in the plan while it takes
+at most SET_BYTES; beyond that every place's pair is joined with the set as a table, which Spark broadcasts or shuffles
+by its size. The results are the same.
 
 Defined results: a null or empty text has no words, no hits and is not contaminated; an item without words, or with a
 null text, has no window; an item of fewer than 13 words is one window; repeated rows are judged each for itself;
-an item id that repeats counts once.
+an item id that repeats counts once; a column that has the name of a result is renamed to in_<name>; an empty table
+gives an empty result, an empty benchmark no hits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import ascii_lower
+from .shared import ascii_lower, set_apart, written
 
-WINDOW, MAX_SET = 13, 500_000
+WINDOW, SET_BYTES = 13, 1 << 20
 #: Separators in a text whose A-Z are not yet lower-cased; all other characters are parts of words.
 SEPARATORS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+RESULTS = ("n_words", "n_hit", "items", "spans")
+START = "array<struct<i:int,size:int>>"
 
 
 def words_of(text):
@@ -25,59 +30,82 @@ def words_of(text):
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(wtext, size, items): each distinct window of the items, with the ids that have it."""
+    """(wtext, size, pair, items): each distinct window of the items, with the ids that have it."""
     w = benchmark.select(F.col(id_col).cast("string").alias("item"), words_of(F.coalesce(text_col, F.lit(""))).alias("words")).where("size(words) > 0")
     size = f"least(size(words), {WINDOW})"
-    w = w.selectExpr("item", f"explode(transform(sequence(1, size(words) - {size} + 1), i -> struct(array_join(slice(words, i, {size}), ' ') AS wtext, {size} AS size))) AS x")
-    return w.selectExpr("item", "x.*").groupBy("wtext", "size").agg(F.collect_set("item").alias("items"))
+    w = w.selectExpr("item", f"explode(transform(sequence(1, size(words) - {size} + 1), i -> struct(array_join(slice(words, i, {size}), ' ') AS wtext, {size} AS size, xxhash64(words[i - 1]) ^ shiftleft(xxhash64(words[i + {size} - 2]), 1) AS pair))) AS x")
+    return w.selectExpr("item", "x.*").groupBy("wtext", "size", "pair").agg(F.collect_set("item").alias("items"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col="item_id", text_col="text") -> DataFrame:
+def pair_at(i: str, size: int) -> str:
+    return f"hashes[{i} - 1] ^ shiftleft(hashes[{i} + {size} - 2], 1)"
+
+
+def places(size: int, test: str = "true") -> str:
+    """SQL: the places (from 1) of a document's windows of that size for which the test holds."""
+    return f"CASE WHEN size(hashes) >= {size} THEN filter(sequence(1, size(hashes) - {size} + 1), i -> {test}) ELSE array() END"
+
+
+def starts_in_plan(rows: DataFrame, pairs: dict[int, list[int]]) -> DataFrame:
+    """rows (row, doc, words, hashes) with starts, the candidates; pairs: those of each size, as literals."""
+    found = [f"transform({places(n, f'{pair_at('i', n)} IN ({", ".join(map("{}L".format, pairs[n]))})')}, i -> struct(i AS i, {n} AS size))" for n in sorted(pairs)]
+    return rows.withColumn("starts", F.expr(f"CAST(concat({', '.join(found)}) AS {START})") if found else F.expr(f"CAST(array() AS {START})"))
+
+
+def starts_by_join(rows: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """The same with the pairs as a table. Only numbers travel; the words are written once and joined by their row."""
+    rows = written(rows, "words")
+    each = ", ".join(f"transform({places(n)}, i -> struct(i AS i, {n} AS size, {pair_at('i', n)} AS pair))" for n in sizes)
+    at = rows.select("row", F.explode(F.expr(f"concat({each})")).alias("x")).select("row", "x.*")
+    hit = at.join(windows.select("size", "pair").distinct(), ["size", "pair"], "left_semi")
+    hit = hit.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "size"))).alias("starts"))
+    return rows.join(hit, "row", "left").withColumn("starts", F.coalesce("starts", F.expr(f"CAST(array() AS {START})")))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, id_col="item_id", text_col="text", set_bytes: int = SET_BYTES) -> DataFrame:
     """docs (with text) -> its columns, n_words, n_hit, items (sorted ids), spans (word ranges, from 1, end exclusive)."""
+    docs = set_apart(docs, RESULTS)
     windows = item_windows(benchmark, id_col, text_col)
-    sizes = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}  # 13 rows at most
-    inline = sum(sizes.values()) <= MAX_SET
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_words", words_of(F.coalesce("text", F.lit("")))).withColumn("n_words", F.size("_words").cast("long"))
-    known: dict[int, list[int]] = {}
-    if inline:
-        for r in windows.select("size", F.xxhash64(F.split("wtext", " ")).alias("h")).collect():  # MAX_SET rows at most
-            known.setdefault(r["size"], []).append(r["h"])
-    found = []
-    for size in sorted(sizes):
-        hit = f"xxhash64(slice(_words, i, {size}))" + (f" IN ({', '.join(map('{}L'.format, known[size]))})" if inline else " IS NOT NULL")
-        starts = f"CASE WHEN size(_words) >= {size} THEN filter(sequence(1, size(_words) - {size} + 1), i -> {hit}) ELSE array() END"
-        found.append(f"transform({starts}, i -> struct(i AS start, i + {size} AS stop, array_join(slice(_words, i, {size}), ' ') AS wtext))")
-    keep = docs.columns
-    hits = F.expr(f"concat({', '.join(found)})") if found else F.expr("CAST(array() AS array<struct<start:int,stop:int,wtext:string>>)")
-    rows = rows.select(*keep, "_row", "n_words", F.explode_outer(hits).alias("_x"))
-    rows = rows.withColumn("_key", F.coalesce(F.col("_x.wtext"), F.concat(F.lit("\0"), F.col("_row").cast("string"))))  # no row without a hit meets another
-    items = windows.select(F.col("wtext").alias("_key"), "items")
-    joined = rows.join(F.broadcast(items) if inline else items, "_key", "left")
-    spans = F.collect_list(F.when(F.col("items").isNotNull(), F.struct("_x.start", "_x.stop")))
-    firsts = [F.first(c).alias(c) for c in [*keep, "n_words"]]
-    out = joined.groupBy("_row").agg(*firsts, F.array_sort(spans).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    counts = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.countDistinct("pair").alias("n")).collect()}  # 13 rows at most
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"), words_of(F.coalesce("text", F.lit(""))).alias("words"))
+    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    small = 8 * sum(counts.values()) <= set_bytes
+    if small:
+        pairs: dict[int, list[int]] = {}
+        for r in windows.select("size", "pair").distinct().collect():  # set_bytes / 8 rows at most
+            pairs.setdefault(r["size"], []).append(r["pair"])
+        rows = starts_in_plan(rows, pairs)
+    elif counts:
+        rows = starts_by_join(rows, windows, sorted(counts))
+    cut = F.expr("transform(starts, s -> struct(s.i AS start, s.i + s.size AS stop, array_join(slice(words, s.i, s.size), ' ') AS wtext))")
+    rows = rows.select("row", "doc", F.size("words").cast("long").alias("n_words"), F.explode_outer(cut).alias("x"))
+    # No row without a candidate meets another one.
+    rows = rows.withColumn("key", F.coalesce("x.wtext", F.concat(F.lit("\0"), F.col("row").cast("string"))))
+    joined = rows.join(windows.select(F.col("wtext").alias("key"), "items"), "key", "left")
+    spans = F.collect_list(F.when(F.col("items").isNotNull(), F.struct("x.start", "x.stop")))
+    out = joined.groupBy("row").agg(F.first("doc").alias("doc"), F.first("n_words").alias("n_words"), F.array_sort(spans).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     covered = "aggregate(spans, struct(0 AS stop, 0L AS n), (a, s) -> struct(greatest(a.stop, s.stop) AS stop, a.n + greatest(0, s.stop - greatest(s.start, a.stop)) AS n), a -> a.n)"
-    return out.withColumn("n_hit", F.expr(covered)).drop("_row")
+    return out.select("doc.*", "n_words", "spans", "items", F.expr(covered).alias("n_hit"))
 
 
-def contaminated():
+def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents") -> DataFrame:
-    """docs without contaminated documents ("documents"), or with every hit word cut from the texts ("spans").
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", set_bytes: int = SET_BYTES) -> DataFrame:
+    """docs without contaminated documents ("documents"), or with every hit word cut from the texts ("spans"). The columns stay as they are.
 
-    Texts don't travel with the hits: rows meet their verdict by id and hash of the text, so equal rows share it.
+    Texts don't travel with the hits: rows meet their verdict by two hashes of the text, so equal texts share it.
     """
-    keyed = docs.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.md5(F.coalesce("text", F.lit("")))})
-    hit = scan(keyed.select("_k1", "_k2", "text"), benchmark).where("n_hit > 0")
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("k1"), F.md5(F.coalesce("text", F.lit(""))).alias("k2"))
+    hit = scan(keyed.select("k1", "k2", F.col("doc.text").alias("text")), benchmark, set_bytes=set_bytes).where("n_hit > 0")
     if remove == "documents":
-        return keyed.join(hit.where(contaminated()).select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti").select(*docs.columns)
-    rows = keyed.join(hit.select("_k1", "_k2", F.col("spans").alias("_spans")).dropDuplicates(["_k1", "_k2"]), ["_k1", "_k2"], "left")
-    rows = rows.withColumn("_units", F.expr(f"regexp_extract_all(text, r'([^{SEPARATORS}]+[{SEPARATORS}]*)', 1)"))
-    kept = F.expr("array_join(filter(_units, (u, i) -> NOT exists(_spans, s -> i + 1 >= s.start AND i + 1 < s.stop)), '')")
-    text = F.when(F.size("_spans") > 0, F.concat(F.regexp_extract("text", f"^[{SEPARATORS}]*", 0), kept)).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*docs.columns)
+        return keyed.join(hit.where(contaminated()).select("k1", "k2").distinct(), ["k1", "k2"], "left_anti").select("doc.*")
+    rows = keyed.join(hit.select("k1", "k2", "spans").dropDuplicates(["k1", "k2"]), ["k1", "k2"], "left")
+    rows = rows.withColumn("units", F.expr(f"regexp_extract_all(doc.text, r'([^{SEPARATORS}]+[{SEPARATORS}]*)', 1)"))
+    kept = F.expr("array_join(filter(units, (u, i) -> NOT exists(spans, s -> i + 1 >= s.start AND i + 1 < s.stop)), '')")
+    text = F.when(F.size("spans") > 0, F.concat(F.regexp_extract("doc.text", f"^[{SEPARATORS}]*", 0), kept)).otherwise(F.col("doc.text"))
+    return rows.select(*(text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

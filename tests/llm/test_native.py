@@ -1,4 +1,5 @@
 import random
+import re
 
 from basketry.llm import decontam, sharding, url_filter
 from pyspark.sql import functions as F
@@ -55,16 +56,52 @@ def test_bad_hosts_are_blocked_and_unknown_ones_are_not(spark):
     assert all(r.verdict == ("block" if r.page_id % 2 and r.page_id < 600 else "allow") for r in got)
 
 
-def test_decontamination_of_spans_and_documents(spark, monkeypatch):
+def plain_hits(docs, items):
+    """{doc_id: (n_words, n_hit, items)} with plain loops."""
+    low = {c: c + 32 for c in range(65, 91)}
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))
+    known = {}
+    for item, t in items:
+        w = words(t)
+        n = min(13, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            known.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+    out = {}
+    for d, t in docs:
+        w, gone, of = words(t), set(), set()
+        for n in {len(k) for k in known}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in known:
+                    gone.update(range(i, i + n))
+                    of |= known[tuple(w[i : i + n])]
+        out[d] = (len(w), len(gone), sorted(of))
+    return out
+
+
+def test_decontamination_of_spans_and_documents(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
-    rows = [(1, f"Before, {item.upper()}! After."), (2, None), (3, ""), (3, ""), (4, "short Item here"), (5, "clean text"), (6, f"{item} " + "word " * 1000)]
+    near = "one x three four five six seven eight nine ten eleven twelve thirteen"  # first and last word of a window alone
+    rows = [(1, f"Before, {item.upper()}! After."), (2, None), (3, ""), (3, ""), (4, "short Item here"), (5, "clean text"), (6, f"{item} " + "word " * 1000), (None, near), (8, "Word, " * 30_000 + item)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(7, item), (8, "short item"), (9, None), (10, "!!")], "item_id long, text string")
-    for most in (decontam.MAX_SET, 0):
-        monkeypatch.setattr(decontam, "MAX_SET", most)
-        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.scan(docs, bench).collect()}
-        assert got[1] == (16, 14, ["7"]) and got[2] == got[3] == (0, 0, []) and got[4] == (3, 2, ["8"]) and got[5][1] == 0 and got[6] == (1014, 14, ["7"])
-    assert sorted(r.doc_id for r in decontam.decontaminate(docs, bench).collect()) == [2, 3, 3, 5, 6]
+    items = [(7, item), (8, "short item"), (9, None), (10, "!!"), (7, item), (11, "one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_hits(rows, items)
+    for most in (decontam.SET_BYTES, 0):
+        got = decontam.scan(docs, bench, set_bytes=most).collect()
+        assert len(got) == len(rows) and all((r.n_words, r.n_hit, r["items"]) == want[r.doc_id] for r in got)
+        assert sorted((r.doc_id for r in decontam.decontaminate(docs, bench, set_bytes=most).collect())) == [2, 3, 3, 5, 6, 8]
     cut = {r.doc_id: r.text for r in decontam.decontaminate(docs, bench, "spans").collect()}
     assert cut[1] == "Before, After." and cut[2] is None and cut[5] == "clean text"
     assert decontam.scan(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+    assert decontam.scan(docs.limit(0), bench).count() == decontam.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_decontamination_keeps_columns_that_clash(spark):
+    rows = [(1, "alpha beta gamma", "a", ["x"], 1, "k", "r", "w", "h", "d"), (2, "clean", "b", None, 2, None, "r", "w", "h", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, items array<string>, n_hit int, k1 string, row string, words string, hashes string, doc string")
+    bench = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
+    out = {r.doc_id: r for r in decontam.scan(docs, bench).collect()}
+    assert (out[1].in_spans, out[1].in_items, out[1].in_n_hit, out[1].n_hit, out[2].n_hit) == ("a", ["x"], 1, 2, 0)
+    assert [tuple(r) for r in decontam.decontaminate(docs, bench).collect()] == [rows[1]]
+    cut = sorted(map(tuple, decontam.decontaminate(docs, bench, "spans").collect()))
+    assert cut == [(1, "alpha ", *rows[0][2:]), rows[1]] and decontam.decontaminate(docs, bench, "spans").columns == docs.columns
