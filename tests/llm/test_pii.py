@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings, strategies as st
@@ -36,18 +37,20 @@ def test_whole_documents(spark, sf):
         assert set(filter(None, pii.said(base).split(","))) <= set(r.spans.split(","))
 
 
+TEACH = [f"Call +1 (555) 555-{i:04d} or mail a{i}@mail.example.com, code {i * 7919}-{i * 31 % 1000} at 10.0.{i}.1, paid by {x}." for i, x in enumerate(["4111 1111 1111 1111", "5500005555555559"] * 100)]
+
+
 def test_repeated_tokens_share_their_label_and_numbers_alone_do_not():
-    texts = [f"Call +1 (555) 555-{i:04d} or mail a{i}@mail.example.com, code {i * 7919}-{i * 31 % 1000} at 10.0.{i}.1." for i in range(200)]
-    model = pii.Model.fit(texts)
+    model = pii.Model.fit(TEACH)
     text = "Reach us at +1 (310) 555-4510 any day. Later: 1 310-555-4510. Order 12345-6789-10."
     added = model.added(text, pii.base_spans(text))
     assert [text[s:e] for s, _, e in added] == ["1 310-555-4510"] and added[0][1] == 3
+    assert model.added(text, pii.base_spans(text), links=False) == []
     assert model.added("Order 1 310-555-4510.", []) == []
 
 
 def test_similar_tokens_share_their_label():
-    texts = [f"Call +1 (555) 555-{i:04d} or mail a{i}@mail.example.com, code {i * 7919}-{i * 31 % 1000} at 10.0.{i}.1." for i in range(200)]
-    model = pii.Model.fit(texts)
+    model = pii.Model.fit(TEACH)
     for first, later in (("+1 (310) 555-4510", "310-555-4510"), ("+44 20 7946 0958", "020 7946 0958")):
         text = f"Reach us at {first} any day. Later: {later}. Order 12345-6789-10."
         assert [(text[s:e], k) for s, k, e in model.added(text, pii.base_spans(text))] == [(later, 3)]
@@ -58,6 +61,84 @@ def test_similar_tokens_share_their_label():
     assert pii.similar(text, [m.span() for m in re.finditer(r"\S+", text)]) == [(0, 1)]
 
 
+def planted(texts, seed):
+    """(text, {group: true spans}, false spans): base tokens and disguised ones, far apart, in prose; and numbers that are nothing."""
+    rng = random.Random(seed)
+    out = []
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    for t in texts:
+        words = re.sub(r"\S*[0-9@]\S*", "", t).split()
+        while True:
+            card = digits(16)
+            if pii.luhn(card):
+                break
+        own = {"phone": f"+1 ({digits(3)}) 555-{digits(4)}", "email": f"{rng.choice('abcdefg')}{rng.choice(words or ['x'])[:6].encode('ascii', 'ignore').decode()}.{digits(2)}@mail.example.com", "ip": ".".join(str(rng.randrange(256)) for _ in range(4)), "card": card}
+        kind = rng.choice(list(own))
+        piece, tel = pii.disguised(own[kind], kind, rng), own["phone"]
+        group = rng.choice(["alone", "linked", "cue", "nothing"])
+        if group == "alone":
+            parts = [piece] if kind != "phone" and " at " not in piece else [f"contact {piece}" if kind == "email" else f"tel {piece}"]
+        elif group == "linked":  # ambiguous by itself
+            piece = pii.disguised(tel, "phone", rng)
+            parts = [tel, piece]
+        elif group == "cue":
+            parts = [f"{rng.choice(pii.CUES[kind])} {piece}"]
+        else:
+            piece = pii.others(pii.disguised(tel, "phone", rng), "phone", rng)
+            parts = [tel, f"{rng.choice(['', 'order ', 'ref '])}{piece}"]
+        cut = sorted(rng.randrange(len(words) + 1) for _ in parts)
+        text, at = "", 0
+        for c, x in zip(cut, parts):
+            text += " ".join(words[at:c]) + f" . {x} . "
+            at = c
+        text += " ".join(words[at:])
+        s = text.rindex(piece)
+        out.append((text, group, s, s + len(piece)))
+    return out
+
+
+def test_planted_disguised_tokens(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r.text]
+    model = pii.Model.fit([t for t in texts if re.search("[0-9@]", t)] + TEACH)
+    hit, all_, unlinked = {}, {}, 0
+    for text, group, s, e in planted(texts, 4):
+        base = pii.base_spans(text)
+        spans = [(a, b) for a, _, b in base + model.added(text, base)]
+        all_[group] = all_.get(group, 0) + 1
+        found = any(a < e and s < b and b - a >= 0.8 * (e - s) for a, b in spans)
+        hit[group] = hit.get(group, 0) + found
+        if group == "linked" and found:
+            unlinked += not any(a < e and s < b for a, _, b in base + model.added(text, base, links=False))
+    recall = {g: hit[g] / all_[g] for g in all_}
+    print(recall, "only by links", unlinked, all_)
+    assert recall["alone"] >= 0.9 and recall["cue"] >= 0.9 and recall["linked"] >= 0.9 and recall["nothing"] <= 0.05
+    assert unlinked >= 0.6 * all_["linked"]
+    added = sum(len(model.added(t, pii.base_spans(t))) for t in texts)
+    assert added <= 0.01 * len(texts)  # clean documents are left alone
+
+
+def test_a_tree_of_skip_links_against_all_labellings():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    model = pii.Model(rng.normal(size=(3, 5)), np.zeros((5, 5)), rng.normal(size=(5, 5)))
+    model.skip = (model.skip + model.skip.T) / 2
+    x, fixed, skips, near = rng.normal(size=(5, 3)), np.asarray([-1, 2, -1, -1, -1]), [(0, 3), (1, 4)], [(0, 2)]
+    total = np.zeros((5, 5))
+    for labels in itertools.product(range(5), repeat=5):
+        if labels[1] == 2:
+            z = np.exp(sum(x[i] @ model.weights[:, k] for i, k in enumerate(labels) if i != 1) + sum(model.skip[labels[a], labels[b]] for a, b in skips) + sum(pii.WEAKER * model.skip[labels[a], labels[b]] for a, b in near))
+            for i, k in enumerate(labels):
+                total[i, k] += z
+    pii.ROUNDS, old = 200, pii.ROUNDS
+    try:
+        assert np.abs(model.marginals(x, fixed, skips, near) - total / total.sum(1, keepdims=True)).max() < 1e-2
+    finally:
+        pii.ROUNDS = old
+
+
 def test_beliefs_equal_sums_over_all_labellings_on_a_chain():
     import itertools
 
@@ -79,10 +160,13 @@ def test_beliefs_equal_sums_over_all_labellings_on_a_chain():
         pii.ROUNDS = old
 
 
-def test_redaction_and_odd_texts(spark):
-    rows = [(1, None, None), (2, "", "s"), (3, "mail x@y.zz now, 4111 1111 1111 1111", "s"), (3, "mail x@y.zz now, 4111 1111 1111 1111", "s"), (4, "a" * 200_000 + "@", "s")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").withColumnRenamed("spans", "source")
-    model = pii.Model.fit(["a@b.cc 12345678"])
-    out = sorted((r.doc_id, r.text or "") for r in pii.redact(docs, model).collect())
-    assert out[2][1] == out[3][1] == "mail <email> now, <card>" and out[4][1] == rows[4][1]
-    assert pii.find(docs.limit(0), model).count() == 0
+def test_redaction_odd_texts_and_clashing_names(spark):
+    rows = [(1, None, None, None, 1.5), (2, "", "s", [1], None), (3, "mail x@y.zz now, 4111 1111 1111 1111", "s", None, 2.0), (3, "mail x@y.zz now, 4111 1111 1111 1111", "s", None, 2.0), (4, "a" * 200_000 + "@", "s", None, None), (None, "1 " * 60_000 + "x [at] y [dot] zz", "s", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, counts array<int>, base double")
+    model = pii.Model.fit(TEACH)
+    out = {r.doc_id: r for r in pii.redact(docs, model).collect()}
+    assert out[3].text == "mail <email> now, <card>" and out[4].text == rows[4][1] and out[None].text.endswith("<email>") and out[1].text is None and out[3].spans == "s" and out[3].base == 2.0
+    found = {r.doc_id: r for r in pii.find(docs, model).collect()}
+    assert found[3].spans == found[3].base == "email:5:11,card:17:36" and found[3].in_spans == "s" and found[2].in_counts == [1] and found[2].counts == [0, 0, 0, 0]
+    assert found[None].spans == f"email:{120_000}:{120_000 + 17}"
+    assert pii.find(docs.limit(0), model).count() == 0 and pii.train(docs.limit(0)).added("tel 555-1234", []) is not None
