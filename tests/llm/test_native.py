@@ -49,11 +49,93 @@ def test_urls_and_rules(spark):
     assert got[5][:2] == got[6][:2] == ("", "") and got[7][:2] == ("b:", "//c/d") and got[8][:2] == ("z.net", "/") and got[9][2:] == ("org/", "allow")
 
 
+def plain_reputation(pages, outcomes, suffixes=(), z=1.645):
+    """{page_id: (host, verdict without rules, rate)} with plain loops."""
+    host_of = {}
+    for p, u in pages:
+        u = u or ""
+        host_of[p] = re.split("[/?#]", u.split("://", 1)[1], maxsplit=1)[0].translate({c: c + 32 for c in range(65, 91)}) if "://" in u else ""
+
+    def split(h):
+        parts = h.split(".")
+        k = max([i for i in range(1, len(parts) + 1) if ".".join(parts[-i:]) in suffixes], default=1)
+        return ".".join(parts[-k - 1 :]), ".".join(parts[-k:])
+
+    hosts = {}
+    for p, _ in pages:
+        if outcomes.get(p) is not None:
+            n, k = hosts.get(host_of[p], (0, 0))
+            hosts[host_of[p]] = n + 1, k + outcomes[p]
+
+    def summed(level, up):
+        out = {}
+        for key, (n, k) in level.items():
+            a, b = out.get(up(key), (0, 0))
+            out[up(key)] = a + n, b + k
+        return out
+
+    domains = summed(hosts, split)
+    tops = summed(domains, lambda d: d[1])
+    n, k = (sum(x[i] for x in tops.values()) for i in (0, 1))
+    overall = (k + 0.5) / (n + 1)
+
+    def fitted(level, mu):
+        room = sum(mu(g) * (1 - mu(g)) * (n - 1) for g, (n, k) in level.items())
+        seen = sum(n * (k / n - mu(g)) ** 2 for g, (n, k) in level.items())
+        rho = min(0.99, max(1e-4, (seen - sum(mu(g) * (1 - mu(g)) for g in level)) / room)) if room else None
+        s = 1 / rho - 1 if room else 1.0
+        return s, {g: (k + s * mu(g)) / (n + s) for g, (n, k) in level.items()}
+
+    _, top = fitted(tops, lambda g: overall)
+    _, domain = fitted(domains, lambda d: top[d[1]])
+    s, _ = fitted(hosts, lambda h: domain[split(h)])
+    out = {}
+    for p, _ in pages:
+        h = host_of[p]
+        n, k = hosts.get(h, (0, 0))
+        mu = domain.get(split(h), top.get(split(h)[1], overall))
+        a, b = k + s * mu, n - k + s * (1 - mu)
+        bound = a / (a + b) - z * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+        out[p] = h, "block" if max(0.0, bound) > overall else "allow", a / (a + b)
+    return out
+
+
+def test_reputation_against_a_plain_version(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()] + [(-1, None), (-2, "no url")]
+    rng = random.Random(6)
+    worse = {h: rng.random() for h in {u.split("/")[2] for _, u in pages[:-2]}}
+    made = {p: int(rng.random() < worse[u.split("/")[2]]) if rng.random() < 0.7 else None for p, u in pages[:-2]}
+    table = {r.page_id: r.bad for r in url_filter.outcomes(spark, sf).collect()}
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    for labels in (table, made):
+        frame = spark.createDataFrame(list(labels.items()), "page_id long, bad int")
+        want = plain_reputation(pages, labels, url_filter.TWO_LABEL_SUFFIXES)
+        got = url_filter.filter_urls(df, frame).collect()
+        assert len(got) == len(pages)
+        for r in got:
+            h, verdict, rate = want[r.page_id]
+            assert (r.host, r.verdict) == (h, verdict) and abs(r.bad_rate - rate) < 1e-9
+    assert {r.verdict for r in got} == {"allow", "block"}
+
+
+def test_registered_domains(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("a.b.co.uk", "co.uk", "x.y.z.ck", "www.ck", "a.www.ck", "b.com", "com", "", "q.unknown.tld")], "host string")
+    table = spark.createDataFrame([("co.uk",), ("uk",), ("*.ck",), ("!www.ck",), (None,)], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in url_filter.registered(hosts, table).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.z.ck": ("y.z.ck", "z.ck"), "www.ck": ("www.ck", "ck"), "a.www.ck": ("www.ck", "ck"), "b.com": ("b.com", "com"), "com": ("com", "com"), "": ("", ""), "q.unknown.tld": ("unknown.tld", "tld")}
+
+
 def test_bad_hosts_are_blocked_and_unknown_ones_are_not(spark):
     pages = [(i, f"http://{'bad' if i % 2 else 'good'}{i % 6}.site{i % 3}.net/p{i}") for i in range(600)] + [(1000, "http://new.other.net/")]
     labels = spark.createDataFrame([(i, i % 2) for i in range(600)] + [(5, None)], "page_id long, bad int")
-    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    got = url_filter.filter_urls(frame, labels).collect()
     assert all(r.verdict == ("block" if r.page_id % 2 and r.page_id < 600 else "allow") for r in got)
+    quality = url_filter.held_back_quality(frame, labels)
+    assert quality["precision"] == quality["recall"] == 1.0 and quality["pages"] > 100
+    assert url_filter.filter_urls(frame.limit(0), labels).count() == 0
+    assert {r.verdict for r in url_filter.filter_urls(frame, labels.limit(0)).collect()} == {"allow"}
 
 
 def plain_hits(docs, items):
