@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,15 +23,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> (node, root): every node that has a link, with the least node that it reaches."""
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """links (a, b) -> (node, root): every node that has a link, with the least node that it reaches.
+
+    After so many rounds as are given, roots are nodes that are reached, but a component may still have several.
+    """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    seen = None
-    while True:
-        edges = written(_star(_star(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
+    seen, n = None, 0
+    while rounds is None or n < rounds:
+        last, edges, n = edges, written(_star(_star(edges, True), False), "edges"), n + 1
+        discard(last)
+        if rounds is None:
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if tuple(now) == seen:
+                break
+            seen = tuple(now)
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    least = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    return least.union(roots.join(least.select("node"), "node", "left_anti"))

@@ -4,14 +4,20 @@
 2. The number of documents that have each shingle is counted over the whole corpus. It gives the order, rare first, in
    which a set of n shingles is read: two sets that are similar enough share one of their first n - ceil(t n) + 1. A
    shingle that no other document has can't be shared, so a document that is unlike all others posts nothing.
-3. The documents that post one shingle are compared by the length and positional filters, and by a suffix filter on
-   what lies behind: the sets' parities over 512 hash classes differ in no more places than the sets do. Of the pairs
-   that pass, those of a spanning forest are verified, each once, by the sets themselves.
+3. The documents that post one shingle are compared by the length and positional filters, and by a suffix filter: the
+   sets are partitioned into 512 hash classes, and the classes whose counts differ in parity are as many as the sets
+   differ by at least. That is the bound of the usual recursive suffix filter, with all partitions at once. Of the
+   pairs that pass, those of a spanning forest are verified, each once, by the sets themselves.
 4. Verified links join groups; then lists are read again for pairs between groups. The last time all pairs that pass
    are verified, so no link between two groups is missed.
+5. A list is read in blocks of about BLOCK documents. The first times each block is read for itself, dealt anew each
+   time; the last time, when lists within one group are done with, every pair of blocks is a piece of work of its own.
+   Shingles that more than BLOCK documents have are known from the count and never meet in one task.
 
 Defined results: A-Z count as a-z; fewer than five words are one shingle; a null or empty text has an empty set and is
-linked with nothing; repeated rows and ids are each a row of the result; a group's id is its smallest doc_id.
+linked with nothing; repeated rows and ids are each a row of the result; a group's id is its smallest doc_id, null if
+none of its rows has one; an empty table gives an empty result; other columns are read by one_of_each alone, which
+returns them as they are.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from .components import components
 from .shared import discard, written
 
 SHINGLE, NUM, DEN = 5, 3, 4  # words; similarity 3 / 4
-FORESTS, CLASSES, PARTS = 2, 512, 4096
+FORESTS, CLASSES, BLOCK = 2, 512, 512
 #: Counting looks at the upper 44 bits of a shingle's hash. Shingles that agree there are counted together, and too high
 #: a count only means that a document posts more than it has to.
 COUNTED = np.uint64(~0xFFFFF & (1 << 64) - 1)
@@ -115,11 +121,11 @@ def shared_counts(runs: DataFrame) -> DataFrame:
     return runs.groupBy("bucket").applyInPandas(run, "chunk long, blob binary, extra binary")
 
 
-POST = np.dtype([("h", "<u8"), ("rid", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("bits", "S1", (CLASSES // 8,))])
+POST = np.dtype([("h", "<u8"), ("rid", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("m", "<u4"), ("bits", "S1", (CLASSES // 8,))])
 
 
-def postings_and_sets(chunks: DataFrame, answers: DataFrame, size: int, bits: int) -> DataFrame:
-    """kind 0: (bucket, blob) of postings; kind 1: (rid, n, blob), the shared shingles of a document that posts."""
+def postings_and_sets(chunks: DataFrame, answers: DataFrame, size: int, bits: int, block: int) -> DataFrame:
+    """kind 0: (bucket, blob) of postings; kind 2: (blob) of those in lists longer than a block; kind 1: (rid, n, blob), the shared shingles of a document that posts."""
 
     def run(number, chunk, got):
         skip = {i for x in got["idx"] if x is not None for i in x}
@@ -140,40 +146,53 @@ def postings_and_sets(chunks: DataFrame, answers: DataFrame, size: int, bits: in
             if p <= 0:
                 continue
             own = s[common]
-            rank = np.lexsort((own, df[np.searchsorted(known, own & COUNTED)]))[:p]
+            had = df[np.searchsorted(known, own & COUNTED)]
+            rank = np.lexsort((own, had))[:p]
             rid = (number << IDX_BITS) + i
             rows = np.zeros(len(rank), POST)
             rows["h"], rows["rid"], rows["n"], rows["pos"] = own[rank], rid, len(s), n_alone + np.arange(len(rank))
-            rows["bits"] = np.frombuffer(parities(s), "S1")
+            rows["m"], rows["bits"] = had[rank], np.frombuffer(parities(s), "S1")
             posts.append(rows)
             sets.append((1, 0, rid, len(s), encode_sorted(own)))
         if sets:
             rows = np.concatenate(posts)
             rows = rows[np.argsort(rows["h"], kind="stable")]
+            hot = rows["m"] > block
+            if hot.any():
+                sets.append((2, 0, 0, 0, zstandard.compress(rows[hot].tobytes(), 1)))
+            rows = rows[~hot]
             sets += [(0, b, 0, 0, zstandard.compress(rows[s:e].tobytes(), 1)) for b, s, e in by_bucket(np.ascontiguousarray(rows["h"]), bits)]
             yield pd.DataFrame(sets, columns=["kind", "bucket", "rid", "n", "blob"])
 
     return at_chunks(chunks, answers, run, "kind int, bucket int, rid long, n long, blob binary")
 
 
-def long_lists(posts: DataFrame) -> DataFrame:
-    """Postings of shingles that at least two documents post, as rows: (h, rid, n, pos, bits)."""
+def long_lists(out: DataFrame) -> DataFrame:
+    """Postings of shingles that at least two documents post, as rows: (h, rid, n, pos, bits, m); m: at most so many documents post it."""
+    schema = "h long, rid long, n long, pos long, bits binary, m long"
 
-    def run(pdf):
+    def frame(rows):
+        raw, w = np.ascontiguousarray(rows["bits"]).tobytes(), CLASSES // 8
+        return pd.DataFrame({
+            "h": np.ascontiguousarray(rows["h"]).view(np.int64), "rid": rows["rid"].astype(np.int64), "n": rows["n"].astype(np.int64), "pos": rows["pos"].astype(np.int64),
+            "bits": [raw[i * w : i * w + w] for i in range(len(rows))], "m": rows["m"].astype(np.int64),
+        })
+
+    def bucket(pdf):
         rows = np.concatenate([np.frombuffer(zstandard.decompress(b), POST) for b in pdf["blob"]])
         rows = rows[np.argsort(rows["h"], kind="stable")]
         h = rows["h"]
         same = h[1:] == h[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        rows = rows[keep]
-        raw = np.ascontiguousarray(rows["bits"]).tobytes()
-        w = CLASSES // 8
-        return pd.DataFrame({
-            "h": np.ascontiguousarray(rows["h"]).view(np.int64), "rid": rows["rid"].astype(np.int64), "n": rows["n"].astype(np.int64), "pos": rows["pos"].astype(np.int64),
-            "bits": [raw[i * w : i * w + w] for i in range(len(rows))],
-        })
+        return frame(rows[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
 
-    return posts.groupBy("bucket").applyInPandas(run, "h long, rid long, n long, pos long, bits binary")
+    def as_they_are(batches):
+        for pdf in batches:
+            for b in pdf["blob"]:
+                yield frame(np.frombuffer(zstandard.decompress(b), POST))
+
+    short = out.where("kind = 0").select("bucket", "blob").groupBy("bucket").applyInPandas(bucket, schema)
+    hot = out.where("kind = 2").select("blob").mapInPandas(as_they_are, schema).drop("m")
+    return short.unionByName(hot.join(hot.groupBy("h").agg(F.count("*").alias("m")), "h"))
 
 
 def passing(n, pos, bits, i: int, js: np.ndarray) -> np.ndarray:
@@ -187,14 +206,17 @@ def passing(n, pos, bits, i: int, js: np.ndarray) -> np.ndarray:
     return js[(NUM + DEN) * apart <= (DEN - NUM) * (a + b)]
 
 
-def list_pairs(rid, n, pos, bits, comp, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of one list to verify: those of a spanning forest over groups, or all between groups."""
+def list_pairs(rid, n, pos, bits, comp, forest: bool, side=None) -> list[tuple[int, int]]:
+    """Pairs of one list to verify: those of a spanning forest over groups, or all between groups (and between two sides)."""
     order = np.lexsort((rid, n))
     rid, n, pos, bits = rid[order], n[order], pos[order], bits[order]
     label = np.unique(comp[order], return_inverse=True)[1]
+    side = None if side is None else side[order]
     out = []
     for i in range(len(rid) - 1):
         js = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if side is not None:
+            js = js[side[js] != side[i]]
         if not len(js):
             continue
         js = passing(n, pos, bits, i, js)
@@ -208,7 +230,7 @@ def list_pairs(rid, n, pos, bits, comp, forest: bool) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(lists: DataFrame, comps: DataFrame | None, forest: bool) -> DataFrame:
+def candidates(lists: DataFrame, comps: DataFrame | None, step: int, forest: bool, block: int, parts: int) -> DataFrame:
     """lists (and comps (rid, comp)) -> distinct pairs (a, b), a < b, of different groups."""
     if comps is None:
         rows = lists.withColumn("comp", F.col("rid"))
@@ -216,21 +238,27 @@ def candidates(lists: DataFrame, comps: DataFrame | None, forest: bool) -> DataF
         rows = lists.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
         mixed = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
         rows = rows.join(mixed, "h", "left_semi")
+    blocks = F.ceil(F.col("m") / block)
+    rows = rows.withColumn("lo", F.pmod(F.xxhash64("rid", F.lit(step)), blocks)).withColumn("hi", F.col("lo")).withColumn("side", F.col("lo"))
+    if not forest:  # every pair of blocks; a row goes with each block of its list
+        rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumns({"lo": F.least("side", "j"), "hi": F.greatest("side", "j")}).drop("j")
 
     def run(pdf):
-        pdf = pdf.sort_values("h", kind="stable")
-        h = pdf["h"].to_numpy()
-        rid, n, pos, comp = (pdf[c].to_numpy() for c in ("rid", "n", "pos", "comp"))
+        pdf = pdf.sort_values(["h", "lo", "hi"], kind="stable")
+        key = pdf[["h", "lo", "hi"]].to_numpy()
+        rid, n, pos, comp, side = (pdf[c].to_numpy() for c in ("rid", "n", "pos", "comp", "side"))
         bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
-        edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
         out = set()
         for s, e in zip(edges.tolist(), edges[1:].tolist()):
             if e - s > 1:
-                out.update((min(x), max(x)) for x in list_pairs(rid[s:e], n[s:e], pos[s:e], bits[s:e], comp[s:e], forest))
+                cross = side[s:e] if key[s, 1] != key[s, 2] else None
+                out.update((min(x), max(x)) for x in list_pairs(rid[s:e], n[s:e], pos[s:e], bits[s:e], comp[s:e], forest, cross))
         return pd.DataFrame(sorted(out), columns=["a", "b"])
 
-    # Many more parts than there are tasks, so that a task can't get several of the longest lists.
-    return rows.select(F.pmod(F.xxhash64("h"), F.lit(PARTS)).alias("part"), "h", "rid", "n", "pos", "bits", "comp").groupBy("part").applyInPandas(run, "a long, b long").distinct()
+    # Many more parts than there are tasks, so that a task can't get several of the largest blocks.
+    dealt = rows.select(F.pmod(F.xxhash64("h", "lo", "hi"), F.lit(parts)).alias("part"), "h", "lo", "hi", "side", "rid", "n", "pos", "bits", "comp")
+    return dealt.groupBy("part").applyInPandas(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -249,35 +277,40 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInPandas(run, "a long, b long")
 
 
-def groups(docs: DataFrame, size: int = SHINGLE, chunk_bytes: int = CHUNK_BYTES, digests: bool = False) -> DataFrame:
+def groups(docs: DataFrame, size: int = SHINGLE, chunk_bytes: int = CHUNK_BYTES, digests: bool = False, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text) -> (rid, doc_id, n, rep, and digest if asked for), a row for each document; a group has one rep."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = write_chunks(docs, chunk_bytes=chunk_bytes)
     bits = bucket_bits(chunks)
     keys = written(set_keys(chunks, kind, size, digests), "keys")
-    classes = keys.where("key IS NOT NULL").groupBy("key").agg(F.min("rid").alias("rep"), F.count("*").alias("m"))
-    members = written(keys.join(classes, "key", "left").select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep"), *["digest"] * digests), "members")
+    full = keys.where("key IS NOT NULL")
+    classes = full.groupBy("key").agg(F.min("rid").alias("rep"))  # one row a key, so Spark can split the rows of a hot key
+    own = ["rid", "doc_id", "n", "rep", *["digest"] * digests]
+    members = full.join(classes, "key").select(*own).union(keys.where("key IS NULL").withColumn("rep", F.col("rid")).select(*own))
+    members = written(members, "members")
     copies = members.where("rid != rep").groupBy(F.shiftright("rid", IDX_BITS).alias("chunk")).agg(F.collect_list(F.expr(f"CAST(rid & {(1 << IDX_BITS) - 1} AS INT)")).alias("idx"))
     answers = shared_counts(send_runs(chunks, own_counts(size), bits)).withColumn("idx", F.lit(None).cast("array<int>"))
     answers = answers.unionByName(copies.select("chunk", F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("binary").alias("extra"), "idx"))
-    out = written(postings_and_sets(chunks, answers, size, bits), "posted")
-    lists = written(long_lists(out.where("kind = 0").select("bucket", "blob")), "lists")
+    out = written(postings_and_sets(chunks, answers, size, bits, block), "posted")
+    lists = written(long_lists(out), "lists")
     discard(chunks, keys)
     sets = out.where("kind = 1").select("rid", "n", "blob")
     links, comps = None, None
     for step in range(FORESTS + 1):
-        pairs = candidates(lists, comps, forest=step < FORESTS)
-        new = written(verified(pairs, sets), "links")
+        forest = step < FORESTS
+        new = written(verified(candidates(lists, comps, step, forest, block, parts=16 << bits), sets), "links")
         if new.isEmpty():
-            if step < FORESTS:
+            if forest:
                 continue
             break
         links = new if links is None else links.union(new)
-        comps = written(components(links).select(F.col("node").alias("rid"), F.col("root").alias("comp")), "comps")
+        if forest:  # groups that aren't whole yet only mean that more pairs are looked at
+            comps = written(components(links, rounds=1).select(F.col("node").alias("rid"), F.col("root").alias("comp")), "comps")
     discard(out, lists)
-    if comps is None:
+    if links is None:
         return members
-    return members.join(comps.withColumnRenamed("rid", "rep"), "rep", "left").withColumn("rep", F.coalesce("comp", "rep")).drop("comp")
+    comps = written(components(links).select(F.col("node").alias("rep"), F.col("root").alias("comp")), "comps")
+    return members.join(comps, "rep", "left").withColumn("rep", F.coalesce("comp", "rep")).drop("comp")
 
 
 def similarity_groups(docs: DataFrame, **how) -> DataFrame:

@@ -35,6 +35,16 @@ def test_near_copies_of_all_degrees(spark):
     want = sorted(jaccard_components(rows))
     assert got(jaccard.similarity_groups(docs)) == want
     assert got(jaccard.similarity_groups(docs, chunk_bytes=2000)) == want
+    assert got(jaccard.similarity_groups(docs, chunk_bytes=20000, block=7)) == want
+
+
+def test_long_texts_null_ids_and_the_reviewed_case(spark):
+    a, u, b = near_copies(7, 1, 4000)[0], near_copies(8, 1, 90)[0], near_copies(9, 1, 90)[0]
+    docs = spark.createDataFrame([(3, a), (5, a), (5, u), (7, b), (7, b), (None, a + " end")], "doc_id long, text string")
+    for how in ({}, {"chunk_bytes": 500}):
+        assert sorted(map(tuple, jaccard.one_of_each(docs, **how).collect())) == [(3, a), (5, u), (7, b)]
+        rows = sorted((r.component_id, r.n_shingles) for r in jaccard.similarity_groups(docs, **how).collect())
+        assert rows == [(3, 3996), (3, 3996), (3, 3997), (5, 86), (7, 86), (7, 86)]
 
 
 def test_empty_table(spark):
