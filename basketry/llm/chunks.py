@@ -35,7 +35,17 @@ class Chunk:
     """ids, data (all texts joined), starts and ends of the texts in data."""
 
     def __init__(self, blob: bytes):
-        self.ids, lens, self.data = pickle.loads(zstandard.decompress(blob))
+        self._put(*pickle.loads(zstandard.decompress(blob)))
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Chunk:
+        """A chunk of texts without ids, never packed."""
+        out = cls.__new__(cls)
+        out._put([None] * len(texts), [len(t) for t in texts], b"".join(texts))
+        return out
+
+    def _put(self, ids: list, lens: list, data: bytes):
+        self.ids, self.data = ids, data
         self.ends = np.cumsum(np.asarray(lens, np.int64))
         self.starts = self.ends - np.asarray(lens, np.int64)
 
@@ -46,8 +56,8 @@ class Chunk:
         return self.data[self.starts[i] : self.ends[i]]
 
 
-def write_chunks(docs: DataFrame, ordered: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs (doc_id, text; null is empty) -> a written table (chunk, blob).
+def write_chunks(docs: DataFrame, ordered: bool = False, chunk_bytes: int = CHUNK_BYTES, base: int = 0) -> DataFrame:
+    """docs (doc_id, text; null is empty) -> a written table (chunk, blob). Chunk numbers start at base.
 
     ordered: chunks follow each other by doc_id, nulls first, and equal ids share a chunk; texts travel compressed.
     """
@@ -64,7 +74,7 @@ def write_chunks(docs: DataFrame, ordered: bool = False, chunk_bytes: int = CHUN
         docs = docs.select("doc_id", "text").mapInArrow(squeeze, f"doc_id {kind.simpleString()}, text binary").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def run(batches):
-        first, k, ids, texts, n = TaskContext.get().partitionId() << 20, 0, [], [], 0
+        first, k, ids, texts, n = base + (TaskContext.get().partitionId() << 20), 0, [], [], 0
         unpack = zstandard.ZstdDecompressor()
 
         def flush():
@@ -220,6 +230,3 @@ def at_chunks(chunks: DataFrame, answers: DataFrame, fn, schema: str) -> DataFra
 
     names = [c.split()[0] for c in schema.split(", ")]
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, schema)
-
-
-

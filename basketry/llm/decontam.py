@@ -52,12 +52,12 @@ def starts_in_plan(rows: DataFrame, pairs: dict[int, list[int]]) -> DataFrame:
     return rows.withColumn("starts", F.expr(f"CAST(concat({', '.join(found)}) AS {START})") if found else F.expr(f"CAST(array() AS {START})"))
 
 
-def starts_by_join(rows: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+def starts_by_join(rows: DataFrame, known: DataFrame, sizes) -> DataFrame:
     """The same with the pairs as a table. Only numbers travel; the words are written once and joined by their row."""
     rows = written(rows, "words")
     each = ", ".join(f"transform({places(n)}, i -> struct(i AS i, {n} AS size, {pair_at('i', n)} AS pair))" for n in sizes)
     at = rows.select("row", F.explode(F.expr(f"concat({each})")).alias("x")).select("row", "x.*")
-    hit = at.join(windows.select("size", "pair").distinct(), ["size", "pair"], "left_semi")
+    hit = at.join(known, ["size", "pair"], "left_semi")
     hit = hit.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "size"))).alias("starts"))
     return rows.join(hit, "row", "left").withColumn("starts", F.coalesce("starts", F.expr(f"CAST(array() AS {START})")))
 
@@ -66,17 +66,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col="item_id", text_col="text
     """docs (with text) -> its columns, n_words, n_hit, items (sorted ids), spans (word ranges, from 1, end exclusive)."""
     docs = set_apart(docs, RESULTS)
     windows = item_windows(benchmark, id_col, text_col)
-    counts = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.countDistinct("pair").alias("n")).collect()}  # 13 rows at most
+    known = windows.select("size", "pair").distinct()
+    pairs: dict[int, list[int]] = {}
+    for r in known.limit(set_bytes // 8 + 1).collect():
+        pairs.setdefault(r["size"], []).append(r["pair"])
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"), words_of(F.coalesce("text", F.lit(""))).alias("words"))
     rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    small = 8 * sum(counts.values()) <= set_bytes
-    if small:
-        pairs: dict[int, list[int]] = {}
-        for r in windows.select("size", "pair").distinct().collect():  # set_bytes / 8 rows at most
-            pairs.setdefault(r["size"], []).append(r["pair"])
+    if 8 * sum(map(len, pairs.values())) <= set_bytes:
         rows = starts_in_plan(rows, pairs)
-    elif counts:
-        rows = starts_by_join(rows, windows, sorted(counts))
+    else:
+        rows = starts_by_join(rows, known, range(1, WINDOW + 1))
     cut = F.expr("transform(starts, s -> struct(s.i AS start, s.i + s.size AS stop, array_join(slice(words, s.i, s.size), ' ') AS wtext))")
     rows = rows.select("row", "doc", F.size("words").cast("long").alias("n_words"), F.explode_outer(cut).alias("x"))
     # No row without a candidate meets another one.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -75,6 +76,12 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished jobs whose tables nothing refers to any more, before the next job needs the disk."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(col):
     """A-Z in lower case, everything else as it is."""
     return F.translate(col, UPPER, UPPER.lower())
