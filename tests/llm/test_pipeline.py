@@ -34,3 +34,16 @@ def test_stages(spark, sf, tmp_path):
             assert set(pieces) == set(had)
         docs = out
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_an_empty_table_and_columns_that_clash(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "one two three four five six seven " * 9, "en", "s", 9, 1.5, "x"), (None, None, None, None, None, None, None), (2, "", "en", "s", 0, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, spans string")
+    for df in (docs, docs.limit(0)):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            df = stage(spark, df, str(tmp_path))
+            assert i == 4 or df.columns == docs.columns
+            df = spark.createDataFrame(df.collect(), df.schema)
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
