@@ -18,7 +18,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import small_batches, written
+from .shared import free_shuffles, small_batches, written
 
 CHUNK_BYTES, IDX_BITS = 2 << 20, 20
 MASK = (1 << 64) - 1
@@ -92,7 +92,11 @@ def write_chunks(docs: DataFrame, ordered: bool = False, chunk_bytes: int = CHUN
         if ids:
             yield flush()
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, "chunk long, blob binary"), "chunks")
+    out = written(docs.select("doc_id", "text").mapInArrow(run, "chunk long, blob binary"), "chunks")
+    del docs
+    if ordered:
+        free_shuffles(out.sparkSession)
+    return out
 
 
 def bucket_bits(chunks: DataFrame) -> int:

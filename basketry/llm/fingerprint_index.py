@@ -30,7 +30,7 @@ from .shared import discard, free_shuffles, written
 
 WINDOW = 13
 #: Bytes of spans that one task verifies against a batch; more are dealt to several.
-VERIFY_BYTES = 8 << 20
+VERIFY_BYTES = 1 << 20
 RUNS = "bucket int, chunk long, blob binary, extra binary"
 
 
@@ -118,9 +118,15 @@ def own_hashes(size: int):
     return hashes
 
 
-def numbered(words: list[bytes], book: dict[bytes, int]) -> np.ndarray:
-    """A number for each word, equal for equal words; the book grows."""
-    return np.fromiter((book.setdefault(w, len(book)) for w in words), np.int64, len(words))
+def numbered(words: list[bytes], at: np.ndarray, size: int, book: dict[bytes, int]) -> np.ndarray:
+    """A number for each word that a window at one of these places has, equal for equal words; 0 for the others."""
+    cover = np.zeros(len(words) + 1, np.int64)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + size, -1)
+    here = np.flatnonzero(np.cumsum(cover)[:-1])
+    out = np.zeros(len(words), np.int64)
+    out[here] = [book.setdefault(words[i], len(book) + 1) for i in here.tolist()]
+    return out
 
 
 def unlike(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
@@ -179,8 +185,10 @@ def settled(chunk: Chunk, answers: pd.DataFrame, size: int, exact: dict[int, dic
     by_doc = words_of(chunk)
     flat = [w for own in by_doc for w in own]
     if exact is None:
-        own = numbered(flat, {})
-        differ = np.unique(batch.h[unlike(own, batch.at, own, batch.at[batch.first], size)]) if len(doc) else np.empty(0, np.uint64)
+        again = np.flatnonzero(batch.first != np.arange(len(batch.h)))
+        a, b = batch.at[again], batch.at[batch.first[again]]
+        own = numbered(flat, np.concatenate([a, b]), size, {})
+        differ = np.unique(batch.h[again[unlike(own, a, own, b, size)]])
     else:
         differ = np.empty(0, np.uint64)
         least: dict[bytes, int] = {}
@@ -206,14 +214,17 @@ def settled(chunk: Chunk, answers: pd.DataFrame, size: int, exact: dict[int, dic
 
 def differing(chunk: Chunk, spans: list[bytes], size: int) -> np.ndarray:
     """Hashes of windows in spans whose words aren't those of the chunk's window of the same hash."""
-    batch, book = Batch(chunk, size), {}
-    own = numbered([w for x in words_of(chunk) for w in x], book)
-    asked = WordTable(Chunk.of(spans), lower=False)
-    at, h = asked.windows(size)
-    other = numbered([w for s in spans for w in s.split()], book)
-    bad = ~contains(batch.sorted, h)
+    at, h = WordTable(Chunk.of(spans), lower=False).windows(size)
+    wanted = np.unique(h)
+    own_at, own_h = WordTable(chunk, lower=False).windows(size)
+    some = np.flatnonzero(contains(wanted, own_h))
+    have, first = np.unique(own_h[some], return_index=True)
+    bad = ~contains(have, h)
     here = np.flatnonzero(~bad)
-    mine = batch.at[batch.order[batch.lead[np.searchsorted(batch.sorted, h[here])]]]
+    mine = own_at[some[first[np.searchsorted(have, h[here])]]]
+    book: dict[bytes, int] = {}
+    other = numbered([w for s in spans for w in s.split()], at, size, book)
+    own = numbered([w for x in words_of(chunk) for w in x], mine, size, book)
     bad[here] = unlike(other, at[here], own, mine, size)
     return np.unique(h[bad])
 
@@ -292,6 +303,7 @@ def deduplicate(docs: DataFrame, size: int = WINDOW, index: DataFrame | None = N
         yield out.astype({"doc_id": object, "n_words": "Int64", "n_removed": "Int64", "source": "Int64", "h": "Int64"})
 
     out = written(at_chunks(chunks, found, settle, fields), "settled")
+    free_shuffles(spark)
     asks = written(out.where("source IS NOT NULL").select("source", "span").distinct(), "asks")
     free_shuffles(spark)
     bad = [r["h"] for r in collisions(asks, everything, size).union(out.where("h IS NOT NULL").select("h")).distinct().collect()]  # fingerprints of two windows: some million in 100 TB, none in a GB

@@ -7,6 +7,7 @@ import json
 import os
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -78,8 +79,10 @@ def discard(*tables: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of finished jobs whose tables nothing refers to any more, before the next job needs the disk."""
+    spark.range(1).write.format("noop").mode("overwrite").save()  # Spark holds on to the last job's plan
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.5)  # files are deleted in the background
 
 
 def ascii_lower(col):
