@@ -23,11 +23,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
-    """links (a, b) -> (node, root): every node that has a link, with the least node that it reaches.
-
-    After so many rounds as are given, roots are nodes that are reached, but a component may still have several.
-    """
+def contracted(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """links (a, b) -> written edges (u, v), v < u, that connect the same nodes: after enough rounds, or without a limit, each node with the least that it reaches."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     seen, n = None, 0
     while rounds is None or n < rounds:
@@ -38,6 +35,16 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
             if tuple(now) == seen:
                 break
             seen = tuple(now)
-    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+    return edges
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """Edges as contracted() makes them -> (node, root): nodes with one root are connected; after the last round all that are connected have one."""
     least = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return least.union(roots.join(least.select("node"), "node", "left_anti"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links (a, b) -> (node, root): every node that has a link, with the least node that it reaches."""
+    return labels(contracted(links))

@@ -47,7 +47,7 @@ def places(size: int, test: str = "true") -> str:
 
 
 def starts_in_plan(rows: DataFrame, pairs: dict[int, list[int]]) -> DataFrame:
-    """rows (row, doc, words, hashes) with starts, the candidates; pairs: those of each size, as literals."""
+    """rows (row, words, hashes, others) with starts, the candidates; pairs: those of each size, as literals."""
     found = [f"transform({places(n, f'{pair_at('i', n)} IN ({", ".join(map("{}L".format, pairs[n]))})')}, i -> struct(i AS i, {n} AS size))" for n in sorted(pairs)]
     return rows.withColumn("starts", F.expr(f"CAST(concat({', '.join(found)}) AS {START})") if found else F.expr(f"CAST(array() AS {START})"))
 
@@ -70,21 +70,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col="item_id", text_col="text
     pairs: dict[int, list[int]] = {}
     for r in known.limit(set_bytes // 8 + 1).collect():
         pairs.setdefault(r["size"], []).append(r["pair"])
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"), words_of(F.coalesce("text", F.lit(""))).alias("words"))
+    own = {f"c{i}": c for i, c in enumerate(docs.columns)}  # names that clash with none used here; what isn't asked for is never read
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *(F.col(f"`{c}`").alias(k) for k, c in own.items()), words_of(F.coalesce("text", F.lit(""))).alias("words"))
     rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     if 8 * sum(map(len, pairs.values())) <= set_bytes:
         rows = starts_in_plan(rows, pairs)
     else:
         rows = starts_by_join(rows, known, range(1, WINDOW + 1))
     cut = F.expr("transform(starts, s -> struct(s.i AS start, s.i + s.size AS stop, array_join(slice(words, s.i, s.size), ' ') AS wtext))")
-    rows = rows.select("row", "doc", F.size("words").cast("long").alias("n_words"), F.explode_outer(cut).alias("x"))
+    rows = rows.select("row", *own, F.size("words").cast("long").alias("n_words"), F.explode_outer(cut).alias("x"))
     # No row without a candidate meets another one.
     rows = rows.withColumn("key", F.coalesce("x.wtext", F.concat(F.lit("\0"), F.col("row").cast("string"))))
     joined = rows.join(windows.select(F.col("wtext").alias("key"), "items"), "key", "left")
     spans = F.collect_list(F.when(F.col("items").isNotNull(), F.struct("x.start", "x.stop")))
-    out = joined.groupBy("row").agg(F.first("doc").alias("doc"), F.first("n_words").alias("n_words"), F.array_sort(spans).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = joined.groupBy("row").agg(*(F.first(k).alias(k) for k in [*own, "n_words"]), F.array_sort(spans).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     covered = "aggregate(spans, struct(0 AS stop, 0L AS n), (a, s) -> struct(greatest(a.stop, s.stop) AS stop, a.n + greatest(0, s.stop - greatest(s.start, a.stop)) AS n), a -> a.n)"
-    return out.select("doc.*", "n_words", "spans", "items", F.expr(covered).alias("n_hit"))
+    return out.select(*(F.col(k).alias(c) for k, c in own.items()), "n_words", "spans", "items", F.expr(covered).alias("n_hit"))
 
 
 def contaminated() -> Column:

@@ -31,11 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import CHUNK_BYTES, IDX_BITS, Chunk, WordTable, at_chunks, bucket_bits, by_bucket, contains, decode_sorted, encode_sorted, mix, send_runs, write_chunks
-from .components import components
+from .components import contracted, labels
 from .shared import discard, written
 
 SHINGLE, NUM, DEN = 5, 3, 4  # words; similarity 3 / 4
-FORESTS, CLASSES, BLOCK = 2, 512, 512
+FORESTS, CLASSES, BLOCK = 2, 512, 256
 #: Counting looks at the upper 44 bits of a shingle's hash. Shingles that agree there are counted together, and too high
 #: a count only means that a document posts more than it has to.
 COUNTED = np.uint64(~0xFFFFF & (1 << 64) - 1)
@@ -238,7 +238,8 @@ def candidates(lists: DataFrame, comps: DataFrame | None, step: int, forest: boo
         rows = lists.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
         mixed = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
         rows = rows.join(mixed, "h", "left_semi")
-    blocks = F.ceil(F.col("m") / block)
+    # A power of two, so that long lists are dealt alike and name the same pairs.
+    blocks = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("m") / block)))).cast("long")
     rows = rows.withColumn("lo", F.pmod(F.xxhash64("rid", F.lit(step)), blocks)).withColumn("hi", F.col("lo")).withColumn("side", F.col("lo"))
     if not forest:  # every pair of blocks; a row goes with each block of its list
         rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumns({"lo": F.least("side", "j"), "hi": F.greatest("side", "j")}).drop("j")
@@ -295,21 +296,16 @@ def groups(docs: DataFrame, size: int = SHINGLE, chunk_bytes: int = CHUNK_BYTES,
     lists = written(long_lists(out), "lists")
     discard(chunks, keys)
     sets = out.where("kind = 1").select("rid", "n", "blob")
-    links, comps = None, None
+    edges, comps = None, None
     for step in range(FORESTS + 1):
         forest = step < FORESTS
         new = written(verified(candidates(lists, comps, step, forest, block, parts=16 << bits), sets), "links")
-        if new.isEmpty():
-            if forest:
-                continue
-            break
-        links = new if links is None else links.union(new)
-        if forest:  # groups that aren't whole yet only mean that more pairs are looked at
-            comps = written(components(links, rounds=1).select(F.col("node").alias("rid"), F.col("root").alias("comp")), "comps")
+        if edges is not None:
+            new = new.union(edges.toDF("a", "b"))
+        # After one round groups aren't whole yet, which only means that more pairs are looked at.
+        edges = contracted(new, rounds=1 if forest else None)
+        comps = written(labels(edges).toDF("rid" if forest else "rep", "comp"), "comps")
     discard(out, lists)
-    if links is None:
-        return members
-    comps = written(components(links).select(F.col("node").alias("rep"), F.col("root").alias("comp")), "comps")
     return members.join(comps, "rep", "left").withColumn("rep", F.coalesce("comp", "rep")).drop("comp")
 
 
