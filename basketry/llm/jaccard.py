@@ -35,7 +35,7 @@ from .components import contracted, labels
 from .shared import discard, written
 
 SHINGLE, NUM, DEN = 5, 3, 4  # words; similarity 3 / 4
-FORESTS, CLASSES, BLOCK = 2, 512, 256
+FORESTS, CLASSES, BLOCK = 3, 512, 256
 #: Counting looks at the upper 44 bits of a shingle's hash. Shingles that agree there are counted together, and too high
 #: a count only means that a document posts more than it has to.
 COUNTED = np.uint64(~0xFFFFF & (1 << 64) - 1)
@@ -230,7 +230,7 @@ def list_pairs(rid, n, pos, bits, comp, forest: bool, side=None) -> list[tuple[i
     return out
 
 
-def candidates(lists: DataFrame, comps: DataFrame | None, step: int, forest: bool, block: int, parts: int) -> DataFrame:
+def candidates(lists: DataFrame, comps: DataFrame | None, step: int, forest: bool, cross: bool, block: int, parts: int) -> DataFrame:
     """lists (and comps (rid, comp)) -> distinct pairs (a, b), a < b, of different groups."""
     if comps is None:
         rows = lists.withColumn("comp", F.col("rid"))
@@ -241,7 +241,7 @@ def candidates(lists: DataFrame, comps: DataFrame | None, step: int, forest: boo
     # A power of two, so that long lists are dealt alike and name the same pairs.
     blocks = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("m") / block)))).cast("long")
     rows = rows.withColumn("lo", F.pmod(F.xxhash64("rid", F.lit(step)), blocks)).withColumn("hi", F.col("lo")).withColumn("side", F.col("lo"))
-    if not forest:  # every pair of blocks; a row goes with each block of its list
+    if cross:  # every pair of blocks; a row goes with each block of its list
         rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumns({"lo": F.least("side", "j"), "hi": F.greatest("side", "j")}).drop("j")
 
     def run(pdf):
@@ -299,11 +299,11 @@ def groups(docs: DataFrame, size: int = SHINGLE, chunk_bytes: int = CHUNK_BYTES,
     edges, comps = None, None
     for step in range(FORESTS + 1):
         forest = step < FORESTS
-        new = written(verified(candidates(lists, comps, step, forest, block, parts=16 << bits), sets), "links")
+        new = written(verified(candidates(lists, comps, step, forest, step >= 2, block, parts=16 << bits), sets), "links")
         if edges is not None:
             new = new.union(edges.toDF("a", "b"))
-        # After one round groups aren't whole yet, which only means that more pairs are looked at.
-        edges = contracted(new, rounds=1 if forest else None)
+        # After one round groups aren't whole yet, which only means that the second pass looks at more pairs.
+        edges = contracted(new, rounds=None if step else 1)
         comps = written(labels(edges).toDF("rid" if forest else "rep", "comp"), "comps")
     discard(out, lists)
     return members.join(comps, "rep", "left").withColumn("rep", F.coalesce("comp", "rep")).drop("comp")
