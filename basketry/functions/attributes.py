@@ -35,6 +35,8 @@ NORMAL_FORMS = {
     "スプレー": "吸入",
     "ネブライザー": "吸入",
     "浣腸": "坐剤",
+    "点眼": "点眼",
+    "点鼻": "点鼻",
 }
 STRENGTHS = (r"\d+\.?\d*\s*(?:mg|g|ml|μg|mcg)", r"\d+\.?\d*%")
 DOSES = (r"\d+\s*(?:錠|包|ml|g)", r"\d+\s*×\s*\d+")

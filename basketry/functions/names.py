@@ -11,7 +11,8 @@ from pyspark.sql.types import StringType
 from .strings import half_width
 from .texts import let, replace_fold
 
-# Words, maps and patterns that results depend on, in the order in which they hold.
+# Words, maps and patterns that results depend on, in the order in which they hold. Keys that hold an
+# earlier key can't be reached and are left out.
 EXTERNAL = ("ゲル", "貼付", "外用", "軟膏", "クリーム")
 FORMS = ("錠", "OD錠", "口腔内崩壊錠", "カプセル", "顆粒", "細粒", "散", "液", "シロップ", "内用", *EXTERNAL)
 PLAIN_FORMS = ("錠", "OD錠", "口腔内崩壊", "腸溶", "徐放", "CR", "カプセル", "cap", "包", "顆粒", "散", "液", "ゲル", "軟膏", "クリーム", "貼付", "テープ")
@@ -72,6 +73,12 @@ def same_key(name: Column, raw: Column, given_route: Column) -> Column:
     return F.concat_ws("::", generic_name(half_width(without_forms(name))), by)
 
 
+def form_agnostic_key(c: Column) -> Column:
+    """The generic name without any form; two sleeping aids by their own names."""
+    base = generic_name(without_forms(F.replace(c, F.lit("ロ腔"), F.lit("口腔"))))
+    return let(base, lambda b: F.coalesce(*(F.when(F.contains(b, F.lit(x)), x) for x in ("スボレキサント", "レンボレキサント")), F.replace(b, F.lit(" "), F.lit(""))))
+
+
 def is_noise(c: Column) -> Column:
     return F.trim(c).rlike(NOISE)
 
@@ -83,9 +90,9 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def sanitized(c: Column) -> Column:
-    """Composed; brackets, mg, OD and blanks go, separators become a slash."""
+    """Composed; makers and brackets go with what they hold, amounts in mg, OD and blanks go, separators become a slash."""
     c = nfkc(c)
-    for pattern, to in (("[「」()]", ""), ("mg", ""), (r"(?U)\bOD\b", ""), ("[・+]", "/"), (r"\s", "")):
+    for pattern, to in (("「.*?」|\\(.*?\\)", ""), (r"(?iU)\s*(\d+(\.\d+)?)\s*mg\b", ""), (r"(?iU)\bOD\b", ""), ("[＋+･・/／，,]", "/"), (r"(?U)\s+", "")):
         c = F.regexp_replace(c, pattern, to)
     return c
 

@@ -15,8 +15,8 @@ def first_text(*cols) -> Column:
 
 
 def half_width(c: Column) -> Column:
-    """Full-width digits and letters to half-width, dashes to one kind, no blanks."""
-    return F.regexp_replace(F.regexp_replace(F.translate(c, FULL, HALF), "[‐‑‒–—―−－]", "-"), "[\\s　]", "")
+    """Full-width digits and letters to half-width, two look-alikes to the long-vowel mark, no blanks."""
+    return F.regexp_replace(F.translate(c, FULL + "―ｰ", HALF + "ーー"), "[ 　\t]", "")
 
 
 def to_katakana(c: Column) -> Column:

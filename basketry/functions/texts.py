@@ -91,3 +91,82 @@ def pattern_similarity(a: Column, b: Column, ends: int = 3) -> Column:
 def keyword_level(c: Column, levels: list[tuple[str, tuple]], default: str) -> Column:
     """The level of the first list of keywords of which the text holds one, case ignored."""
     return F.coalesce(*(F.when(F.lower(c).rlike("|".join(words)), lv) for lv, words in levels), F.lit(default))
+
+
+# Patterns of names in texts, in the order in which they are looked for.
+CHARACTERS = "ぁ-んァ-ヶ一-龥A-Za-z0-9・ー"
+BEFORE_FORMS = rf"(?:ツムラ)?([{CHARACTERS}\-]+?)(?:錠|カプセル|口腔内崩壊錠|顆粒|ゲル|散|液|エキス顆粒|テープ|点眼液|点鼻液|吸入液|注射剤|注射液|錠剤|カプセル剤|顆粒剤|ゲル剤|散剤|液剤)"
+BEFORE_AMOUNTS = (rf"([{CHARACTERS}]+?)(?=\s*\d+mg|\s*\d+μg|\s*\d+g|\s*\d+%)", rf"([{CHARACTERS}]+?)(?=\s*×|\s*食後|\s*食前|\s*眠前)")
+NAME_PATTERNS = (
+    rf"([{CHARACTERS}]+?)(?:錠|カプセル|口腔内崩壊錠|顆粒|ゲル|散|液|テープ)",
+    rf"(ツムラ[{CHARACTERS}]+?)(?:エキス顆粒|エキス散)",
+    rf"([{CHARACTERS}]+?[・][{CHARACTERS}]+?)(?:錠|カプセル)",
+    rf"([{CHARACTERS}]+?)(?:ゲル|軟膏|クリーム|貼付剤)",
+)
+FORM_FAMILIES = (
+    "錠|カプセル|口腔内崩壊錠|OD錠|腸溶錠|徐放錠|CR錠",
+    "顆粒|細粒|散|粉末",
+    "ゲル|軟膏|クリーム|ローション",
+    "貼付剤|テープ|パッチ",
+    "液|シロップ|エキス",
+    "注射|点滴|静注",
+    "吸入|スプレー|ネブライザー",
+    "坐剤|浣腸|点眼|点鼻",
+)
+EXPECTED = (
+    r"ルパフィン錠\s*\d+mg",
+    r"アムロジピン口腔内崩壊錠\s*\d+mg",
+    r"ベニジピン塩酸塩錠\s*\d+mg",
+    r"ニフェジピン徐放錠\s*\d+mg",
+    r"アルファカルシドール\s*[\d.]+µg",
+    r"フェブキソスタット錠\s*\d+mg",
+    r"リオナ錠\s*\d+mg",
+    r"炭酸ランタン口腔内崩壊錠\s*\d+mg",
+    r"タケキャブ錠\s*\d+mg",
+)
+
+
+def names_before_forms(block: Column) -> Column:
+    """Names before form words, and longer ones before amounts and times, in this order; a digit in front goes; each once."""
+    text = replace_fold(block, [("（医療用）", ""), ("次頁に続く", ""), ("医療用", "")])
+    tidy = lambda names, least: F.filter(F.transform(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: F.length(x) >= least), lambda x: F.regexp_replace(x, r"\A\d", "")), lambda x: F.length(x) >= least)
+    each = [tidy(F.regexp_extract_all(text, F.lit(BEFORE_FORMS), F.lit(1)), 2), *(tidy(F.regexp_extract_all(text, F.lit(p), F.lit(1)), 3) for p in BEFORE_AMOUNTS)]
+    return F.array_distinct(F.concat(*each))
+
+
+def pattern_names(text: Column) -> Column:
+    """The sorted distinct names of all patterns, noise left out."""
+    from .medicines import noise
+
+    found_ = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in NAME_PATTERNS))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(found_, lambda x: ~noise(x)), lambda x: F.trim(x))))
+
+
+def dictionary_names(text: Column, book: dict[str, str]) -> Column:
+    """The sorted distinct values of the keys that the text holds."""
+    from .steps import entries
+
+    return F.array_sort(F.array_distinct(F.transform(F.filter(entries(book), lambda e: F.contains(text, e.key)), lambda e: e.value)))
+
+
+def expected_lines(text: Column) -> Column:
+    """Matches of the expected patterns; if there are none, the lines with a unit and a digit."""
+    hits = F.concat(*(F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(0)) for p in EXPECTED))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.rlike("錠|mg|µg|g") & x.rlike(r"\d"))
+    return F.when(F.size(hits) > 0, hits).otherwise(lines)
+
+
+def cut_behind_forms(line: Column) -> Column:
+    """The pieces of a line up to each form word, for one family of forms after the other; a piece without the family's words stays whole."""
+
+    def family(words):
+        def cut(x):
+            pieces = F.transform(F.regexp_extract_all(x, F.lit(f"(?s).*?(?:{words})"), F.lit(0)), lambda y: F.trim(y))
+            return F.when(x.rlike(words), F.filter(pieces, lambda y: y != "")).otherwise(F.array(x))
+
+        return cut
+
+    out = F.array(line)
+    for words in FORM_FAMILIES:
+        out = F.flatten(F.transform(out, family(words)))
+    return out

@@ -5,7 +5,10 @@ from __future__ import annotations
 import difflib
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def best_per_key(df: DataFrame, keys: list[str], best: list, out_pos: str | None = None) -> DataFrame:
@@ -28,32 +31,60 @@ def two_stage(df: DataFrame, fine: list[str], coarse: list[str], best: list) ->
 
 
 def collapse_combos(df: DataFrame, group: str, name: str, separator: str = " ") -> DataFrame:
-    """Rows whose last word is also the last word of an earlier two-part name of the group go; anti-join on exploded parts."""
+    """Rows whose whole name is a part of any name of the group that has the separator go; anti-join on exploded parts."""
     parts = df.where(F.contains(F.col(name), F.lit(separator))).select(group, F.explode(F.split(name, separator)).alias(name)).distinct()
     return df.join(parts, [group, name], "left_anti")
 
 
 @lru_cache(100_000)
 def similarity(a: str, b: str) -> float:
-    if a == b:
+    """Of names in lower case without blanks: 1 if equal, .9 if one holds the other, else the share in matching blocks; 0 for empty names."""
+    if not a or not b:
+        return 0.0
+    x, y = ("".join(t.lower().split()) for t in (a, b))
+    if x == y:
         return 1.0
-    return 0.9 if a in b or b in a else difflib.SequenceMatcher(None, a, b).ratio()
-
-
-def greedy_similarity(df: DataFrame, group: str, name: str, pos: str, limit: float = 0.9) -> DataFrame:
-    """Rows of a group go if too similar to an earlier one that stays. Depends on order, so each group (one basket) is read in one piece."""
-
-    def run(pdf):
-        pdf = pdf.sort_values([group, pos])
-        keep, now, kept = [], None, []
-        for g, x in zip(pdf[group], pdf[name]):
-            if g != now:
-                now, kept = g, []
-            keep.append(not any(similarity(k, x) > limit for k in kept))
-            if keep[-1]:
-                kept.append(x)
-        return pdf[keep]
-
-    # Many groups to a call: a call for each small group would cost more than the work.
-    parts = df.withColumn("_part", F.pmod(F.xxhash64(group), F.lit(1024)))
-    return parts.groupBy("_part").applyInPandas(lambda pdf: run(pdf).drop(columns="_part"), df.schema)
+    return 0.9 if x in y or y in x else difflib.SequenceMatcher(None, x, y).ratio()
+
+
+def greedy_similarity(df: DataFrame, group: str, name: str, pos: str, confidence: str, limit: float = 0.9) -> DataFrame:
+    """A row joins the first earlier one of its group that is more similar than the limit, and takes its place if it is surer.
+
+    Returned with place: by falling confidence, then by the order of the first rows. A joined row is compared under the
+    name of the first. Null names count as empty, null confidences as 0. The order within a group (one basket) matters, so
+    a group is read in one piece; groups are streamed, sorted, and only one is held.
+    """
+    names = [*df.columns, "place"]
+
+    def settle(rows):
+        kept: list[list] = []  # [the first name, the row]
+        for row in rows:
+            own = (row[name] or "").strip()
+            for k in kept:
+                if similarity(own, k[0]) > limit:
+                    if (row[confidence] or 0) > (k[1][confidence] or 0):
+                        k[1] = row
+                    break
+            else:
+                kept.append([own, row])
+        order = sorted(range(len(kept)), key=lambda i: -(kept[i][1][confidence] or 0))
+        return [kept[i][1] | {"place": n} for n, i in enumerate(order)]
+
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if held and row[group] != now:
+                    out += settle(held)
+                    held = []
+                now = row[group]
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+        if held:
+            yield pa.RecordBatch.from_pylist(settle(held), arrow)
+
+    schema = StructType([*df.schema, StructField("place", LongType())])
+    arrow = to_arrow_schema(schema)
+    return df.repartition(group).sortWithinPartitions(group, pos).select(*names[:-1]).mapInArrow(run, schema)

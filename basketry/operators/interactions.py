@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import canonical, displayed
 from ..functions.strings import first_text
-from .rules import Rule, evaluate
+from .rules import Rule, evaluate, findings
 
-# The classes of each name, and the rules with severity, title and priority in their order.
+# The classes of each name, and the rules with severity, title and priority in their order. What follows #
+# in a title tells two rules of one title apart and isn't shown.
 CLASSES = {
     "タダラフィル": ("PDE5",),
     "ニコランジル": ("NITRATE_LIKE",),
@@ -50,6 +51,7 @@ RULES = [
     Rule("鎮静薬の多剤併用", "at_least", ("SEDATIVE",), severity="併用注意", priority=1),
     Rule("下剤の多剤併用", "at_least", ("LAXATIVE",), severity="併用注意"),
     Rule("甘草（芍薬甘草湯）＋刺激性下剤", "all_of", ("GLYCYRRHIZA", "STIM_LAX"), severity="併用注意", priority=1),
+    Rule("Ca拮抗薬の重複#DHP", "at_least", ("DHP_CCB",), severity="併用注意"),
     Rule("刺激性下剤の重複", "at_least", ("STIM_LAX",), severity="併用注意", priority=1),
     Rule("リン吸着薬／Ca製剤による他剤の吸収低下（該当薬あり：2時間以上間隔をあける）", "at_least", ("CALCIUM_BINDER", "PHOSPHATE_BINDER"), least=1, severity="併用注意", given=("CHELATED",)),
     Rule("リン吸着薬／Ca製剤による他剤の吸収低下（該当薬なし：一般注意）", "at_least", ("CALCIUM_BINDER", "PHOSPHATE_BINDER"), least=1, severity="併用注意", priority=3, without=("CHELATED",)),
@@ -59,21 +61,32 @@ RULES = [
 CHELATED = ("レボフロキサシン", "シプロフロキサシン", "モキシフロキサシン", "トスフロキサシン", "ミノサイクリン", "ドキシサイクリン", "テトラサイクリン", "レボチロキシン", "リオチロニン", "アレンドロネート", "リセドロネート", "ミノドロネート", "ミコフェノール", "硫酸鉄", "フマル酸第一鉄", "クエン酸第一鉄")
 
 
+def class_tags(name: Column) -> Column:
+    """The classes of a name as it is, else as it is when cleaned, and that of names whose uptake a binder lowers; an empty array for none."""
+    book = F.create_map(*(x for k, v in CLASSES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    none = F.array().cast("array<string>")
+    chelated = F.when(name.rlike("|".join(CHELATED)), F.array(F.lit("CHELATED"))).otherwise(none)
+    return F.concat(F.coalesce(book[name], book[canonical(name)], none), F.coalesce(chelated, none))
+
+
 def classified(mentions: DataFrame) -> DataFrame:
     """mentions (rx_id, generic, name, brand, raw) -> rx_id, name, tag: a row for each class of a name."""
-    book = F.create_map(*(x for k, v in CLASSES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     named = mentions.select("rx_id", first_text("generic", "name", "brand", "raw").alias("name"))
-    none = F.array().cast("array<string>")
-    chelated = F.when(F.col("name").rlike("|".join(CHELATED)), F.array(F.lit("CHELATED"))).otherwise(none)
-    return named.select("rx_id", "name", F.explode(F.concat(F.coalesce(book[F.col("name")], book[canonical(F.col("name"))], none), chelated)).alias("tag"))
+    return named.select("rx_id", "name", F.explode(class_tags(F.col("name"))).alias("tag"))
+
+
+def report_lines() -> Column:
+    """On a basket with items (distinct structs of name and tag): the findings by priority, a line each; empty if there are none."""
+    order = F.array_sort(findings(RULES, displayed))
+    return F.array_join(F.transform(order, lambda f: F.concat(F.lit("["), f.severity, F.lit("] "), F.substring_index(f.rule_id, "#", 1), F.lit("："), f.targets)), "\n")
 
 
 def report(mentions: DataFrame) -> DataFrame:
     """rx_id, title, severity, priority, targets, rank: the findings of each basket by priority, then in the rules' order.
 
-    Two rules of one title on calcium antagonists are one here. Null or blank names are in no class; an empty table has no findings.
+    Null or blank names are in no class; an empty table has no findings.
     """
     found = evaluate(classified(mentions), RULES, displayed)
     order = F.create_map(*(F.lit(x) for i, r in enumerate(RULES) for x in (r.id, i)))[F.col("rule_id")]
     rank = F.row_number().over(Window.partitionBy("rx_id").orderBy("priority", order))
-    return found.select("rx_id", F.col("rule_id").alias("title"), "severity", "priority", "targets", rank.alias("rank"))
+    return found.select("rx_id", F.substring_index("rule_id", "#", 1).alias("title"), "severity", "priority", "targets", rank.alias("rank"))

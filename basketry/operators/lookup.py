@@ -63,3 +63,28 @@ def layered(hits: DataFrame, by: str, bonus: float = 0.05, most: float = 0.2) ->
 def staged(name: Column, steps: list[tuple[str, Column]]) -> tuple[Column, Column]:
     """(result, step) of the first step with a result: a cascade with its lineage; else the name itself, step none."""
     return F.coalesce(*(v for _, v in steps), name), F.coalesce(*(F.when(v.isNotNull(), k) for k, v in steps), F.lit("none"))
+
+
+def nearest(names: DataFrame, book: DataFrame) -> DataFrame:
+    """names (q, distinct) and book (name, distinct) -> q, name, distance: the name with the fewest edits, of equal ones the first.
+
+    A name that has no two neighbouring characters in common with q is at least (length(q) - 1) / 2 edits away, so names
+    that share a pair settle most questions by an equi-join on pairs. For what is left names of all lengths that could
+    still be nearer are compared, again by an equi-join, on the length.
+    """
+    pairs = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, F.lit(2)))))
+    both = names.select("q", pairs(F.col("q")).alias("p")).join(book.select("name", pairs(F.col("name")).alias("p")), "p").select("q", "name").distinct()
+    first = lambda rows: rows.withColumn("distance", F.levenshtein("q", "name")).groupBy("q").agg(F.min(F.struct("distance", "name")).alias("x"))
+    found = names.join(first(both), "q", "left")
+    sure = F.col("x.distance") < (F.length("q") - 1) / 2
+    longest = book.agg(F.max(F.length("name")).alias("longest"))
+    open_ = found.where(~F.coalesce(sure, F.lit(False))).crossJoin(F.broadcast(longest))  # one row
+    reach = F.coalesce("x.distance", F.greatest(F.length("q"), "longest"))
+    rest = open_.select("q", F.explode(F.sequence(F.greatest(F.lit(0), F.length("q") - reach), F.least("longest", F.length("q") + reach))).alias("n"))
+    rest = first(rest.join(book.withColumn("n", F.length("name")), "n").select("q", "name"))
+    return found.where(sure).select("q", "x").union(rest).select("q", "x.name", "x.distance")
+
+
+def inserted_if_absent(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys and order of each key's first row."""
+    return rows.groupBy(*keys).agg(F.min(order).alias(order))

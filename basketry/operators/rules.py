@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """kind: all_of, any_any (one of either list), at_least (distinct names), tag_sum (a name counts for each of its tags), with_least (one of others, and least distinct names of terms)."""
+    """kind: all_of, any_any (one of either list), at_least (distinct names), tag_sum (a name counts for each of its tags), with_least (one of others, and least distinct names of terms), tags_present (least of the terms)."""
 
     id: str
     kind: str
@@ -39,6 +39,8 @@ def fires(rule: Rule) -> Column:
     listed = f"filter(items, x -> x.tag IN ({_sql_list(rule.terms)}))"
     if rule.kind == "with_least":
         return fires(Rule("", "at_least", rule.terms, least=rule.least)) & F.expr(f"arrays_overlap({have}, array({_sql_list(rule.others)}))")
+    if rule.kind == "tags_present":
+        return F.expr(f"size(array_distinct(transform({listed}, x -> x.tag))) >= {rule.least}")
     if rule.kind == "at_least":
         return F.expr(f"size(array_distinct(transform({listed}, x -> x.name))) >= {rule.least}")
     return F.expr(f"size({listed}) >= {rule.least}")
@@ -62,16 +64,11 @@ def tagged(items: DataFrame, tags: dict[str, tuple], on: str) -> DataFrame:
     return items.withColumn("tag", F.explode(table[F.col(on)]))
 
 
-def evaluate(items: DataFrame, rules: list[Rule], render=comma_joined) -> DataFrame:
-    """items (rx_id, name, tag) -> rx_id, rule_id, severity, priority, targets; rules that others suppress are left out.
-
-    render makes the targets' text of their sorted names. Rows without a name or a tag are in no class; a repeated row counts once.
-    """
-    items = items.where("name IS NOT NULL AND tag IS NOT NULL")
-    baskets = items.groupBy("rx_id").agg(F.collect_set(F.struct("name", "tag")).alias("items"))
+def findings(rules: list[Rule], render=comma_joined) -> Column:
+    """On a basket with a column items (distinct structs of name and tag): an array of priority, place (the rule's), rule_id, severity, targets of the rules that hold and that no other suppresses."""
     by_id = {r.id: r for r in rules}
     found = []
-    for r in rules:
+    for i, r in enumerate(rules):
         ok = fires(r)
         for tag in r.given:
             ok = ok & has(tag)
@@ -79,8 +76,19 @@ def evaluate(items: DataFrame, rules: list[Rule], render=comma_joined) -> DataFr
             ok = ok & ~has(tag)
         for other in r.unless:
             ok = ok & ~fires(by_id[other])
-        found.append(F.when(ok, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.priority).alias("priority"), render(targets(r)).alias("targets"))))
-    return baskets.select("rx_id", F.explode(F.array_compact(F.array(*found))).alias("f")).select("rx_id", "f.*")
+        row = F.struct(F.lit(r.priority).alias("priority"), F.lit(i).alias("place"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), render(targets(r)).alias("targets"))
+        found.append(F.when(ok, row))
+    return F.array_compact(F.array(*found))
+
+
+def evaluate(items: DataFrame, rules: list[Rule], render=comma_joined) -> DataFrame:
+    """items (rx_id, name, tag) -> rx_id, rule_id, severity, priority, targets; rules that others suppress are left out.
+
+    render makes the targets' text of their sorted names. Rows without a name or a tag are in no class; a repeated row counts once.
+    """
+    items = items.where("name IS NOT NULL AND tag IS NOT NULL")
+    baskets = items.groupBy("rx_id").agg(F.collect_set(F.struct("name", "tag")).alias("items"))
+    return baskets.select("rx_id", F.explode(findings(rules, render)).alias("f")).select("rx_id", "f.rule_id", "f.severity", "f.priority", "f.targets")
 
 
 def evaluate_sql(rules: list[Rule], items: str) -> str:
@@ -94,6 +102,8 @@ def evaluate_sql(rules: list[Rule], items: str) -> str:
             return f"bool_or(tag IN ({_sql_list(r.terms)})) AND bool_or(tag IN ({_sql_list(r.others)}))"
         if r.kind == "with_least":
             return f"bool_or(tag IN ({_sql_list(r.others)})) AND count(DISTINCT CASE WHEN tag IN ({_sql_list(r.terms)}) THEN name END) >= {r.least}"
+        if r.kind == "tags_present":
+            return f"count(DISTINCT CASE WHEN tag IN ({_sql_list(r.terms)}) THEN tag END) >= {r.least}"
         if r.kind == "at_least":
             return f"count(DISTINCT CASE WHEN tag IN ({_sql_list(r.terms)}) THEN name END) >= {r.least}"
         return f"count(DISTINCT CASE WHEN tag IN ({_sql_list(r.terms)}) THEN name || '|' || tag END) >= {r.least}"

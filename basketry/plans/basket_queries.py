@@ -227,5 +227,6 @@ def _(spark, sf):
 def _(spark, sf):
     """Kinds live for different times, as seen from the newest event."""
     e = read(spark, sf, "events")
-    now = F.lit(e.agg(F.max("ts")).first()[0])
-    return e.where(F.col("ts") > now - F.when(F.col("event_type") == "purchase", F.expr("INTERVAL 15 DAYS")).otherwise(F.expr("INTERVAL 5 DAYS"))).select("event_id")
+    newest = F.broadcast(e.agg(F.max("ts").alias("newest")))  # one row
+    lives = F.when(F.col("event_type") == "purchase", F.expr("INTERVAL 15 DAYS")).otherwise(F.expr("INTERVAL 5 DAYS"))
+    return e.join(newest, F.col("ts") > F.col("newest") - lives).select("event_id")

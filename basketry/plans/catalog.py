@@ -8,12 +8,11 @@ from ..functions import strings as S
 from ..operators import dedupe, pairs, rules
 from ..operators.rules import Rule
 from ..sources.tables import mentions, read
-from ..streaming.buffer import drain_events
+from ..streaming.buffer import drain_events, shared_folder
+from .pool import baskets
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 FLAGSHIP = "class_rule_report"
-#: A dictionary that travels as a literal may have so many names; a larger one is an error, never cut.
-MOST_NAMES = 10_000
 
 TAGS = {"PROMO": ("A", "X"), "ECONOMY": ("B", "X"), "SMALL": ("C",), "LARGE": ("D",), "MEDIUM": ("E",), "STANDARD": ("F",)}
 PAIR_RULES = [("PROMO", "SMALL", "contraindicated"), ("SMALL", "PROMO", "caution"), ("LARGE", "ECONOMY", "caution"), ("MEDIUM", "MEDIUM", "duplicate"), ("STANDARD", "PROMO", "monitor")]
@@ -86,9 +85,9 @@ def _(spark, sf):
     return g.where("n >= 2")
 
 
-@query("tag_counts", f", {TAGGED_SQL} SELECT rx_id, tag, count(*) AS n FROM t GROUP BY rx_id, tag")
+@query("tag_counts", f", {TAGGED_SQL} SELECT rx_id, tag, count(DISTINCT name) AS n FROM t GROUP BY rx_id, tag")
 def _(spark, sf):
-    return rules.tagged(mentions(spark, sf), TAGS, "cls").groupBy("rx_id", "tag").agg(F.count("*").alias("n"))
+    return rules.tagged(mentions(spark, sf), TAGS, "cls").groupBy("rx_id", "tag").agg(F.countDistinct("name").alias("n"))
 
 
 @query("tag_rule_hits", f", {TAGGED_SQL} " + rules.evaluate_sql(TAG_RULES, "t"))
@@ -173,18 +172,6 @@ def _(spark, sf):
     return name_pairs(spark, sf).select("a", "b", S.char_overlap_ratio(a, b).alias("ratio"), S.partial_ratio(a, b).alias("partial"), S.token_set_ratio(a, b).alias("token_set"))
 
 
-@query("fuzzy_best_match_levenshtein", "WITH n AS (SELECT DISTINCT p_name AS name FROM part), q AS (SELECT DISTINCT replace(p_name, 'e', 'a') || 's' AS q FROM part) SELECT q, name, CAST(levenshtein(q, name) AS INTEGER) AS distance FROM q, n QUALIFY row_number() OVER (PARTITION BY q ORDER BY levenshtein(q, name), name) = 1", with_mentions=False)
-def _(spark, sf):
-    """Distinct names only (a dictionary, tens of rows) meet the distinct questions: the dictionary travels as one array, in one row for each question."""
-    parts = read(spark, sf, "part")
-    words = sorted(r[0] for r in parts.select("p_name").distinct().limit(MOST_NAMES + 1).collect())
-    if len(words) > MOST_NAMES:
-        raise ValueError(f"a dictionary of more than {MOST_NAMES} names is no literal")
-    q = parts.select(F.concat(F.replace("p_name", F.lit("e"), F.lit("a")), F.lit("s")).alias("q")).distinct()
-    best = F.array_min(F.transform(F.array(*map(F.lit, words)), lambda n: F.struct(F.levenshtein(F.col("q"), n).alias("distance"), n.alias("name"))))
-    return q.select("q", best.alias("x")).select("q", "x.name", "x.distance")
-
-
 @query("prefix_longest_match", "WITH p AS (SELECT DISTINCT p_brand AS code FROM part), k AS (SELECT * FROM (VALUES ('Brand', 'any'), ('Brand#1', 'ones'), ('Brand#12', 'twelve'), ('Brand#2', 'twos')) AS v(prefix, label)) SELECT code, label FROM p JOIN k ON starts_with(code, prefix) QUALIFY row_number() OVER (PARTITION BY code ORDER BY length(prefix) DESC) = 1", with_mentions=False)
 def _(spark, sf):
     table = {"Brand": "any", "Brand#1": "ones", "Brand#12": "twelve", "Brand#2": "twos"}
@@ -221,10 +208,10 @@ def _(spark, sf):
     return events(spark, sf).withColumn("n", F.row_number().over(w)).where("n <= 10").select("user_id", "event_id", "ts")
 
 
-@query("top5_per_user", "WITH g AS (SELECT user_id, event_type, count(*) AS n, min(ts) AS first FROM events GROUP BY user_id, event_type) SELECT user_id, event_type, n FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) <= 5", with_mentions=False)
+@query("top5_per_user", "WITH g AS (SELECT user_id, event_type, count(*) AS n, min(ts) AS first FROM events GROUP BY user_id, event_type) SELECT user_id, event_type, n FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first, event_type) <= 5", with_mentions=False)
 def _(spark, sf):
     g = events(spark, sf).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first"))
-    return g.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "first"))).where("r <= 5").select("user_id", "event_type", "n")
+    return g.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "first", "event_type"))).where("r <= 5").select("user_id", "event_type", "n")
 
 
 @query("session_reset_buffer", "WITH s AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seg FROM events) SELECT user_id, CAST(seg AS BIGINT) AS seg, count(*) FILTER (event_type = 'purchase') AS added, max(ts) AS last_ts FROM s GROUP BY user_id, seg", with_mentions=False)
@@ -236,7 +223,8 @@ def _(spark, sf):
 @query("retention_cleanup", "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY", with_mentions=False)
 def _(spark, sf):
     e = events(spark, sf)
-    return e.where(F.col("ts") >= F.lit(e.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 7 DAYS")).select("event_id", "ts")
+    newest = F.broadcast(e.agg(F.max("ts").alias("newest")))  # one row
+    return e.join(newest, F.col("ts") >= F.col("newest") - F.expr("INTERVAL 7 DAYS")).select("event_id", "ts")
 
 
 @query("audit_summary_by_date", "SELECT CAST(ts AS DATE) AS date, count(DISTINCT user_id) AS sessions, count(*) FILTER (event_type = 'error') AS errors, count(*) AS n FROM events GROUP BY 1", with_mentions=False)
@@ -249,9 +237,9 @@ def _(spark, sf):
     return events(spark, sf).select("event_id", F.from_json("props", "k int").k.alias("k"))
 
 
-@query("learn_upsert_latest", "SELECT user_id, event_type AS kind, arg_max(value, ts) AS value FROM events GROUP BY user_id, event_type", with_mentions=False)
+@query("learn_upsert_latest", "SELECT user_id, event_type AS kind, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type", with_mentions=False)
 def _(spark, sf):
-    return events(spark, sf).groupBy("user_id", F.col("event_type").alias("kind")).agg(F.max_by("value", "ts").alias("value"))
+    return events(spark, sf).groupBy("user_id", F.col("event_type").alias("kind")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
 @query("union_sources", "SELECT rx_id, pos, name, 'a' AS source FROM m WHERE cls = 'PROMO' UNION ALL SELECT rx_id, pos, name, 'b' FROM m WHERE qty > 40")
@@ -286,16 +274,12 @@ def _(spark, sf):
 
 @query("streaming_user_buffer", "WITH s AS (SELECT *, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seg FROM events) SELECT user_id, event_id, seg, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, seg ORDER BY ts, event_id) AS BIGINT) AS held FROM s", with_mentions=False)
 def _(spark, sf):
-    import tempfile
-
-    # The cluster's shared folder; only where none is named (tests on one machine) a folder of this one.
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    return drain_events(spark, sf, folder)
+    return drain_events(spark, sf, shared_folder(spark))
 
 
 @query("greedy_similarity_dedupe")
 def _(spark, sf):
-    return dedupe.greedy_similarity(mentions(spark, sf).select("rx_id", "pos", "name"), "rx_id", "name", "pos")
+    return dedupe.greedy_similarity(baskets(spark, sf).select("rx_id", "pos", "name", "confidence"), "rx_id", "name", "pos", "confidence")
 
 
-from . import basket_queries, lookup_queries, text_queries  # noqa: E402, F401 (they register theirs)
+from . import basket_queries, lookup_queries, name_queries, record_queries, risk_queries, text_queries  # noqa: E402, F401 (they register theirs)

@@ -84,24 +84,25 @@ def _(spark, sf):
     return read(spark, sf, "part").select("p_name").distinct().withColumn("fixed", T.replace_fold(F.col("p_name"), MISREAD))
 
 
-@query("rule_stats", "SELECT level, count(*) AS n FROM (VALUES ('major'), ('moderate'), ('moderate'), ('minor')) AS v(level) GROUP BY level", with_mentions=False)
-def _(spark, sf):
-    return spark.range(4).select(F.element_at(F.array(*map(F.lit, ("major", "moderate", "moderate", "minor"))), F.col("id").cast("int") + 1).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
-
-
 MEDICINES = [*interactions.CLASSES, "レボフロキサシン"]
-ITEMS_SQL = "MEDS AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(MEDICINES)) + ") AS v(i, name)), cls AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, ts in [*interactions.CLASSES.items(), ("レボフロキサシン", ("CHELATED",))] for t in ts) + ") AS v(name, tag)), items AS (SELECT rx_id, MEDS.name, tag FROM m JOIN MEDS ON i = part % 27 LEFT JOIN cls ON MEDS.name = cls.name)"
+ITEMS_SQL = "MEDS AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(MEDICINES)) + ") AS v(i, name)), cls AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, ts in [*interactions.CLASSES.items(), ("レボフロキサシン", ("CHELATED",))] for t in ts) + ") AS v(name, tag)), items AS (SELECT rx_id, MEDS.name || CASE pos % 3 WHEN 1 THEN '「サンド」' WHEN 2 THEN ' 5mg' ELSE '' END AS name, tag FROM m JOIN MEDS ON i = part % 27 LEFT JOIN cls ON MEDS.name = cls.name AND NOT (contains(MEDS.name, '・') AND pos % 3 <> 0))"
 TITLES_SQL = "CASE rule_id " + " ".join(f"WHEN '{r.id}' THEN {i}" for i, r in enumerate(interactions.RULES)) + " END"
-SHOWN_SQL = "array_to_string(list_sort(list_distinct(list_transform(string_split(targets, ', '), lambda x: CASE x WHEN 'ニフェジピン' THEN 'ニフェジピン徐放' ELSE x END))), '、')"
+SHOWN_SQL = "array_to_string(list_sort(list_distinct(list_transform(string_split(targets, ', '), lambda x: CASE replace(replace(x, '「サンド」', ''), ' 5mg', '') WHEN 'ニフェジピン' THEN 'ニフェジピン徐放' ELSE replace(replace(x, '「サンド」', ''), ' 5mg', '') END))), '、')"
 
 
-@query("interaction_report", f", {ITEMS_SQL}, f AS ({rules.evaluate_sql(interactions.RULES, 'items')}) SELECT rx_id, rule_id AS title, severity, priority, {SHOWN_SQL} AS targets, CAST(row_number() OVER (PARTITION BY rx_id ORDER BY priority, {TITLES_SQL}) AS INTEGER) AS rank FROM f")
+@query("interaction_report", f", {ITEMS_SQL}, f AS ({rules.evaluate_sql(interactions.RULES, 'items')}) SELECT rx_id, string_split(rule_id, '#')[1] AS title, severity, priority, {SHOWN_SQL} AS targets, CAST(row_number() OVER (PARTITION BY rx_id ORDER BY priority, {TITLES_SQL}) AS INTEGER) AS rank FROM f")
 def _(spark, sf):
-    """Every basket's report, with medicines in the places of parts."""
+    """Every basket's report, with medicines in the places of parts, every third with a maker and every third with an amount.
+
+    A name with a dot between its parts is known as it is written only: cleaning makes the dot a slash.
+    """
     m = mentions(spark, sf)
     name = F.element_at(F.array(*map(F.lit, MEDICINES)), (F.col("part") % len(MEDICINES)).cast("int") + 1)
+    name = F.concat(name, F.when(F.col("pos") % 3 == 1, "「サンド」").when(F.col("pos") % 3 == 2, " 5mg").otherwise(""))
     none = F.lit(None).cast("string")
     return interactions.report(m.select("rx_id", name.alias("generic"), none.alias("name"), none.alias("brand"), none.alias("raw")))
+
+
 CUT_PAIRS = [(a, b) for a in ("cold", "small", "red", "large", "fast") for b in ("widget", "bolt", "gear")]
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import attributes as A, names as N, texts as T
+from ..functions.strings import first_text
 from ..operators import dedupe, interactions
 
 KINDS = "般|外|麻|向"
@@ -37,21 +38,21 @@ def distinct_items(rows: DataFrame) -> DataFrame:
     return dedupe.best_per_key(rows.withColumn("key", key), ["rx_id", "key"], [F.desc(best), F.col("pos"), F.col("raw")], "pos").drop("key")
 
 
-def gate(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """rx_id, n_items, issues, passed, retry, for every text."""
+def diagnose(texts: DataFrame) -> DataFrame:
+    """texts (rx_id, text) -> rx_id, n_items, issues, passed, retry, report (findings by priority, one a line; empty if none), for every text.
+
+    The items of a text are gathered once; the gate and the report come from the same row.
+    """
+    rows = distinct_items(items(texts))
+    name = first_text("generic", "raw")
+    tagged = F.transform(interactions.class_tags(F.col("name")), lambda t: F.struct(F.col("name").alias("name"), t.alias("tag")))
     known = F.count_if(F.col("strength").isNotNull()) / F.count("*")
-    g = rows.groupBy("rx_id").agg(F.count("*").alias("n"), known.alias("cover"), F.count_if(F.col("confidence") < CONFIDENCE).alias("low"))
+    g = rows.withColumn("name", name).withColumn("tags", tagged).groupBy("rx_id").agg(
+        F.count("*").alias("n"), known.alias("cover"), F.count_if(F.col("confidence") < CONFIDENCE).alias("low"), F.array_distinct(F.flatten(F.collect_list("tags"))).alias("items")
+    )
+    g = g.withColumn("report", interactions.report_lines()).drop("items")
     n = F.coalesce("n", F.lit(0))
     high = F.coalesce(F.col("cover"), F.lit(0.0)) < COVERAGE
     issues = F.concat_ws(",", F.when(high, "low_coverage"), F.when(F.col("low") > 0, "low_confidence"), F.when((n < 1) | (n > MOST_ITEMS), "count_out_of_range"))
-    return texts.select("rx_id").distinct().join(g, "rx_id", "left").select("rx_id", n.cast("long").alias("n_items"), issues.alias("issues"), (~high).alias("passed"), high.alias("retry"))
-
-
-def diagnose(texts: DataFrame) -> DataFrame:
-    """texts (rx_id, text) -> rx_id, n_items, issues, passed, retry, report (findings by priority, one a line; empty if none)."""
-    rows = distinct_items(items(texts))
-    none = F.lit(None).cast("string")
-    found = interactions.report(rows.select("rx_id", "generic", none.alias("name"), none.alias("brand"), "raw"))
-    line = F.concat(F.lit("["), "severity", F.lit("] "), "title", F.lit("："), "targets")
-    lines = found.groupBy("rx_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))
-    return gate(texts, rows).join(lines, "rx_id", "left").withColumn("report", F.coalesce(F.array_join(F.col("x.line"), "\n"), F.lit(""))).drop("x")
+    out = texts.select("rx_id").distinct().join(g, "rx_id", "left")
+    return out.select("rx_id", n.cast("long").alias("n_items"), issues.alias("issues"), (~high).alias("passed"), high.alias("retry"), F.coalesce("report", F.lit("")).alias("report"))

@@ -46,8 +46,8 @@ def test_ratios(spark):
 def test_first_text_and_widths(spark):
     df = spark.createDataFrame([("", " ", "x"), (None, "b", "c")], "a string, b string, c string")
     assert [r[0] for r in df.select(S.first_text("a", "b", "c")).collect()] == ["x", "b"]
-    wide = spark.createDataFrame([("ＡＢ１　ー—あ",)], "s string")
-    assert wide.select(S.half_width(F.col("s"))).first()[0] == "AB1ー-あ"
+    wide = spark.createDataFrame([("ＡＢ１　ー―ｰ- あ",)], "s string")
+    assert wide.select(S.half_width(F.col("s"))).first()[0] == "AB1ーーー-あ"
     assert wide.select(S.to_katakana(F.col("s"))).first()[0].endswith("ア")
 
 
