@@ -59,8 +59,10 @@ RISKS_SQL = CLASSED_SQL + ", " + S.values_sql("k", "risk, level, priority, descr
 
 
 def clinical_risks(spark, sf):
-    """One shuffle: an item goes to the risks of its category, and to the one for sleeping aids of both kinds."""
-    own = risky(spark, sf).select("rx_id", "name").distinct().withColumn("category", C.category(F.col("name"), M.plain(F.col("name"))))
+    """Each different name is classified once; an item goes to the risks of its category, and to the one for sleeping aids of both kinds."""
+    items = risky(spark, sf).select("rx_id", "name").distinct()
+    classed = items.select("name").distinct().withColumn("category", C.category(F.col("name"), M.plain(F.col("name"))))
+    own = items.join(classed, "name")
     row = lambda n, cs, lv, p, t, extra: F.struct(F.lit(n).alias("risk"), F.lit(lv).alias("level"), F.lit(p).alias("priority"), F.lit(t).alias("description"), F.array(*map(F.lit, cs)).alias("categories"), F.lit(extra).alias("extra"))
     table = F.array(*(row(*r, False) for r in K.RISKS), row(*K.SLEEP, True))
     hit = own.select("rx_id", "name", F.explode(F.filter(table, lambda r: F.array_contains(r.categories, F.col("category")))).alias("r"))
