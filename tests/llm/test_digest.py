@@ -42,3 +42,57 @@ def test_odd_texts_and_small_chunks(spark):
     assert got[0] == got[1] and len(got[0]) == 7
     assert got[0][0][3] == got[0][1][3] == "" and got[0][5][3] == got[0][6][3]
     assert digest.fingerprints_with_edits(docs.limit(0)).count() == 0
+
+
+def plain_chain(text, ranks):
+    """The filters of one text with plain loops: ranks of windows, points, hashes, bits."""
+    b, mask = text.encode(), (1 << 64) - 1
+
+    def mixed(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & mask
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    base = 0x9E3779B97F4A7C15
+    code = [mixed((i + 1) * base & mask) for i in range(256)]
+    own_hash = lambda x: sum(code[c] * pow(base, i, 1 << 64) for i, c in enumerate(x)) & mask
+    part = lambda n: round(n * math.log2(n) * (1 << 20)) if n else 0
+    windows = [b[i : i + 64] for i in range(len(b) - 63)]
+    rank = [int(ranks[sum(map(part, Counter(w).values())) * 1000 // part(64)]) for w in windows]
+    points, last, picks = 0, None, []
+    for i in range(len(rank) - 63):
+        at = min(range(i, i + 64), key=lambda j: (rank[j], j))
+        if at != last:
+            if last is not None and points >= 16:
+                picks.append(last)
+            points, last = 0, at
+        points += 1
+    if last is not None and points >= 16:
+        picks.append(last)
+    if picks:
+        hashes = [mixed(own_hash(windows[i])) for i in picks]
+    elif windows:
+        hashes = [mixed(own_hash(windows[min(range(len(rank)), key=lambda j: (rank[j], j))]))]
+    else:
+        hashes = [mixed(own_hash(b) + len(b) & mask)] if b else []
+    hashes = list(dict.fromkeys(hashes))
+    out = []
+    for i in range(0, len(hashes), 160):
+        bits = [0] * 2048
+        for h in hashes[i : i + 160]:
+            for k in range(5):
+                bits[h >> 11 * k & 2047] = 1
+        out.append(np.packbits(np.asarray(bits, np.uint8)).tobytes())
+    return b"".join(out)
+
+
+def test_construction_against_a_plain_version():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeé ñ1.")) for _ in range(6)) for _ in range(60)]
+    texts = ["", "x", "é" * 20, "ab" * 40, "z" * 300, *(" ".join(rng.choice(words, n)) for n in (9, 11, 18, 25, 60, 300))]
+    ranks = np.empty(digest.STEPS + 1, np.int64)
+    ranks[rng.permutation(digest.STEPS + 1)] = np.arange(digest.STEPS + 1)
+    got = digest.features([t.encode() for t in texts], ranks)
+    assert [digest.filters(x).tobytes() for x in got] == [plain_chain(t, ranks) for t in texts]
