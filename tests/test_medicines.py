@@ -40,6 +40,11 @@ def test_corrections_and_keys(spark):
     assert of(spark, ["トラマドール 37.5mg 第一三共", "1.5 g", "なし"], M.amount) == ["37.5mg", "1.5g", None]
 
 
+def test_keys_without_forms(spark):
+    got = of(spark, ["ファモチジンロ腔内崩壊錠", "ベルソムラ錠", "デエビゴ", "アスピリン腸溶錠", "何か 錠"], N.form_agnostic_key)
+    assert got == ["ファモチジン", "スボレキサント", "レンボレキサント", "アスピリン", "何か"]
+
+
 def test_similarity(spark):
     rows = [("アムロジピン", "アムロジピン"), ("アムロ", "アムロジピン"), ("ロゼレム", "ロゼルム"), ("", "a"), ("ABcd", "abce")]
     got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(M.similarity(F.col("a"), F.col("b"))).collect()]
