@@ -6,6 +6,9 @@ expressions of the JVM and of RE2 have in common: no look-around, Unicode classe
 
 from __future__ import annotations
 
+import re
+from itertools import zip_longest
+
 from pyspark.sql import Column, functions as F
 
 #: Blanks as Unicode text has them: the ASCII ones and the ideographic one.
@@ -39,6 +42,13 @@ def sql(expr: str, steps: list[tuple]) -> str:
     return expr
 
 
+def text(s: str, steps: list[tuple]) -> str:
+    """The steps on one string, for keys of small tables."""
+    for kind, *how in steps:
+        s = s.replace(*how) if kind == "replace" else re.sub(how[0], how[1], s) if kind == "regex" else s.translate(str.maketrans(dict(zip_longest(*how, fillvalue=None))))
+    return s
+
+
 def any_of(c: Column, words) -> Column:
     out = F.lit(False)
     for w in words:

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import classes as C, medicines as M, steps as S
 from ..operators import knowledge as K, pairs, rules
-from ..sources.tables import mentions
-from .pool import NAMES_SQL, names, picked
+from ..sources.tables import mentions, read
+from .pool import NAMES_SQL, POOL, names, picked
 from .registry import query
 
 Q = S.quoted
 #: Names of pair rules and class risks in the places of parts.
-RISKY = list(dict.fromkeys(["タダラフィル", "ニコランジル", "タケキャブ", "ランソプラゾール", "ボノプラザン", "エナラプリル", "エンレスト", "テラムロ", "バルサルタン", "ワルファリン", "アスピリン", "ジゴキシン", "アミオダロン", "シンバスタチン", "ベルソムラ", "ロゼレム", "デエビゴ", "フルボキサミン", "クラリスロマイシン", "アムロジピン", "センノシド", "リナクロチド", "芍薬甘草湯", "イブプロフェン", "アトルバスタチン", "ニフェジピン", "リオナ", "炭酸ランタン", "沈降炭酸カルシウム", "メトホルミン", "プレドニゾロン", "サクビトリル/バルサルタン", "センナ・センナ実", "不明薬"]))
+RISKY = list(dict.fromkeys(["タダラフィル", "ニコランジル", "タケキャブ", "ランソプラゾール", "ボノプラザン", "エナラプリル", "エンレスト", "テラムロ", "バルサルタン", "ワルファリン", "アスピリン", "ジゴキシン", "アミオダロン", "シンバスタチン", "ベルソムラ", "ロゼレム", "デエビゴ", "フルボキサミン", "クラリスロマイシン", "アムロジピン", "センノシド", "リナクロチド", "芍薬甘草湯", "イブプロフェン", "アトルバスタチン", "ニフェジピン", "リオナ", "炭酸ランタン", "沈降炭酸カルシウム", "メトホルミン", "プレドニゾロン", "サクビトリル/バルサルタン", "センナ・センナ実", "不明薬", "エチゾラム", "フェノバルビタール", "リスペリドン", "デュロキセチン"]))
 RISKY_SQL = ", " + S.values_sql("rp", "i, name", list(enumerate(RISKY))) + f", r AS (SELECT m.* REPLACE (rp.name AS name) FROM m JOIN rp ON i = part % {len(RISKY)})"
 
 
@@ -45,12 +45,18 @@ CATEGORY_SQL = f"coalesce({S.first_contained_sql('lower(name)', {k.lower(): v fo
 LADDER_SQL = "CASE " + " ".join(f"WHEN {S.any_of_sql('lower(name)', words)} THEN {Q(label)}" for label, words in C.LADDER) + " ELSE 'unknown' END"
 
 
-@query("category_prediction", f"WITH {NAMES_SQL}, p AS (SELECT *, {S.sql('name', M.PLAIN_STEPS)} AS bare FROM nm), c AS (SELECT k, {CATEGORY_SQL} AS category, {LADDER_SQL} AS rung FROM p) SELECT *, coalesce({S.mapped_sql('category', C.CATEGORY_LABELS)}, category) AS label FROM c", with_mentions=False)
+#: Every name of the category table, with a form and an amount, beside the pool's.
+CATEGORIZED = [*POOL, *(f"{name}錠10mg" for name in C.CATEGORIES)]
+CATEGORIZED_SQL = S.values_sql("cp", "i, name", list(enumerate(CATEGORIZED))) + f", nm AS (SELECT p_partkey AS k, name FROM part JOIN cp ON i = p_partkey % {len(CATEGORIZED)})"
+
+
+@query("category_prediction", f"WITH {CATEGORIZED_SQL}, p AS (SELECT *, {S.sql('name', M.PLAIN_STEPS)} AS bare FROM nm), c AS (SELECT k, {CATEGORY_SQL} AS category, {LADDER_SQL} AS rung FROM p) SELECT *, coalesce({S.mapped_sql('category', C.CATEGORY_LABELS)}, category) AS label FROM c", with_mentions=False)
 def _(spark, sf):
-    """The category of a name by a dictionary and by the ladder, and the first one's label."""
-    c = F.col("name")
-    cat = C.category(c, M.plain(c))
-    return names(spark, sf).select("k", cat.alias("category"), C.ladder(c).alias("rung")).withColumn("label", F.coalesce(S.mapped(F.col("category"), C.CATEGORY_LABELS), "category"))
+    """The category of a name by a dictionary and by the ladder, and the first one's label; each different name is looked up once."""
+    c, k = F.col("name"), F.col("p_partkey")
+    rows = read(spark, sf, "part").select(k.alias("k"), picked(CATEGORIZED, k).alias("name"))
+    known = rows.select("name").distinct().select("name", C.category(c, M.plain(c)).alias("category"), C.ladder(c).alias("rung"))
+    return rows.join(known, "name").select("k", "category", "rung", F.coalesce(S.mapped(F.col("category"), C.CATEGORY_LABELS), "category").alias("label"))
 
 
 CLASSED_SQL = RISKY_SQL + f", w AS (SELECT DISTINCT rx_id, name, {S.sql('name', M.PLAIN_STEPS)} AS bare FROM r), g AS (SELECT rx_id, name, {CATEGORY_SQL} AS category FROM w)"
