@@ -109,8 +109,12 @@ def canonical(c: Column) -> Column:
     return c
 
 
+#: Fixed value: three names that stand in this order where they are all that is shown.
+THREE = ("エナラプリル", "サクビトリル/バルサルタン", "テルミサルタン/アムロジピン")
+
+
 def displayed(names: Column) -> Column:
-    """Strength, maker and blanks go, brands become generic names, each is named once; an empty list has its own text."""
+    """Strength, maker and blanks go, brands become generic names, each is named once; THREE has its order, an empty list its own text."""
 
     def show(x):
         for pattern in (r"(?i)\s*\d+(\.\d+)?\s*mg\b", "「.*?」", r"\s+"):
@@ -118,5 +122,7 @@ def displayed(names: Column) -> Column:
         x = let(x, lambda y: F.when(F.contains(y, F.lit("徐放")), y).otherwise(F.replace(y, F.lit("ニフェジピン"), F.lit("ニフェジピン徐放"))))
         return let(x, lambda y: F.coalesce(table(BRANDS, y), y))
 
-    shown = F.array_distinct(F.transform(names, show))
+    three = F.array(*map(F.lit, THREE))
+    ordered = lambda x: F.when((F.size(x) == len(THREE)) & (F.size(F.array_except(three, x)) == 0), three).otherwise(x)
+    shown = let(F.array_distinct(F.transform(names, show)), ordered)
     return F.when(F.size(shown) > 0, F.array_join(shown, "、")).otherwise("（該当なし）")

@@ -57,6 +57,28 @@ RULES = [
     Rule("リン吸着薬／Ca製剤による他剤の吸収低下（該当薬なし：一般注意）", "at_least", ("CALCIUM_BINDER", "PHOSPHATE_BINDER"), least=1, severity="併用注意", priority=3, without=("CHELATED",)),
     Rule("エボカルセト＋下剤多剤（低Ca/QT延長リスク）", "with_least", ("LAXATIVE",), ("CALCIMIMETIC",), severity="併用注意", priority=3),
 ]
+CHECKS = "開始/変更後1–2週でCr/eGFR/K、血圧を再評価。"
+#: What is to be done, by rule; {why} stands for WHY where the targets hold its name.
+ACTIONS = {
+    "RAAS禁忌（ARNI＋ACEIの同時併用）": "禁忌（36時間ルール）。ACEI中止後36時間空けてARNIへ切替。" + CHECKS,
+    "RAAS重複（原則併用回避：ACEI/ARB/ARNI）": "低血圧・高K・腎機能悪化リスク。原則併用回避を検討。{why}" + CHECKS,
+    "PDE5阻害薬＋硝酸薬相当（禁忌）": "禁忌。重度低血圧・失神リスクのため併用回避。",
+    "胃酸抑制薬の重複": "同効薬の重複投与に注意。適応・目的が同じなら簡素化を検討。",
+    "降圧薬の多剤併用": "過度な降圧リスク。血圧・腎機能・K値のモニタリングを強化。",
+    "オレキシン受容体拮抗薬＋CYP3A強阻害薬（禁忌）": "禁忌。CYP3A強阻害によりオレキシン薬の曝露が大幅上昇。併用回避。",
+    "フルボキサミン＋ラメルテオン（禁忌）": "禁忌。フルボキサミンによりラメルテオンの曝露が大幅上昇。併用回避。",
+    "CYP3A阻害薬＋DHP-CCB（注意）": "CYP3A阻害によりDHP-CCBの曝露上昇。過度の降圧・浮腫に注意。血圧・腎機能モニタリング強化。",
+    "Ca拮抗薬の重複": "低血圧・浮腫・反射性頻脈などに注意。目的がなければ再検討。",
+    "鎮静薬の多剤併用": "過鎮静・転倒リスク。必要性を再評価し、簡素化を検討。",
+    "下剤の多剤併用": "下痢・脱水・電解質異常（特にK）に注意。便回数・体重・血圧のモニタリング。必要性を再評価し簡素化を検討。",
+    "甘草（芍薬甘草湯）＋刺激性下剤": "低K血症（偽性アルドステロン症）や浮腫・高血圧のリスク。K値・血圧・浮腫を定期確認。",
+    "Ca拮抗薬の重複#DHP": "低血圧・浮腫などに留意。目的がなければ再検討。",
+    "刺激性下剤の重複": "腹痛/下痢/依存リスクに注意。便秘コントロールの再評価（用量調整や浸透圧性下剤の併用検討など）。",
+    "リン吸着薬／Ca製剤による他剤の吸収低下（該当薬あり：2時間以上間隔をあける）": "併用薬に吸収低下リスク薬あり。服用間隔を2時間以上あける。",
+    "リン吸着薬／Ca製剤による他剤の吸収低下（該当薬なし：一般注意）": "他剤と原則2時間以上あける（抗菌薬・甲状腺薬・鉄剤・ビスホスホネート等）。",
+    "エボカルセト＋下剤多剤（低Ca/QT延長リスク）": "Ca低下によりQT延長素因が増す可能性。Ca・Mg・Kを定期確認（特に開始・増量時）。",
+}
+WHY = ("サクビトリル/バルサルタン", "（注：ARNIはARB成分〈バルサルタン〉を含むため）")
 #: Words of names whose uptake a binder lowers: the class CHELATED.
 CHELATED = ("レボフロキサシン", "シプロフロキサシン", "モキシフロキサシン", "トスフロキサシン", "ミノサイクリン", "ドキシサイクリン", "テトラサイクリン", "レボチロキシン", "リオチロニン", "アレンドロネート", "リセドロネート", "ミノドロネート", "ミコフェノール", "硫酸鉄", "フマル酸第一鉄", "クエン酸第一鉄")
 
@@ -81,12 +103,18 @@ def report_lines() -> Column:
     return F.array_join(F.transform(order, lambda f: F.concat(F.lit("["), f.severity, F.lit("] "), F.substring_index(f.rule_id, "#", 1), F.lit("："), f.targets)), "\n")
 
 
+def action(rule_id: Column, targets: Column) -> Column:
+    """What is to be done about a finding."""
+    why = F.when(F.contains(targets, F.lit(WHY[0])), WHY[1]).otherwise("")
+    return F.replace(F.create_map(*(F.lit(x) for kv in ACTIONS.items() for x in kv))[rule_id], F.lit("{why}"), why)
+
+
 def report(mentions: DataFrame) -> DataFrame:
-    """rx_id, title, severity, priority, targets, rank: the findings of each basket by priority, then in the rules' order.
+    """rx_id, title, severity, priority, targets, action, rank: the findings of each basket by priority, then in the rules' order.
 
     Null or blank names are in no class; an empty table has no findings.
     """
     found = evaluate(classified(mentions), RULES, displayed)
     order = F.create_map(*(F.lit(x) for i, r in enumerate(RULES) for x in (r.id, i)))[F.col("rule_id")]
     rank = F.row_number().over(Window.partitionBy("rx_id").orderBy("priority", order))
-    return found.select("rx_id", F.substring_index("rule_id", "#", 1).alias("title"), "severity", "priority", "targets", rank.alias("rank"))
+    return found.select("rx_id", F.substring_index("rule_id", "#", 1).alias("title"), "severity", "priority", "targets", action(F.col("rule_id"), F.col("targets")).alias("action"), rank.alias("rank"))

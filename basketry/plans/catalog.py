@@ -57,7 +57,7 @@ def _(spark, sf):
     return dedupe.best_per_key(mentions(spark, sf), ["rx_id", "cls"], [F.desc("qty"), F.desc("confidence"), F.col("pos")]).select("rx_id", "cls", "name", "pos")
 
 
-@query("combo_collapse_antijoin", ", w AS (SELECT rx_id, pos, name FROM m UNION ALL SELECT rx_id, 100 + pos, split_part(name, ' ', 2) FROM m WHERE pos % 2 = 1), p AS (SELECT DISTINCT rx_id, unnest(string_split(name, ' ')) AS name FROM w WHERE contains(name, ' ')) SELECT rx_id, pos, name FROM w ANTI JOIN p USING (rx_id, name)")
+@query("combo_collapse_antijoin", ", w AS (SELECT rx_id, pos, name FROM m UNION ALL SELECT rx_id, 100 + pos, split_part(name, ' ', 2) FROM m WHERE pos % 2 = 1), p AS (SELECT rx_id, flatten(list(string_split(name, ' '))) AS parts FROM w WHERE contains(name, ' ') GROUP BY rx_id) SELECT rx_id, pos, w.name FROM w LEFT JOIN p USING (rx_id) WHERE parts IS NULL OR NOT list_contains(parts, w.name)")
 def _(spark, sf):
     m = mentions(spark, sf)
     single = m.where("pos % 2 = 1").select("rx_id", (F.col("pos") + 100).alias("pos"), F.substring_index("name", " ", -1).alias("name"))

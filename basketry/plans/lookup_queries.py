@@ -87,10 +87,11 @@ def _(spark, sf):
 MEDICINES = [*interactions.CLASSES, "レボフロキサシン"]
 ITEMS_SQL = "MEDS AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(MEDICINES)) + ") AS v(i, name)), cls AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, ts in [*interactions.CLASSES.items(), ("レボフロキサシン", ("CHELATED",))] for t in ts) + ") AS v(name, tag)), items AS (SELECT rx_id, MEDS.name || CASE pos % 3 WHEN 1 THEN '「サンド」' WHEN 2 THEN ' 5mg' ELSE '' END AS name, tag FROM m JOIN MEDS ON i = part % 27 LEFT JOIN cls ON MEDS.name = cls.name AND NOT (contains(MEDS.name, '・') AND pos % 3 <> 0))"
 TITLES_SQL = "CASE rule_id " + " ".join(f"WHEN '{r.id}' THEN {i}" for i, r in enumerate(interactions.RULES)) + " END"
+ACTIONS_SQL = "CASE rule_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in interactions.ACTIONS.items()) + " END"
 SHOWN_SQL = "array_to_string(list_sort(list_distinct(list_transform(string_split(targets, ', '), lambda x: CASE replace(replace(x, '「サンド」', ''), ' 5mg', '') WHEN 'ニフェジピン' THEN 'ニフェジピン徐放' ELSE replace(replace(x, '「サンド」', ''), ' 5mg', '') END))), '、')"
 
 
-@query("interaction_report", f", {ITEMS_SQL}, f AS ({rules.evaluate_sql(interactions.RULES, 'items')}) SELECT rx_id, string_split(rule_id, '#')[1] AS title, severity, priority, {SHOWN_SQL} AS targets, CAST(row_number() OVER (PARTITION BY rx_id ORDER BY priority, {TITLES_SQL}) AS INTEGER) AS rank FROM f")
+@query("interaction_report", f", {ITEMS_SQL}, f AS ({rules.evaluate_sql(interactions.RULES, 'items')}), g AS (SELECT rx_id, rule_id, string_split(rule_id, '#')[1] AS title, severity, priority, {SHOWN_SQL} AS targets, CAST(row_number() OVER (PARTITION BY rx_id ORDER BY priority, {TITLES_SQL}) AS INTEGER) AS rank FROM f) SELECT * EXCLUDE (rule_id), replace({ACTIONS_SQL}, '{{why}}', CASE WHEN contains(targets, '{interactions.WHY[0]}') THEN '{interactions.WHY[1]}' ELSE '' END) AS action FROM g")
 def _(spark, sf):
     """Every basket's report, with medicines in the places of parts, every third with a maker and every third with an amount.
 

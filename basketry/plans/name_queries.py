@@ -136,11 +136,11 @@ def _(spark, sf):
 DISPLAY_SQL = "CASE WHEN contains(name, 'アスピリン') THEN CASE WHEN contains(name, '腸溶') THEN 'アスピリン腸溶' ELSE 'アスピリン' END WHEN contains(name, 'ファモチジン') THEN CASE WHEN contains(name, '口腔内崩壊') OR contains(name, 'OD錠') THEN 'ファモチジン口腔内崩壊' ELSE 'ファモチジン' END WHEN contains(name, 'センナ') THEN CASE WHEN contains(name, 'センナ実') THEN 'センナ実配合' ELSE 'センナ' END ELSE name END"
 
 
-@query("display_summary", f"WITH {NAMES_SQL}, g AS (SELECT k % 50 AS g, {DISPLAY_SQL} AS shown, min(k) AS first FROM nm WHERE k < 400 GROUP BY ALL), a AS (SELECT g, list(shown ORDER BY first) AS l FROM g GROUP BY g) SELECT g, CASE WHEN len(l) <= 5 THEN len(l) || '剤検出: ' || array_to_string(l, ', ') ELSE len(l) || '剤検出: ' || array_to_string(l[1:3], ', ') || ' 他' || (len(l) - 3) || '剤' END AS summary FROM a", with_mentions=False)
+@query("display_summary", f"WITH {NAMES_SQL}, g AS (SELECT k // 40 AS g, {DISPLAY_SQL} AS shown, min(k) AS first FROM nm GROUP BY ALL), a AS (SELECT g, list(shown ORDER BY first) AS l FROM g GROUP BY g) SELECT g, CASE WHEN len(l) <= 5 THEN len(l) || '剤検出: ' || array_to_string(l, ', ') ELSE len(l) || '剤検出: ' || array_to_string(l[1:3], ', ') || ' 他' || (len(l) - 3) || '剤' END AS summary FROM a", with_mentions=False)
 def _(spark, sf):
     """Names as they are shown, and the summary of each list in the order of first appearance."""
     shown = M.displayed_one(F.col("name"), F.col("name"))
-    g = names(spark, sf).where("k < 400").groupBy((F.col("k") % 50).alias("g")).agg(F.array_sort(F.collect_list(F.struct("k", shown.alias("s")))).alias("x"))
+    g = names(spark, sf).groupBy(F.floor(F.col("k") / 40).alias("g")).agg(F.array_sort(F.collect_list(F.struct("k", shown.alias("s")))).alias("x"))
     return g.select("g", M.summary(F.col("x.s")).alias("summary"))
 
 

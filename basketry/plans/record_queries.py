@@ -130,15 +130,15 @@ def _(spark, sf):
     return names(spark, sf).select(label.alias("class")).groupBy("class").agg(F.count("*").alias("n"), F.bool_and(F.contains("class", F.lit("（AI推定）"))).alias("estimated"))
 
 
-@query("best_codes", f"WITH {NAMES_SQL}, n AS (SELECT DISTINCT name, coalesce({S.mapped_sql('name', C.CODE_CORRECTIONS)}, name) AS fixed FROM nm), q AS (SELECT name, {S.mapped_sql('fixed', C.ENGLISH)} AS query FROM n), f AS (SELECT p.p_partkey AS k, e.query FROM part p JOIN (SELECT row_number() OVER (ORDER BY query) - 1 AS i, query FROM (SELECT DISTINCT query FROM q WHERE query IS NOT NULL)) e ON e.i = p.p_partkey % 8), b AS (SELECT query, min(k) AS k FROM f GROUP BY query) SELECT name, 'dr:D' || k AS id, p_brand AS codes FROM q LEFT JOIN b USING (query) LEFT JOIN part ON p_partkey = k", with_mentions=False)
+ASKED = sorted(set(C.ENGLISH.values()))
+
+
+@query("best_codes", f"WITH {NAMES_SQL}, n AS (SELECT DISTINCT name, coalesce({S.mapped_sql('name', C.CODE_CORRECTIONS)}, name) AS fixed FROM nm), q AS (SELECT name, {S.mapped_sql('fixed', C.ENGLISH)} AS query FROM n), {S.values_sql('e', 'i, query', list(enumerate(ASKED)))}, b AS (SELECT query, min(p_partkey) AS k FROM part JOIN e ON i = p_partkey % {len(ASKED)} GROUP BY query) SELECT name, 'dr:D' || k AS id, p_brand AS codes FROM q LEFT JOIN b USING (query) LEFT JOIN part ON p_partkey = k", with_mentions=False)
 def _(spark, sf):
     """A name's first hit in a lookup table by its English name, with the sorted codes of the hit."""
     own = names(spark, sf).select("name").distinct()
-    fixed = F.coalesce(S.mapped(F.col("name"), C.CODE_CORRECTIONS), F.col("name"))
-    asked = own.select(S.mapped(fixed, C.ENGLISH).alias("query")).where("query IS NOT NULL").distinct()
-    asked = asked.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("query")) - 1)  # a row for each name of the literal pool
-    part = read(spark, sf, "part").withColumn("i", F.col("p_partkey") % 8)
-    found = part.join(asked, "i").select("query", F.col("p_partkey").alias("ord"), F.concat(F.lit("dr:D"), "p_partkey").alias("id"), F.lit("x").alias("label"))
+    part = read(spark, sf, "part")
+    found = part.select(picked(ASKED, F.col("p_partkey")).alias("query"), F.col("p_partkey").alias("ord"), F.concat(F.lit("dr:D"), "p_partkey").alias("id"), F.lit("x").alias("label"))
     links = part.select(F.concat(F.lit("drug:D"), "p_partkey").alias("id"), F.explode(F.array(F.concat(F.lit("atc:"), "p_brand"), F.lit("brite:x"))).alias("code"))
     return C.best_code(own, found, links).select("name", "id", F.array_join("codes", ",").alias("codes"))
 
