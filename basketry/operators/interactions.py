@@ -94,7 +94,8 @@ def class_tags(name: Column) -> Column:
 def classified(mentions: DataFrame) -> DataFrame:
     """mentions (rx_id, generic, name, brand, raw) -> rx_id, name, tag: a row for each class of a name."""
     named = mentions.select("rx_id", first_text("generic", "name", "brand", "raw").alias("name"))
-    return named.select("rx_id", "name", F.explode(class_tags(F.col("name"))).alias("tag"))
+    known = named.select("name").distinct().select("name", F.explode(class_tags(F.col("name"))).alias("tag"))  # each different name once
+    return named.join(known, "name").select("rx_id", "name", "tag")
 
 
 def report_lines() -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import medicines as M, names as N, steps as S, strings as T, texts as X
 from ..operators import lookup, normalize
 from ..sources.tables import read
-from .pool import NAMES_SQL, POOL, baskets, names
+from .pool import NAMES_SQL, POOL, baskets, names, per_name
 from .registry import query
 
 Q = S.quoted
@@ -16,7 +16,8 @@ Q = S.quoted
 @query("name_keys", f"WITH {NAMES_SQL} SELECT k, {S.sql('name', M.PLAIN_STEPS)} AS plain, {S.sql('name', M.MISREAD_STEPS)} AS misread, coalesce(nullif({S.sql('name', M.DOSAGE_STEPS)}, ''), name) AS short, trim(coalesce({S.first_contained_sql(S.sql('name', M.VOTED_STEPS), M.VOTED)}, {S.sql('name', M.VOTED_STEPS)})) AS voted, {S.sql('name', M.SYMBOL_STEPS)} AS bare, {S.sql('name', M.KATAKANA_STEPS)} AS kana FROM nm", with_mentions=False)
 def _(spark, sf):
     c = F.col("name")
-    return names(spark, sf).select("k", M.plain(c).alias("plain"), M.misread(c).alias("misread"), M.without_dosage(c).alias("short"), M.voted_name(c).alias("voted"), M.without_symbols(c).alias("bare"), M.katakana(c).alias("kana"))
+    keys = lambda d: d.select("name", M.plain(c).alias("plain"), M.misread(c).alias("misread"), M.without_dosage(c).alias("short"), M.voted_name(c).alias("voted"), M.without_symbols(c).alias("bare"), M.katakana(c).alias("kana"))
+    return per_name(names(spark, sf), keys).drop("name", "maker")
 
 
 FOLD_SQL = S.sql("name", [("replace", a, b) for a, b in M.ALIASES.items()])
@@ -29,7 +30,7 @@ SHORT_SQL = "(CASE " + " ".join(f"WHEN name = {Q(k)} THEN {Q(v)}" for k, v in M.
 @query("name_corrections", f"WITH {NAMES_SQL} SELECT k, {SHORT_SQL} AS corrected, {ALIAS_SQL} AS alias, {S.sql(ALIAS_SQL, M.ENDING_STEPS)} AS prepared FROM nm", with_mentions=False)
 def _(spark, sf):
     c = F.col("name")
-    return names(spark, sf).select("k", M.corrected(c).alias("corrected"), M.alias_fixed(c).alias("alias"), M.prepared(c).alias("prepared"))
+    return per_name(names(spark, sf), lambda d: d.select("name", M.corrected(c).alias("corrected"), M.alias_fixed(c).alias("alias"), M.prepared(c).alias("prepared"))).drop("name", "maker")
 
 
 def _score_sql(n: str) -> str:
@@ -40,7 +41,7 @@ def _score_sql(n: str) -> str:
 def _(spark, sf):
     """The best of sixteen names by overlap, at least 70."""
     best = M.best_of(M.misread(F.col("name")))
-    return names(spark, sf).select("k", best.alias("b")).where("b IS NOT NULL").select("k", F.col("b.name").alias("best"), "b.score")
+    return per_name(names(spark, sf), lambda d: d.select("name", best.alias("b"))).where("b IS NOT NULL").select("k", F.col("b.name").alias("best"), "b.score")
 
 
 MAKER_SQL = "CASE " + " ".join(f"WHEN {S.any_of_sql('maker', words)} THEN {Q(n)}" for n, words in M.MAKERS.items()) + " END"
@@ -54,7 +55,7 @@ KNOWN = ("ボノプラザン", "ニコランジル", "テラムロAP", "サク
 def _(spark, sf):
     """Five ordered steps with their results; the confidence from maker, map and a list of names known to exist."""
     steps = M.normalized(F.col("name"), F.col("maker"))
-    out = names(spark, sf).select("k", "maker", steps.alias("s")).withColumn("result", F.element_at("s", -1).result)
+    out = per_name(names(spark, sf), lambda d: d.withColumn("s", steps), ("name", "maker")).withColumn("result", F.element_at("s", -1).result)
     point = lambda test, x: F.when(test, x).otherwise(0.0)
     conf = 0.5 + point(F.col("maker") != "", 0.3) + point(F.col("result").isin(*sorted(set(M.NORMAL_NAMES.values()))), 0.2) + point(F.col("result").isin(*KNOWN), 0.2)
     return out.select("k", F.array_join(F.col("s.result"), ">").alias("steps"), "result", M.maker(F.col("maker")).alias("made_by"), M.amount(F.col("maker")).alias("amount"), F.least(F.round(conf, 2), F.lit(1.0)).alias("confidence"))

@@ -32,6 +32,11 @@ def baskets(spark, sf) -> DataFrame:
     return mentions(spark, sf).withColumn("name", picked(POOL, F.col("part")))
 
 
+def per_name(rows: DataFrame, worked_out, by: tuple[str, ...] = ("name",)) -> DataFrame:
+    """rows with the columns that worked_out gives for their different names: what depends on a name alone is done once for each."""
+    return rows.join(worked_out(rows.select(*by).distinct()), list(by))
+
+
 POOLS_SQL = values_sql("pool", "i, name", list(enumerate(POOL))) + ", " + values_sql("makers", "i, maker", list(enumerate(MAKER_POOL)))
 NAMES_SQL = f"{POOLS_SQL}, nm AS (SELECT p_partkey AS k, name, maker FROM part JOIN pool ON pool.i = p_partkey % {len(POOL)} JOIN makers ON makers.i = (p_partkey // 7) % {len(MAKER_POOL)})"
 BASKETS_SQL = f", {POOLS_SQL}, b AS (SELECT m.* REPLACE (pool.name AS name) FROM m JOIN pool ON pool.i = part % {len(POOL)})"

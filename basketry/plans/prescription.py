@@ -8,13 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import attributes as A, names as N, texts as T
+from ..functions import attributes as A, classes as C, names as N, steps as S, texts as T
 from ..functions.strings import first_text
-from ..operators import dedupe, interactions
+from ..operators import dedupe, gates, interactions
 
 KINDS = "般|外|麻|向"
-#: The gate: the least share of items with a strength, the least confidence, the bounds of their number.
-COVERAGE, CONFIDENCE, MOST_ITEMS = 0.98, 0.8, 20
 
 
 def items(texts: DataFrame) -> DataFrame:
@@ -39,20 +37,17 @@ def distinct_items(rows: DataFrame) -> DataFrame:
 
 
 def diagnose(texts: DataFrame) -> DataFrame:
-    """texts (rx_id, text) -> rx_id, n_items, issues, passed, retry, report (findings by priority, one a line; empty if none), for every text.
+    """texts (rx_id, text) -> rx_id, n_items, issues, passed, retry, human, strategy, report (findings by priority, one a line; empty if none), for every text.
 
-    The items of a text are gathered once; the gate and the report come from the same row.
+    An item is known if it has a strength, classified if the dictionary has its class, and has an id if its name can be
+    looked up. The items of a text are gathered once; the gate and the report come from the same row.
     """
     rows = distinct_items(items(texts))
     name = first_text("generic", "raw")
     tagged = F.transform(interactions.class_tags(F.col("name")), lambda t: F.struct(F.col("name").alias("name"), t.alias("tag")))
-    known = F.count_if(F.col("strength").isNotNull()) / F.count("*")
-    g = rows.withColumn("name", name).withColumn("tags", tagged).groupBy("rx_id").agg(
-        F.count("*").alias("n"), known.alias("cover"), F.count_if(F.col("confidence") < CONFIDENCE).alias("low"), F.array_distinct(F.flatten(F.collect_list("tags"))).alias("items")
-    )
+    classified = S.mapped(F.col("name"), C.CLASS_OF).isNotNull() | S.mapped(F.col("name"), C.FALLBACK).isNotNull()
+    measures = gates.measures(F.col("strength").isNotNull(), classified, S.mapped(F.col("name"), C.ENGLISH).isNull())
+    g = rows.withColumn("name", name).withColumn("tags", tagged).groupBy("rx_id").agg(*measures, F.array_distinct(F.flatten(F.collect_list("tags"))).alias("items"))
     g = g.withColumn("report", interactions.report_lines()).drop("items")
-    n = F.coalesce("n", F.lit(0))
-    high = F.coalesce(F.col("cover"), F.lit(0.0)) < COVERAGE
-    issues = F.concat_ws(",", F.when(high, "low_coverage"), F.when(F.col("low") > 0, "low_confidence"), F.when((n < 1) | (n > MOST_ITEMS), "count_out_of_range"))
-    out = texts.select("rx_id").distinct().join(g, "rx_id", "left")
-    return out.select("rx_id", n.cast("long").alias("n_items"), issues.alias("issues"), (~high).alias("passed"), high.alias("retry"), F.coalesce("report", F.lit("")).alias("report"))
+    out = texts.select("rx_id").distinct().join(g, "rx_id", "left").fillna(0, ["n", "coverage", "classified", "low", "no_id"])
+    return out.select("rx_id", F.col("n").cast("long").alias("n_items"), *gates.judged(), F.coalesce("report", F.lit("")).alias("report"))

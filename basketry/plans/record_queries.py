@@ -8,7 +8,7 @@ from ..functions import attributes as A, classes as C, medicines as M, steps as
 from ..operators import lookup, postprocess
 from ..sources.tables import SAMPLE, read, sample_dictionary
 from ..streaming.buffer import TTL_DAYS, drain_reads, shared_folder
-from .pool import BASKETS_SQL, NAMES_SQL, POOL, baskets, names, picked
+from .pool import BASKETS_SQL, NAMES_SQL, POOL, baskets, names, per_name, picked
 from .registry import query
 
 Q = S.quoted
@@ -167,8 +167,9 @@ def _(spark, sf):
     n = F.count("*")
     share = lambda t: F.round(F.count_if(t) / n, 6)
     c = F.col
-    return baskets(spark, sf).groupBy("rx_id").agg(
-        F.countDistinct("cls").alias("blocks"), n.alias("items"), F.round(n / F.countDistinct("cls"), 6).alias("mean"), F.least(F.lit(1.0), n / 10.0).alias("coverage"), share(c("name") != M.plain(c("name"))).alias("changed_rate"), share(c("confidence") >= 0.8).alias("sure_rate"),
+    rows = per_name(baskets(spark, sf), lambda d: d.select("name", (c("name") != M.plain(c("name"))).alias("changed")))
+    return rows.groupBy("rx_id").agg(
+        F.countDistinct("cls").alias("blocks"), n.alias("items"), F.round(n / F.countDistinct("cls"), 6).alias("mean"), F.least(F.lit(1.0), n / 10.0).alias("coverage"), share(c("changed")).alias("changed_rate"), share(c("confidence") >= 0.8).alias("sure_rate"),
         F.round(n / F.greatest(F.count_if(c("qty") > 5), F.lit(1)), 6).alias("efficiency"), F.count_if(c("cls") != "STANDARD").alias("classified"), share(c("cls") != "STANDARD").alias("classification_rate"),
     )
 
@@ -188,10 +189,11 @@ def _(spark, sf):
     familiar = F.lit(False)
     for w in FAMILIAR:
         familiar = familiar | F.contains(bare, F.lit(w)) | F.contains(F.lit(w), bare)
-    issues = F.concat_ws(",", F.when(n < 2, "few").when(n > 20, "many"), F.when(F.count_if(M.valid_name(c)) < n * 0.5, "invalid"), F.when(F.count_if(familiar) < n * 0.3, "unfamiliar"), F.when(F.bool_or(F.length(c) < 3), "short"), F.when(F.bool_or(F.length(c) > 50), "long"))
-    some = F.count_if(S.any_of(F.lower(c), [e.lower() for e in EXPECTED])) / 9
-    quality = F.round(some + F.when((n >= 7) & (n <= 11), 0.2).otherwise(0) + F.when(F.count_if(S.any_of(c, ("mg", "g", "µg", "μg"))) >= 7, 0.1).otherwise(0), 6)
-    return baskets(spark, sf).groupBy("rx_id").agg(issues.alias("issues"), F.least(quality, F.lit(1.0)).alias("quality"))
+    said = lambda d: d.select("name", M.valid_name(c).alias("valid"), familiar.alias("familiar"), S.any_of(F.lower(c), [e.lower() for e in EXPECTED]).alias("expected"), S.any_of(c, ("mg", "g", "µg", "μg")).alias("amount"))
+    issues = F.concat_ws(",", F.when(n < 2, "few").when(n > 20, "many"), F.when(F.count_if("valid") < n * 0.5, "invalid"), F.when(F.count_if("familiar") < n * 0.3, "unfamiliar"), F.when(F.bool_or(F.length(c) < 3), "short"), F.when(F.bool_or(F.length(c) > 50), "long"))
+    some = F.count_if("expected") / 9
+    quality = F.round(some + F.when((n >= 7) & (n <= 11), 0.2).otherwise(0) + F.when(F.count_if("amount") >= 7, 0.1).otherwise(0), 6)
+    return per_name(baskets(spark, sf), said).groupBy("rx_id").agg(issues.alias("issues"), F.least(quality, F.lit(1.0)).alias("quality"))
 
 
 @query("merge_summary", BASKETS_SQL + " SELECT rx_id, CASE WHEN count(*) > count(DISTINCT name) THEN '✅ ' || count(DISTINCT name) || '剤検出しました（重複 ' || (count(*) - count(DISTINCT name)) || ' 件を自動統合）' ELSE '✅ ' || count(DISTINCT name) || '剤検出しました' END AS summary FROM b GROUP BY rx_id")

@@ -18,7 +18,7 @@ def test_items_and_report(spark):
     got = {r.rx_id: r for r in P.diagnose(texts).collect()}
     assert set(got) == {1, 2, 3, 4} and got[1].report.split("\n")[0] == "[重大] RAAS禁忌（ARNI＋ACEIの同時併用）：エナラプリル、サクビトリル/バルサルタン"
     assert got[1].passed and got[1].n_items == 3 and got[4].report == "\n".join(["[併用注意] Ca拮抗薬の重複：アムロジピン、ニフェジピン徐放"] * 2)
-    assert all(not got[i].passed and got[i].issues == "low_coverage,count_out_of_range" and got[i].report == "" for i in (2, 3))
+    assert all(not got[i].passed and got[i].issues == "low_coverage:high,low_classification:medium,too_few:high" and got[i].strategy == "extraction,classification,lookup,alternative" and got[i].report == "" for i in (2, 3))
     assert P.diagnose(texts.limit(0)).count() == 0
 
 
