@@ -282,4 +282,4 @@ def _(spark, sf):
     return dedupe.greedy_similarity(baskets(spark, sf).select("rx_id", "pos", "name", "confidence"), "rx_id", "name", "pos", "confidence")
 
 
-from . import analysis_queries, basket_queries, lookup_queries, name_queries, record_queries, record_text_queries, risk_queries, text_queries  # noqa: E402, F401 (they register theirs)
+from . import analysis_queries, basket_queries, lookup_queries, name_queries, record_queries, record_text_queries, risk_queries, text_queries, validation_queries  # noqa: E402, F401 (they register theirs)

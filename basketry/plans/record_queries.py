@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import attributes as A, classes as C, medicines as M, steps as S
+from ..operators.validation import completed_records, validated_records
 from ..operators import lookup, postprocess
 from ..sources.tables import SAMPLE, read, sample_dictionary
 from ..streaming.buffer import TTL_DAYS, drain_reads, shared_folder
@@ -59,9 +60,9 @@ def _(spark, sf):
     """Rows without a name go; texts are trimmed; tapes and combined tablets get what is missing."""
     k = F.col("k")
     rows = order_rows(spark, sf).select("k", F.when(k % 5 == 0, "  ").when(k % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit(" "), "generic", F.lit(" "))).alias("g"), F.when(k % 7 == 0, "").otherwise("b").alias("b"), "raw", F.when(k % 3 == 0, "").otherwise(F.col("strength")).alias("s"))
-    rows = rows.where(F.trim("g") != "")
-    strength = F.when(F.contains("g", F.lit("/")) & (F.col("s") == ""), "配合錠").otherwise(F.col("s"))
-    return rows.select("k", F.trim("g").alias("generic"), F.nullif(F.trim("b"), F.lit("")).alias("brand"), F.when(F.contains("raw", F.lit("テープ")), "不明").alias("quantity"), strength.alias("strength"), ((k % 4).cast("double") / 4).alias("confidence"))
+    none = F.lit(None).cast("string")
+    rows = rows.select("k", F.col("g").alias("generic"), F.col("b").alias("brand"), "raw", F.col("s").alias("strength"), *(none.alias(c) for c in ("dose", "freq", "days", "class_hint", "dose_form", "quantity", "size")), ((k % 4) / 4).alias("confidence"))
+    return completed_records(validated_records(rows)).select("k", "generic", "brand", "quantity", "strength", "confidence")
 
 
 def _any_sql(expr: str, patterns) -> str:
