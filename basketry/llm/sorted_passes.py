@@ -34,6 +34,7 @@ from .shared import discard, written
 LEAST = 0.9
 WINDOW, HASHES, DIRECTIONS, SEED = 64, 4, 64, 5
 PART, BLOCK = 8192, 1024  # vectors of a partition, and of a piece of exact work
+TOGETHER = 4  # passes that share a shuffle, which carries the vectors once for each
 STEPS = 4096  # angles are counted in so many steps a radian, rounded up
 
 
@@ -67,28 +68,48 @@ def keys(x: np.ndarray, number: int, hashes: int = HASHES) -> np.ndarray:
     return out
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the smallest index of a group) after groups of a and b have become one."""
+    while True:
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            return label
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label != label[label]).any():
+            label = label[label]
+
+
 def in_windows(rid: np.ndarray, x: np.ndarray, least: float, window: int, new: int = 0, side=None) -> list[np.ndarray]:
-    """Pairs (a, b), a < b, of rows of sorted order at most window apart, the later one from index new on (and on another side)."""
-    out = [np.empty((0, 2), np.int64)]
+    """Pairs (a, b), a < b, that connect the rows of sorted order which are at most window apart and similar enough.
+
+    The later row is from index new on (and on another side). A pair of rows that nearer ones have connected already isn't
+    named again: links are counted later, in whole groups, so a group is about as many pairs as it has members.
+    """
+    out, label = [np.empty((0, 2), np.int64)], np.arange(len(x))
     for k in range(1, min(window, len(x) - 1) + 1):
         s = max(new, k)
         hit = s + np.flatnonzero((x[s - k : len(x) - k] * x[s:]).sum(1) >= least)
         if side is not None:
             hit = hit[side[hit] != side[hit - k]]
+        hit = hit[label[hit] != label[hit - k]]
         if len(hit):
             out.append(np.sort(np.stack([rid[hit - k], rid[hit]], 1), 1))
+            label = joined(label, hit - k, hit)
     return out
 
 
-def lengths(blobs: list[bytes]):
-    """(start, stop) of runs of blobs of one length."""
+def lengths(blobs: list[bytes], order=None):
+    """(start, stop) of runs of blobs of one length (and of one pass, order)."""
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
-    edges = np.flatnonzero(np.concatenate([[True], sizes[1:] != sizes[:-1], [True]])) if len(sizes) else np.zeros(1, np.int64)
+    new = sizes[1:] != sizes[:-1]
+    if order is not None:
+        new |= order[1:] != order[:-1]
+    edges = np.flatnonzero(np.concatenate([[True], new, [True]])) if len(sizes) else np.zeros(1, np.int64)
     return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
 
 
-def one_pass(reps: DataFrame, number: int, parts: int, least: float = LEAST, window: int = WINDOW) -> DataFrame:
-    """reps (rid, unit) -> written pairs (a, b) of neighbours in the order of one pass that are similar enough."""
+def some_passes(reps: DataFrame, numbers: range, parts: int, least: float = LEAST, window: int = WINDOW) -> DataFrame:
+    """reps (rid, unit) -> written pairs (a, b) of neighbours in the order of any of these passes that are similar enough."""
 
     def keyed(batches):
         for pdf in batches:
@@ -96,34 +117,36 @@ def one_pass(reps: DataFrame, number: int, parts: int, least: float = LEAST, win
             for s, e in lengths(blobs):
                 x = matrix(blobs[s:e])
                 front = x.shape[1].to_bytes(4, "big")  # vectors of one length stand together
-                yield pd.DataFrame({"key": [front + k.tobytes() for k in keys(x, number)], "rid": pdf["rid"].iloc[s:e], "unit": blobs[s:e]})
+                for number in numbers:
+                    start = number.to_bytes(4, "big") + front
+                    yield pd.DataFrame({"key": [start + k.tobytes() for k in keys(x, number)], "rid": pdf["rid"].iloc[s:e], "unit": blobs[s:e], "pass": number})
 
     def windows(batches):
         part = TaskContext.get().partitionId()
-        rid, blobs, first = np.empty(0, np.int64), [], True
+        rid, order, blobs, first = np.empty(0, np.int64), np.empty(0, np.int64), [], True
         for pdf in batches:
             new = len(blobs)
-            rid, blobs = np.concatenate([rid, pdf["rid"].to_numpy()]), blobs + list(pdf["unit"])
-            for s, e in lengths(blobs):
+            rid, order, blobs = np.concatenate([rid, pdf["rid"].to_numpy()]), np.concatenate([order, pdf["pass"].to_numpy()]), blobs + list(pdf["unit"])
+            for s, e in lengths(blobs, order):
                 pairs = np.concatenate(in_windows(rid[s:e], matrix(blobs[s:e]), least, window, max(0, new - s)))
-                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "cut": -1, "at": 0, "unit": None})
+                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "cut": -1, "at": 0, "pass": 0, "unit": None})
             if first and len(blobs):  # for the pairs across the partition's ends
-                yield pd.DataFrame({"a": rid[:window], "b": 0, "cut": part - 1, "at": window + np.arange(len(rid[:window])), "unit": blobs[:window]})
+                yield pd.DataFrame({"a": rid[:window], "b": 0, "cut": part - 1, "at": window + np.arange(len(rid[:window])), "pass": order[:window], "unit": blobs[:window]})
                 first = False
-            rid, blobs = rid[-window:], blobs[-window:]
-        yield pd.DataFrame({"a": rid, "b": 0, "cut": part, "at": window - len(rid) + np.arange(len(rid)), "unit": blobs})
+            rid, order, blobs = rid[-window:], order[-window:], blobs[-window:]
+        yield pd.DataFrame({"a": rid, "b": 0, "cut": part, "at": window - len(rid) + np.arange(len(rid)), "pass": order, "unit": blobs})
 
     def across(pdf):
         pdf = pdf.sort_values("at")
         rid, side, blobs = pdf["a"].to_numpy(), (pdf["at"] >= window).to_numpy(), list(pdf["unit"])
         found = [np.empty((0, 2), np.int64)]
-        for s, e in lengths(blobs):
+        for s, e in lengths(blobs, pdf["pass"].to_numpy()):
             found += in_windows(rid[s:e], matrix(blobs[s:e]), least, window, 0, side[s:e])
         return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
 
-    dealt = reps.mapInPandas(keyed, "key binary, rid long, unit binary").repartitionByRange(parts, "key", "rid").sortWithinPartitions("key", "rid")
-    out = written(dealt.mapInPandas(windows, "a long, b long, cut int, at int, unit binary"), "pass")
-    ends = out.where("cut >= 0").select("cut", "a", "at", "unit")
+    dealt = reps.mapInPandas(keyed, "key binary, rid long, unit binary, pass int").repartitionByRange(parts, "key", "rid").sortWithinPartitions("key", "rid")
+    out = written(dealt.mapInPandas(windows, "a long, b long, cut int, at int, pass int, unit binary"), "pass")
+    ends = out.where("cut >= 0").select("cut", "a", "at", "pass", "unit")
     pairs = written(out.where("cut = -1 AND unit IS NULL").select("a", "b").union(ends.groupBy("cut").applyInPandas(across, "a long, b long")).distinct(), "pairs")
     discard(out)
     return pairs
@@ -220,7 +243,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, window: int = WINDOW,
     reps = written(classes.mapInPandas(units, "rid long, n long, unit binary"), "units")
     n = reps.count()
     parts = math.ceil(max(1, n) / part)
-    found = [one_pass(reps, i, parts, least, window) for i in range(passes(n, window) if rounds is None else rounds)]
+    rounds = passes(n, window) if rounds is None else rounds
+    found = [some_passes(reps, range(i, min(rounds, i + TOGETHER)), parts * min(TOGETHER, rounds - i), least, window) for i in range(0, rounds, TOGETHER)]
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
