@@ -41,10 +41,11 @@ def word_counts(words: DataFrame, letters: int = LETTERS, least: int = LEAST) ->
 
 def rare_grams(vocabulary: DataFrame) -> DataFrame:
     """(word, n, len, at): the places (from 1) of each word's GRAMS rarest bigrams."""
-    grams = vocabulary.select("word", "n", F.length("word").alias("len"), F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at"))
-    grams = grams.withColumn("gram", F.substring("word", F.col("at"), F.lit(2)))
-    # One row for each bigram of two of 90 letters: 8,100 at most, whatever the corpus.
-    counts = grams.groupBy("gram").agg(F.countDistinct("word").alias("had"))
+    places = F.sequence(F.lit(1), F.length("word") - 1)
+    gram = lambda i: F.substring("word", i, F.lit(2))
+    # A word counts once for each of its bigrams. One row for each bigram of two of 90 letters: 8,100 at most, whatever the corpus.
+    counts = F.broadcast(vocabulary.select(F.explode(F.array_distinct(F.transform(places, gram))).alias("gram")).groupBy("gram").agg(F.count("*").alias("had")))
+    grams = vocabulary.select("word", "n", F.length("word").alias("len"), F.explode(places).alias("at")).withColumn("gram", gram(F.col("at")))
     rarest = Window.partitionBy("word").orderBy("had", "gram", "at")
     return grams.join(counts, "gram").withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= GRAMS).select("word", "n", "len", "at")
 
