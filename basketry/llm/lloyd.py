@@ -13,6 +13,7 @@ Whole numbers too large for 64-bit differences are computed as Python's; a sum b
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,11 @@ from .shared import written
 
 DIMS, CLUSTERS, ROUNDS, SCALE, SALT = 64, 40, 5, 256, "2"
 BLOCK = 4096  # vectors that a task compares at a time
-SAFE = 1 << 28  # components up to here have differences whose squares sum in 64 bits over 64 components
+
+
+def safe(dims: int) -> int:
+    """Components up to here have differences whose squares sum in 64 bits."""
+    return math.isqrt((2**63 - 1) // dims) // 2
 
 
 def scaled(vectors: DataFrame, dims: int = DIMS, scale: int = SCALE) -> DataFrame:
@@ -35,7 +40,7 @@ def scaled(vectors: DataFrame, dims: int = DIMS, scale: int = SCALE) -> DataFram
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row the lowest index of the nearest centroid, and the squared distance to it."""
-    if max(abs(int(x.max())), abs(int(x.min())), abs(int(centroids.max())), abs(int(centroids.min()))) > SAFE:
+    if max(abs(int(f(a))) for f in (np.max, np.min) for a in (x, centroids)) > safe(x.shape[1]):
         x, centroids = x.astype(object), centroids.astype(object)
     away = np.empty((len(x), len(centroids)), x.dtype)
     for s in range(0, len(x), BLOCK):
@@ -65,7 +70,7 @@ def moved(rows: DataFrame, centroids: np.ndarray) -> np.ndarray:
                 for k in np.unique(at).tolist():
                     n, t = totals.get(k, (0, np.zeros(dims, object)))
                     own = x[at == k]
-                    totals[k] = n + len(own), t + own.astype(object if np.abs(own).max() > SAFE else np.int64).sum(0)
+                    totals[k] = n + len(own), t + own.astype(object if np.abs(own).max() > safe(dims) else np.int64).sum(0)
         yield pd.DataFrame([(k, n, t.tolist()) for k, (n, t) in totals.items()], columns=["cluster", "n", "total"])
 
     parts = rows.select("x").mapInPandas(sums, "cluster int, n long, total array<long>")
