@@ -243,23 +243,38 @@ def collisions(asks: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     return left.groupBy("chunk", "part").cogroup(right.groupBy("chunk", "part")).applyInPandas(run, "h long")
 
 
-def by_words(chunks: DataFrame, hashes: list[int], size: int) -> dict[int, dict[bytes, int]]:
-    """For hashes that stand for several windows: {hash: {words: the batch that had them first}}."""
-    wanted = np.sort(np.asarray(hashes, np.int64).view(np.uint64))
+def having(chunks: DataFrame, hashes: DataFrame, size: int, bits: int) -> DataFrame:
+    """(chunk, blob): to each chunk those of hashes (h) that its windows have. They meet in buckets of the hash space."""
+    runs = send_runs(chunks, own_hashes(size), bits).select("bucket", "chunk", "blob")
+    dealt = hashes.select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("bucket"), "h")
 
-    def run(batches):
-        for pdf in batches:
-            for number, blob in zip(pdf["chunk"], pdf["blob"]):
-                chunk = Chunk(blob)
-                batch = Batch(chunk, size)
-                flat = [w for x in words_of(chunk) for w in x]
-                out = {(int(batch.h[i].view(np.int64)), b" ".join(flat[batch.at[i] : batch.at[i] + size])) for i in np.flatnonzero(contains(wanted, batch.h)).tolist()}
-                yield pd.DataFrame([(h, t, number) for h, t in out], columns=["h", "words", "chunk"])
-
-    out: dict[int, dict[bytes, int]] = {}
-    for r in chunks.mapInPandas(run, "h long, words binary, chunk long").groupBy("h", "words").agg(F.min("chunk").alias("chunk")).collect():
-        out.setdefault(r["h"] % (1 << 64), {})[bytes(r["words"])] = r["chunk"]
-    return out
+    def run(left, right):
+        wanted, out = np.sort(right["h"].to_numpy(np.int64).view(np.uint64)), []
+        if len(wanted):
+            for number, blob in zip(left["chunk"], left["blob"]):
+                a = decode_sorted(blob)
+                own = a[contains(wanted, a)]
+                if len(own):
+                    out.append((number, encode_sorted(own)))
+        return pd.DataFrame(out, columns=["chunk", "blob"])
+
+    return runs.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(run, "chunk long, blob binary")
+
+
+def by_words(chunks: DataFrame, hashes: DataFrame, size: int, bits: int) -> DataFrame:
+    """(chunk, h, words, source): each chunk's windows of hashes (h) that stand for several, and the first chunk that has those words."""
+
+    def own(number, chunk, got):
+        if not len(got):
+            return
+        wanted = np.sort(np.concatenate([decode_sorted(b) for b in got["blob"]]))
+        batch = Batch(chunk, size)
+        flat = [w for x in words_of(chunk) for w in x]
+        out = {(int(batch.h[i].view(np.int64)), b" ".join(flat[batch.at[i] : batch.at[i] + size])) for i in np.flatnonzero(contains(wanted, batch.h)).tolist()}
+        yield pd.DataFrame([(number, h, t) for h, t in sorted(out)], columns=["chunk", "h", "words"])
+
+    rows = written(at_chunks(chunks, having(chunks, hashes, size, bits), own, "chunk long, h long, words binary"), "exact")
+    return rows.join(rows.groupBy("h", "words").agg(F.min("chunk").alias("source")), ["h", "words"])
 
 
 def batches_and_runs(docs: DataFrame, size: int, index: DataFrame | None, chunk_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -282,13 +297,25 @@ def batches_and_runs(docs: DataFrame, size: int, index: DataFrame | None, chunk_
     return chunks, everything, runs, bits
 
 
-def deduplicate(docs: DataFrame, size: int = WINDOW, index: DataFrame | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def all_found(found: DataFrame) -> DataFrame:
+    """h of every fingerprint that two batches have."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.uint64), *map(decode_sorted, pdf["blob"])]).view(np.int64)})
+
+    return found.select("blob").mapInPandas(run, "h long").distinct()
+
+
+def deduplicate(docs: DataFrame, size: int = WINDOW, index: DataFrame | None = None, chunk_bytes: int = CHUNK_BYTES, by_words_all: bool = False) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept (the words left, joined by blanks, UTF-8).
 
-    index: a table made by build_index from documents with smaller ids.
+    index: a table made by build_index from documents with smaller ids. by_words_all: settle every fingerprint that two
+    batches have by the words of all its windows, not only those that were seen to stand for different ones; the result
+    is the same.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    chunks, everything, runs, _ = batches_and_runs(docs, size, index, chunk_bytes)
+    chunks, everything, runs, bits = batches_and_runs(docs, size, index, chunk_bytes)
     found = written(merge_join(runs).select("chunk", "blob", "extra"), "found")
     del runs
     free_shuffles(spark)
@@ -306,18 +333,26 @@ def deduplicate(docs: DataFrame, size: int = WINDOW, index: DataFrame | None = N
     free_shuffles(spark)
     asks = written(out.where("source IS NOT NULL").select("source", "span").distinct(), "asks")
     free_shuffles(spark)
-    bad = [r["h"] for r in collisions(asks, everything, size).union(out.where("h IS NOT NULL").select("h")).distinct().collect()]  # fingerprints of two windows: some million in 100 TB, none in a GB
+    differ = collisions(asks, everything, size).union(out.where("h IS NOT NULL").select("h"))
+    bad = written((differ.union(all_found(found)) if by_words_all else differ).distinct(), "differ")
     result = ["doc_id", "n_words", "n_removed", "kept"]
     discard(asks)
-    if not bad:
-        discard(found)
+    if bad.isEmpty():
+        discard(found, bad)
         return out.where("n_words IS NOT NULL").select(*result)
-    exact = by_words(everything, bad, size)
+    # Fingerprints of two windows: rare, but more of them in more text, so they stay a table and meet their batches by joins.
+    exact = by_words(everything, bad, size, bits)
+    none = F.lit(None)
+    answers = found.select("chunk", "blob", "extra", none.cast("string").alias("h"), none.cast("binary").alias("words"), none.cast("string").alias("source"))
+    answers = answers.unionByName(exact.select("chunk", none.cast("binary").alias("blob"), none.cast("binary").alias("extra"), F.col("h").cast("string").alias("h"), "words", F.col("source").cast("string").alias("source")))
 
     def settle_by_words(number, chunk, answers):
-        yield pd.DataFrame(settled(chunk, answers, size, exact, number)[0], columns=result).astype({"doc_id": object})
+        book: dict[int, dict[bytes, int]] = {}
+        for h, text, who in answers.loc[answers["words"].notna(), ["h", "words", "source"]].itertuples(index=False):
+            book.setdefault(int(h) % (1 << 64), {})[bytes(text)] = int(who)
+        yield pd.DataFrame(settled(chunk, answers[answers["blob"].notna()], size, book, number)[0], columns=result).astype({"doc_id": object})
 
-    return at_chunks(chunks, found, settle_by_words, f"doc_id {kind}, n_words long, n_removed long, kept binary")
+    return at_chunks(chunks, answers, settle_by_words, f"doc_id {kind}, n_words long, n_removed long, kept binary")
 
 
 def build_index(docs: DataFrame, size: int = WINDOW, index: DataFrame | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

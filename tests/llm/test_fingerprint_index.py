@@ -39,9 +39,27 @@ def test_against_brute_force(spark):
     for chunk_bytes in (200, 1 << 20):
         got = sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in fi.deduplicate(docs, 5, chunk_bytes=chunk_bytes).collect())
         assert got == brute(rows, 5)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in fi.deduplicate(docs, 5, chunk_bytes=200, by_words_all=True).collect())
+    assert got == brute(rows, 5)
     assert fi.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_chunks_get_the_windows_of_hashes_they_have(spark):
+    rows = rows_of(5)
+    chunks = fi.write_chunks(spark.createDataFrame(rows, "doc_id long, text string"), ordered=True, chunk_bytes=200)
+    blobs = {r.chunk: Chunk(bytes(r.blob)) for r in chunks.collect()}
+    windows, first = set(), {}
+    for number, chunk in sorted(blobs.items()):
+        batch, flat = fi.Batch(chunk, 5), [w for x in fi.words_of(chunk) for w in x]
+        for at, h in zip(batch.at.tolist(), batch.h.view(np.int64).tolist()):
+            text = b" ".join(flat[at : at + 5])
+            windows.add((number, h, text))
+            first.setdefault((h, text), number)
+    asked = sorted({h for _, h, _ in windows})[::3]
+    got = fi.by_words(chunks, spark.createDataFrame([(h,) for h in [*asked, 5, -5]], "h long"), 5, 4)
+    assert len(blobs) > 3 and sorted((r.chunk, r.h, bytes(r.words), r.source) for r in got.collect()) == sorted((n, h, t, first[h, t]) for n, h, t in windows if h in set(asked))
+
+
 def test_batches_against_one_run(spark, tmp_path):
     rows = rows_of(2) + [(100 + i, f"z{i % 7} a b c d e f {i % 5}") for i in range(60)]
     frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
