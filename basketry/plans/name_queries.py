@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import medicines as M, names as N, steps as S, strings as T, texts as X
 from ..operators import lookup, normalize
 from ..sources.tables import read
-from .pool import NAMES_SQL, POOL, baskets, names, per_name
+from .pool import BASKETS_SQL, NAMES_SQL, POOL, baskets, names, per_name
 from .registry import query
 
 Q = S.quoted
@@ -145,7 +145,11 @@ def _(spark, sf):
     return g.select("g", M.summary(F.col("x.s")).alias("summary"))
 
 
-@query("form_agnostic_dedupe")
+LEFT_SQL = S.sql("trim(" + S.sql("replace(name, 'ロ腔', '口腔')", S.replaced(N.PLAIN_FORMS)) + ")", S.replaced(N.FORMS))
+KEY_SQL = "CASE WHEN contains(g, 'スボレキサント') THEN 'スボレキサント' WHEN contains(g, 'レンボレキサント') THEN 'レンボレキサント' ELSE replace(g, ' ', '') END"
+
+
+@query("form_agnostic_dedupe", BASKETS_SQL + f", l AS (SELECT rx_id, pos, name, confidence, {LEFT_SQL} AS l FROM b), g AS (SELECT *, coalesce({S.first_contained_sql('l', N.SYNONYMS)}, l) AS g FROM l), r AS (SELECT *, {KEY_SQL} AS key, {S.any_of_sql('name', N.EXTERNAL)} AS outside FROM g), one AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rx_id, key, outside ORDER BY confidence DESC, pos) = 1) SELECT rx_id, key, name, pos FROM one QUALIFY row_number() OVER (PARTITION BY rx_id, key ORDER BY confidence DESC, pos) = 1")
 def _(spark, sf):
     """Best row of each name and route, then of each name whatever the form; two sleeping aids are told apart."""
     key = N.form_agnostic_key(F.col("name"))
@@ -155,7 +159,19 @@ def _(spark, sf):
     return one.withColumn("n", F.row_number().over(Window.partitionBy("rx_id", "key").orderBy(*best))).where("n = 1").select("rx_id", "key", "name", "pos")
 
 
-@query("block_names")
+CLEAN_SQL = "replace(replace(replace(content, '（医療用）', ''), '次頁に続く', ''), '医療用', '')"
+
+
+def _names_sql(pattern: str, least: int) -> str:
+    found = f"list_filter(list_transform(regexp_extract_all(t, {Q(pattern)}, 1), lambda x: trim(x)), lambda x: length(x) >= {least})"
+    return f"list_filter(list_transform({found}, lambda x: regexp_replace(x, '^[0-9]', '')), lambda x: length(x) >= {least})"
+
+
+#: Without a look ahead the amount itself is passed over, which only loses pieces of numbers that are too short to count.
+ALL_NAMES_SQL = " || ".join([_names_sql(X.BEFORE_FORMS, 2), *(_names_sql(p.replace("(?=", "(?:"), 3) for p in X.BEFORE_AMOUNTS)])
+
+
+@query("block_names", f"WITH {NAMES_SQL}, bl AS (SELECT k, 1 AS number, name || '錠 1日3回' AS content FROM nm UNION ALL SELECT k, 2, '7オルケディア錠1mg ツムラ芍薬甘草湯エキス顆粒' FROM nm UNION ALL SELECT k, 3, 'センノシド 12mg 眠前' FROM nm WHERE k % 3 = 0), al AS (SELECT k, number, {ALL_NAMES_SQL} AS l FROM (SELECT k, number, {CLEAN_SQL} AS t FROM bl)) SELECT k, number, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS names FROM al", with_mentions=False)
 def _(spark, sf):
     """Names before form words in numbered blocks made of each part's names."""
     k = F.col("k")
@@ -164,14 +180,30 @@ def _(spark, sf):
     return out.select("k", "number", F.array_join("n", "|").alias("names"))
 
 
-@query("form_split")
+def _cut_sql() -> str:
+    out = "[line]"
+    for words in X.FORM_FAMILIES:
+        out = f"flatten(list_transform({out}, lambda x: CASE WHEN regexp_matches(x, {Q(words)}) THEN list_filter(list_transform(regexp_extract_all(x, {Q(f'(?s).*?(?:{words})')}), lambda y: trim(y)), lambda y: y <> '') ELSE [x] END))"
+    return out
+
+
+@query("form_split", f"WITH {NAMES_SQL} SELECT k, array_to_string({_cut_sql()}, '|') AS parts FROM (SELECT k, name || '錠 テープ' || name || '軟膏の残り' AS line FROM nm)", with_mentions=False)
 def _(spark, sf):
     """Lines cut behind form words, family after family of forms; what follows the last one goes."""
     line = F.concat("name", F.lit("錠 テープ"), "name", F.lit("軟膏の残り"))
     return names(spark, sf).select("k", F.array_join(X.cut_behind_forms(line), "|").alias("parts"))
 
 
-@query("pattern_candidates")
+def _candidates_sql() -> str:
+    noise = "length(x) < 2 OR " + " OR ".join(f"regexp_matches(x, {Q(p)})" for p in M.MORE_NOISE_CLASSES)
+    found = " || ".join(f"regexp_extract_all(t, {Q(p)}, 1)" for p in X.NAME_PATTERNS)
+    held = "[" + ", ".join(f"CASE WHEN contains(t, {Q(k)}) THEN {Q(v)} END" for k, v in M.VOTED.items()) + "]"
+    hits = " || ".join(f"regexp_extract_all(t, {Q('(?i)' + p)})" for p in X.EXPECTED)
+    lines = "list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '錠|mg|µg|g') AND regexp_matches(x, '[0-9]'))"
+    return f"array_to_string(list_sort(list_distinct(list_transform(list_filter({found}, lambda x: NOT ({noise})), lambda x: trim(x)))), '|') AS regex, coalesce(array_to_string(list_sort(list_distinct(list_filter({held}, lambda x: x IS NOT NULL))), '|'), '') AS dictionary, array_to_string(CASE WHEN len({hits}) > 0 THEN {hits} ELSE {lines} END, '|') AS fixed"
+
+
+@query("pattern_candidates", f"WITH {NAMES_SQL} SELECT k, {_candidates_sql()} FROM (SELECT k, '処方 ' || name || '錠 と ツムラ大建中湯エキス顆粒' || chr(10) || 'アムロジピン口腔内崩壊錠 5mg' || chr(10) || '数量 3錠' AS t FROM nm)", with_mentions=False)
 def _(spark, sf):
     """Names by patterns and by a dictionary, and lines of fixed form; three sources of a vote."""
     text = F.concat(F.lit("処方 "), "name", F.lit("錠 と ツムラ大建中湯エキス顆粒\nアムロジピン口腔内崩壊錠 5mg\n数量 3錠"))
