@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .chunks import CHUNK_BYTES, Rolling, mix
 from .run_length_index import sliding_min
-from .shared import small, small_batches, written
+from .shared import set_apart, small, small_batches, written
 
 SIZE, POINTS, FULL, BITS, STEPS = 64, 16, 160, 2048, 1000
 #: c * log2(c) in integers, so that sums are exact.
@@ -239,7 +239,8 @@ def fingerprints_with_edits(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) ->
 
 
 def fingerprint_texts(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """docs (with text) -> its columns and fingerprint, by a given table of ranks."""
+    """docs (with text) -> its columns and fingerprint, by a given table of ranks; a column of that name comes as in_fingerprint."""
+    docs = set_apart(docs, ("fingerprint",))
 
     def run(batches):
         for pdf in batches:

@@ -322,17 +322,18 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     Rows are told apart by id and text. Rows that agree in both are in one group, so at most one of them stays, or their
     text has no words and all of them do.
     """
-    rows = groups(docs, digests=True, **how)
+    rows = groups(docs.select("doc_id", "text"), digests=True, **how)
     stays = rows.groupBy("rep").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")).select("first.rid", F.lit(1).alias("stays"))
     cut = rows.join(stays, "rid", "left").groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.count("stays").alias("kept"))
-    cut = written(cut.where("kept < n").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "kept"), "cut")
-    own = docs.withColumn("_own", F.md5(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
-    out = own.join(cut, same, "left_anti").select(*docs.columns)
+    cut = written(cut.where("kept < n").select(F.col("doc_id").alias("cut_id"), "digest", "kept"), "cut")
+    # The caller's columns travel as one, so none of them can clash with those of this function.
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("own_id"), F.md5(F.coalesce("text", F.lit(""))).alias("own"))
+    same = F.col("own_id").eqNullSafe(F.col("cut_id")) & (F.col("own") == F.col("digest"))
+    out = own.join(cut, same, "left_anti").select("row.*")
     repeated = cut.where("kept > 0")
     if repeated.isEmpty():
         return out
-    return out.union(own.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_own"]).select(*docs.columns))
+    return out.union(own.join(repeated, same, "left_semi").dropDuplicates(["own_id", "own"]).select("row.*"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import bisect
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import small, written
+from .shared import set_apart, small, written
 
 BLOCKS, SLOT_BLOCKS, PROBES = 4096, 256, 31
 
@@ -81,9 +81,14 @@ def smallest_capacity(cums: DataFrame, offsets: list[int], largest: int, shards:
 
 
 def shard(rows: DataFrame, shards: int = 8, seed_cols=("doc_id",)) -> DataFrame:
-    """rows (gkey hex, size, other columns) -> the same with shard and slot (gapless in its shard)."""
-    rows = written(rows, "sized")
-    groups = written(rows.groupBy("gkey").agg(F.sum("size").alias("bytes")), "groups")
+    """rows (gkey hex, size, other columns) -> the same with shard and slot (gapless in its shard).
+
+    A column of the caller's that is called shard or slot comes as in_shard or in_slot; all others stay as they are.
+    """
+    rows = set_apart(rows, ("shard", "slot"))
+    # The caller's columns travel as one, so none of them can clash with those of this function.
+    rows = written(rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row")), "sized")
+    groups = written(rows.groupBy("row.gkey").agg(F.sum("row.size").alias("bytes")), "groups")
     largest = groups.agg(F.max("bytes")).first()[0] or 0
     keys: list[str] = []
     if largest:
@@ -91,13 +96,14 @@ def shard(rows: DataFrame, shards: int = 8, seed_cols=("doc_id",)) -> DataFrame:
         _, ends = smallest_capacity(cums, offsets, largest, shards)
         inner = sorted({e for e in ends if 0 < e < offsets[-1]})
         keys = sorted(r[0] for r in cums.where(F.col("cum").isin(inner)).select("gkey").collect()) if inner else []
-    where = sum((F.when(F.col("gkey") > k, 1).otherwise(0) for k in keys), F.lit(0)).cast("int")
-    rows = rows.withColumn("shard", where).withColumn("_part", F.pmod(F.xxhash64(*seed_cols), F.lit(SLOT_BLOCKS)).cast("int"))
-    counts = rows.groupBy("shard", "_part").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = F.broadcast(counts.select("shard", "_part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first")))  # shards * SLOT_BLOCKS rows
-    number = F.row_number().over(Window.partitionBy("shard", "_part").orderBy(*seed_cols, "gkey"))
-    return rows.withColumn("number", number).join(firsts, ["shard", "_part"]).withColumn("slot", F.col("first") + F.col("number") - 1).drop("_part", "number", "first")
+    where = sum((F.when(F.col("row.gkey") > k, 1).otherwise(0) for k in keys), F.lit(0)).cast("int")
+    seeds = [f"row.{c}" for c in seed_cols]
+    rows = rows.select("row", where.alias("shard"), F.pmod(F.xxhash64(*seeds), F.lit(SLOT_BLOCKS)).cast("int").alias("part"))
+    counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = F.broadcast(counts.select("shard", "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first")))  # shards * SLOT_BLOCKS rows
+    number = F.row_number().over(Window.partitionBy("shard", "part").orderBy(*seeds, "row.gkey"))
+    return rows.withColumn("number", number).join(firsts, ["shard", "part"]).select("row.*", "shard", (F.col("first") + F.col("number") - 1).alias("slot"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -96,3 +96,10 @@ def test_construction_against_a_plain_version():
     ranks[rng.permutation(digest.STEPS + 1)] = np.arange(digest.STEPS + 1)
     got = digest.features([t.encode() for t in texts], ranks)
     assert [digest.filters(x).tobytes() for x in got] == [plain_chain(t, ranks) for t in texts]
+
+
+def test_a_column_called_fingerprint_is_set_apart(spark):
+    docs = spark.createDataFrame([("mine", "text " * 40, 1), (None, None, 2)], "fingerprint string, text string, in_fingerprint int")
+    out = digest.fingerprint_texts(docs, np.arange(digest.STEPS + 1))
+    assert out.columns == ["in_in_fingerprint", "text", "in_fingerprint", "fingerprint"]
+    assert sorted(((r[0], r[2], bool(r[3])) for r in out.collect()), key=str) == [("mine", 1, True), (None, 2, False)]

@@ -187,3 +187,20 @@ def test_decontamination_keeps_columns_that_clash(spark):
     assert [tuple(r) for r in decontam.decontaminate(docs, bench).collect()] == [rows[1]]
     cut = sorted(map(tuple, decontam.decontaminate(docs, bench, "spans").collect()))
     assert cut == [(1, "alpha ", *rows[0][2:]), rows[1]] and decontam.decontaminate(docs, bench, "spans").columns == docs.columns
+
+
+def test_sharding_keeps_columns_of_any_name_ids_that_are_null_and_long_texts(spark, tmp_path):
+    names = ["number", "first", "slot", "shard", "part", "_part", "row", "n", "bytes", "cum", "block", "in_slot"]
+    rows = [(None if i % 5 == 0 else i % 3, f"{i % 7:02x}", 10 + i % 7, *range(i, i + len(names))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, gkey string, size long, " + ", ".join(f"{n} long" for n in names))
+    out = sharding.shard(df, 3)
+    assert out.columns == ["doc_id", "gkey", "size", "number", "first", "in_in_slot", "in_shard", *names[4:], "shard", "slot"]
+    got = out.collect()
+    assert sorted(map(str, (r[:-2] for r in got))) == sorted(map(str, rows))
+    slots = {}
+    for r in got:
+        slots.setdefault(r[-2], []).append(r[-1])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len({(r.gkey, r[-2]) for r in got}) == 7
+    docs = spark.createDataFrame([(None, "a", 1), (None, None, 2), (3, "é" * 1_500_000, 3), (3, "a", 4)], "doc_id long, text string, slot int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["size"] for r in sharding.op10(spark, str(tmp_path)).collect()) == [1, 2, 2, 3_000_001]

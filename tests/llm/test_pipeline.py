@@ -47,3 +47,13 @@ def test_an_empty_table_and_columns_that_clash(spark, tmp_path):
             df = spark.createDataFrame(df.collect(), df.schema)
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    names = ["_own", "_id", "_digest", "kept", "own", "own_id", "cut_id", "digest", "row", "rid", "rep", "n", "first", "stays"]
+    rows = [(i % 4, "one two three four five six seven " * 3 if i < 3 else f"text {i % 5}", *range(i, i + len(names))) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    kept = sorted(map(tuple, out.collect()))
+    assert out.columns == docs.columns and set(kept) <= set(rows) and len(set(r[1] for r in kept)) == len(kept) and {r[1] for r in kept} == {r[1] for r in rows}
+    assert rows[0] in kept and rows[1] not in kept and rows[2] not in kept
