@@ -93,3 +93,20 @@ def suggestions(name: Column) -> Column:
     rows = [F.when(name == k, row(v, "known_bad", 0.95, 0)) for k, v in C.KNOWN_BAD.items()]
     rows += [F.when(name == k, row(right, "candidate", sure, i)) for k, found in normalize.CANDIDATES.items() for i, (right, sure) in enumerate(found, 1)]
     return F.transform(F.array_sort(F.array_compact(F.array(*rows))), lambda x: F.struct(x.corrected.alias("corrected"), x.reason.alias("reason"), (-x.less).alias("confidence")))
+
+
+#: Categories that say too little.
+COARSE = (UNKNOWN, "解熱鎮痛薬", "下剤")
+
+
+def enriched_dictionary(book: DataFrame, found: DataFrame) -> DataFrame:
+    """book (drug_name, generic_name, category and others) with what found (drug_name, distinct, generic_name, category) knows.
+
+    Only rows of a coarse category are changed: the category is that found, and a generic name that is unknown too. Rows
+    that nothing was found for, and those of a null category, stay as they are.
+    """
+    more = found.select("drug_name", F.col("generic_name").alias("found_name"), F.col("category").alias("found_category"), F.lit(True).alias("hit"))
+    fill = F.coalesce(F.col("category").isin(*COARSE), F.lit(False)) & F.col("hit").isNotNull()
+    out = book.join(more, "drug_name", "left").withColumn("fill", fill)
+    out = out.withColumns({"generic_name": F.when(F.col("fill") & (F.col("generic_name") == UNKNOWN), F.col("found_name")).otherwise(F.col("generic_name")), "category": F.when(F.col("fill"), F.col("found_category")).otherwise(F.col("category"))})
+    return out.select(*book.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts as T
 from ..operators import fragments, interactions, lookup, rules
+from ..sources import audit
 from ..sources.tables import mentions, read
 from . import prescription
 from .registry import query
@@ -97,11 +98,25 @@ def _(spark, sf):
 
     A name with a dot between its parts is known as it is written only: cleaning makes the dot a slash.
     """
+    return interactions.report(_medicines(spark, sf))
+
+
+def _medicines(spark, sf):
     m = mentions(spark, sf)
     name = F.element_at(F.array(*map(F.lit, MEDICINES)), (F.col("part") % len(MEDICINES)).cast("int") + 1)
     name = F.concat(name, F.when(F.col("pos") % 3 == 1, "「サンド」").when(F.col("pos") % 3 == 2, " 5mg").otherwise(""))
     none = F.lit(None).cast("string")
-    return interactions.report(m.select("rx_id", name.alias("generic"), none.alias("name"), none.alias("brand"), none.alias("raw")))
+    return m.select("rx_id", name.alias("generic"), none.alias("name"), none.alias("brand"), none.alias("raw"))
+
+
+@query("audit_trace", f", {ITEMS_SQL}, f AS ({rules.evaluate_sql(interactions.RULES, 'items')}), c AS (SELECT rx_id, count(*) AS n, count(*) FILTER (severity = '重大') AS major FROM f GROUP BY rx_id), d AS (SELECT rx_id, array_to_string(list_sort(list_distinct(list(name))), '|') AS drugs FROM items GROUP BY rx_id) SELECT rx_id, drugs, CAST(coalesce(n, 0) AS INTEGER) AS total_interactions, CAST(coalesce(major, 0) AS INTEGER) AS major_interactions, CAST(coalesce(n - major, 0) AS INTEGER) AS moderate_interactions FROM d LEFT JOIN c USING (rx_id)")
+def _(spark, sf):
+    """What the audit keeps of each basket's report: names, and counts by severity."""
+    items = _medicines(spark, sf)
+    out = audit.audit_trace(interactions.report(items), items.select("rx_id", F.col("generic").alias("name")))
+    return out.select("rx_id", F.array_join("matched_drugs", "|").alias("drugs"), "total_interactions", "major_interactions", "moderate_interactions")
+
+
 
 
 CUT_PAIRS = [(a, b) for a in ("cold", "small", "red", "large", "fast") for b in ("widget", "bolt", "gear")]

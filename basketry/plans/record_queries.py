@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
-from ..functions import attributes as A, classes as C, medicines as M, steps as S
-from ..operators.validation import completed_records, validated_records
+from ..functions import attributes as A, classes as C, labels as L, medicines as M, steps as S
+from ..operators.validation import completed_records, enriched_dictionary, validated_records
 from ..operators import lookup, postprocess
+from ..sources.sinks import write_csv
 from ..sources.tables import SAMPLE, read, sample_dictionary
 from ..streaming.buffer import TTL_DAYS, drain_reads, shared_folder
 from .pool import BASKETS_SQL, NAMES_SQL, POOL, baskets, names, per_name, picked
@@ -234,11 +237,31 @@ def _(spark, sf):
     return g.select("rx_id", F.array_join(F.array_sort(F.array_except("a", "b")), ",").alias("only"))
 
 
-@query("severity_labels", f"SELECT p_partkey AS k, {S.mapped_sql('s', M.SEVERITY_CODES)} AS code, coalesce({S.mapped_sql('s', M.SEVERITY_LABELS)}, '⚠️ 併用注意') AS label FROM (SELECT p_partkey, {_list_sql([*M.SEVERITY_LABELS, '軽微'], 'p_partkey')} AS s FROM part)", with_mentions=False)
+SEVERITIES, SOURCES, RISKS = [*M.SEVERITY_LABELS, "軽微"], [*M.SOURCE_LABELS, "その他"], ["critical", "urgent", "high", "medium", "low", "other"]
+LABELS_SQL = f"SELECT p_partkey AS k, {_list_sql(SEVERITIES, 'p_partkey')} AS s, {_list_sql(SOURCES, 'p_partkey')} AS o, {_list_sql(RISKS, 'p_partkey')} AS r, CASE WHEN p_partkey % 3 = 0 THEN [] ELSE string_split(p_name, ' ') END AS t FROM part"
+
+
+@query("severity_labels", f"SELECT k, coalesce({S.mapped_sql('s', M.SEVERITY_CODES)}, s) AS code, coalesce({S.mapped_sql('s', M.SEVERITY_LABELS)}, {Q(L.OTHER_LABEL)}) AS label, coalesce({S.mapped_sql('o', M.SOURCE_LABELS)}, '') AS source, coalesce({S.mapped_sql('r', L.RISK_MARKS)}, {Q(L.OTHER_RISK)}) AS risk, coalesce({S.mapped_sql('r', L.PRIORITY_MARKS)}, {Q(L.OTHER_PRIORITY)}) AS priority, CASE WHEN len(t) > 0 THEN array_to_string(t, '、') ELSE {Q(L.NO_TARGETS)} END AS targets FROM ({LABELS_SQL})", with_mentions=False)
+def _(spark, sf):
+    """A severity's code for the audit and its label for the reader, what is shown for sources, risks and priorities, and targets as text."""
+    k = F.col("p_partkey")
+    s, r = picked(SEVERITIES, k), picked(RISKS, k)
+    targets = F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.split("p_name", " "))
+    return read(spark, sf, "part").select(k.alias("k"), L.severity_code(s).alias("code"), L.severity_label(s).alias("label"), L.source_label(picked(SOURCES, k)).alias("source"), L.risk_mark(r).alias("risk"), L.priority_mark(r).alias("priority"), L.shown_targets(targets).alias("targets"))
+
+
+@query("enriched_dictionary", f"WITH {NAMES_SQL}, d AS (SELECT k, name, CASE k % 4 WHEN 0 THEN '不明' WHEN 1 THEN '下剤' WHEN 2 THEN '降圧薬' END AS category, CASE WHEN k % 3 = 0 THEN '不明' ELSE name END AS generic FROM nm), f AS (SELECT name, 'G' || min(k) AS generic_name, 'C' || max(k) AS category FROM nm WHERE k % 2 = 0 GROUP BY name) SELECT k, d.name AS drug_name, CASE WHEN d.category IN ('不明', '解熱鎮痛薬', '下剤') AND f.name IS NOT NULL THEN f.category ELSE d.category END AS category, CASE WHEN d.category IN ('不明', '解熱鎮痛薬', '下剤') AND f.name IS NOT NULL AND generic = '不明' THEN f.generic_name ELSE generic END AS generic_name FROM d LEFT JOIN f USING (name)".replace("d.name AS drug_name", "name AS drug_name").replace("f.name IS NOT NULL", "f.category IS NOT NULL"), with_mentions=False)
 def _(spark, sf):
-    """A severity's code for the audit and its label for the reader."""
-    s = picked([*M.SEVERITY_LABELS, "軽微"], F.col("p_partkey"))
-    return read(spark, sf, "part").select(F.col("p_partkey").alias("k"), S.mapped(s, M.SEVERITY_CODES).alias("code"), F.coalesce(S.mapped(s, M.SEVERITY_LABELS), F.lit("⚠️ 併用注意")).alias("label"))
+    """A dictionary whose coarse rows are filled up from what was found elsewhere, written and read again."""
+    k = F.col("k")
+    rows = names(spark, sf)
+    own = rows.select("k", F.col("name").alias("drug_name"), F.when(k % 4 == 0, "不明").when(k % 4 == 1, "下剤").when(k % 4 == 2, "降圧薬").alias("category"), F.when(k % 3 == 0, "不明").otherwise(F.col("name")).alias("generic_name"))
+    found = rows.where(k % 2 == 0).groupBy(F.col("name").alias("drug_name")).agg(F.concat(F.lit("G"), F.min("k")).alias("generic_name"), F.concat(F.lit("C"), F.max("k")).alias("category"))
+    path = f"{shared_folder(spark)}/dictionary-{uuid.uuid4().hex}"
+    write_csv(enriched_dictionary(own, found), path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.csv(path, header=True, schema="k long, drug_name string, category string, generic_name string")
 
 
 @query("image_scores", "WITH s AS (SELECT p_partkey AS k, greatest(least(p_retailprice / 300, 1), 0.3) AS sharp, greatest(least(p_size / 30.0, 1), 0.3) AS contrast, greatest(0, 1 - (p_partkey % 25) / 20.0) AS noise, 0.8 AS complexity FROM part) SELECT k, round((sharp + contrast + noise + complexity) / 4, 6) AS score, CASE WHEN (sharp + contrast + noise + complexity) / 4 >= 0.75 THEN 'high' WHEN (sharp + contrast + noise + complexity) / 4 >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM s", with_mentions=False)

@@ -134,8 +134,7 @@ RULES_SQL = "SELECT 'r' || p_partkey AS id, p_name AS name, CASE WHEN p_size > 3
 
 def stored_rules(spark, sf):
     """The rules as a table that was written before and is read again."""
-    read(spark, sf, "part").createOrReplaceTempView("part")
-    made = spark.sql(RULES_SQL.format(list="array"))
+    made = spark.sql(RULES_SQL.format(list="array").replace("FROM part", "FROM {part}"), part=read(spark, sf, "part"))
     path = f"{shared_folder(spark)}/rules-{uuid.uuid4().hex}"
     K.write_rules(made, path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

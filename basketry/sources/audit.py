@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from ..functions.labels import severity_code
+
 # The fields of an item, what each is called in its source, its kind and default.
 ITEM_FIELDS = [
     ("generic", "generic", "string", ""), ("brand", "brand", "string", ""), ("raw", "raw", "string", ""), ("kegg_id", "kegg_id", "string", ""), ("atc_codes", "atc", "array<string>", None), ("class_jp", "class_jp", "string", ""),
@@ -42,6 +44,18 @@ def audit_records(rows: DataFrame) -> DataFrame:
     return rows.select("session_id", "ts", drugs.alias("drugs"), found.alias("interactions"))
 
 
+def audit_trace(findings: DataFrame, items: DataFrame) -> DataFrame:
+    """findings (rx_id, title, severity, targets, action), items (rx_id, name) -> rx_id, matched_drugs, matched_rules, total_interactions, major_interactions, moderate_interactions, a row for each basket with items.
+
+    Severities are the audit's codes; minor findings count as moderate. Names are sorted and distinct.
+    """
+    rule = F.struct("title", severity_code(F.col("severity")).alias("severity"), "targets", "action")
+    rules = findings.select("rx_id", rule.alias("r")).groupBy("rx_id").agg(F.array_sort(F.collect_list("r")).alias("matched_rules"), F.count_if(F.col("r.severity") == "major").cast("int").alias("major"), F.count_if(F.col("r.severity").isin("moderate", "minor")).cast("int").alias("moderate"))
+    drugs = items.groupBy("rx_id").agg(F.array_sort(F.collect_set("name")).alias("matched_drugs"))
+    out = drugs.join(rules, "rx_id", "left")
+    return out.select("rx_id", "matched_drugs", "matched_rules", F.greatest(F.size(F.coalesce("matched_rules", F.array().cast(out.schema["matched_rules"].dataType))), F.lit(0)).alias("total_interactions"), F.coalesce("major", F.lit(0)).alias("major_interactions"), F.coalesce("moderate", F.lit(0)).alias("moderate_interactions"))
+
+
 def write_audit(records: DataFrame, path: str) -> None:
     """Append records as Parquet in a folder for each date. Later records may have more columns, and more fields in their structs."""
     records.withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("date").parquet(path)

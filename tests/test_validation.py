@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from basketry.functions import classes as C
+from basketry.functions import classes as C, labels as L
 from basketry.operators import knowledge, validation as V
+from basketry.sources import audit
 
 RECORD = "raw string, generic string, brand string, strength string, dose string, freq string, days string, confidence string, class_hint string, own int"
 
@@ -41,3 +42,21 @@ def test_suggestions_tags_and_rules(spark):
     rules = spark.createDataFrame([("a", "major"), ("b", "minor"), ("c", None)], "id string, severity string")
     ids = lambda **how: sorted(r.id for r in knowledge.rules_with(rules, **how).collect())
     assert ids() == ["a", "b", "c"] and ids(id="b") == ["b"] and ids(severity="major") == ["a"] and ids(id="b", severity="major") == []
+
+
+def test_labels_by_hand(spark):
+    rows = [("重大", "KEGG", "critical", ["a", "b"]), (" 軽微 ", "AI", "low", []), ("x", "手動ルール", "urgent", None), (None, None, None, ["c"])]
+    df = spark.createDataFrame(rows, "s string, o string, r string, t array<string>")
+    got = [tuple(r) for r in df.select(L.severity_code(F.col("s")), L.severity_label(F.col("s")), L.source_label(F.col("o")), L.risk_mark(F.col("r")), L.priority_mark(F.col("r")), L.shown_targets(F.col("t"))).collect()]
+    assert got == [("major", "🚨 重大", " 📚", "🚨", "🚨", "a、b"), ("minor", "⚠️ 併用注意", " 🤖", "⚠️", "ℹ️", "（対象薬の特定に失敗）"), ("x", "⚠️ 併用注意", "", "⚠️", "🚨", "（対象薬の特定に失敗）"), ("", "⚠️ 併用注意", "", "⚠️", "ℹ️", "c")]
+
+
+def test_enrichment_and_trace_by_hand(spark):
+    book = spark.createDataFrame([("a", "不明", "下剤", 1), ("b", "g", "不明", 2), ("c", "不明", "降圧薬", 3), ("d", "不明", "不明", 4), ("a", "不明", None, 5)], "drug_name string, generic_name string, category string, hit int")
+    found = spark.createDataFrame([("a", "A", "x"), ("b", "B", "y"), ("c", "C", "z")], "drug_name string, generic_name string, category string")
+    got = sorted(map(tuple, V.enriched_dictionary(book.withColumnRenamed("hit", "ord"), found).collect()), key=lambda r: r[3])
+    assert got == [("a", "A", "x", 1), ("b", "g", "y", 2), ("c", "不明", "降圧薬", 3), ("d", "不明", "不明", 4), ("a", "不明", None, 5)]
+    findings = spark.createDataFrame([(1, "t", "重大", "a", "x"), (1, "u", "軽微", "b", "y"), (1, "v", "other", "b", "y")], "rx_id int, title string, severity string, targets string, action string")
+    items = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, "c")], "rx_id int, name string")
+    rows = {r.rx_id: r for r in audit.audit_trace(findings, items).collect()}
+    assert [rows[1][i] for i in (1, 3, 4, 5)] == [["a", "b"], 3, 1, 1] and [x.severity for x in rows[1].matched_rules] == ["major", "minor", "other"] and tuple(rows[2])[1:] == (["c"], None, 0, 0, 0)
