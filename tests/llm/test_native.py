@@ -104,7 +104,7 @@ def test_reputation_against_a_plain_version(spark):
     sf = "/root/testdata/sf0.01"
     pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()] + [(-1, None), (-2, "no url")]
     rng = random.Random(6)
-    worse = {h: rng.random() for h in {u.split("/")[2] for _, u in pages[:-2]}}
+    worse = {h: rng.random() for h in sorted({u.split("/")[2] for _, u in pages[:-2]})}
     made = {p: int(rng.random() < worse[u.split("/")[2]]) if rng.random() < 0.7 else None for p, u in pages[:-2]}
     table = {r.page_id: r.bad for r in url_filter.outcomes(spark, sf).collect()}
     df = spark.createDataFrame(pages, "page_id long, url string")
