@@ -174,10 +174,11 @@ ALL_NAMES_SQL = " || ".join([_names_sql(X.BEFORE_FORMS, 2), *(_names_sql(p.repla
 @query("block_names", f"WITH {NAMES_SQL}, bl AS (SELECT k, 1 AS number, name || '錠 1日3回' AS content FROM nm UNION ALL SELECT k, 2, '7オルケディア錠1mg ツムラ芍薬甘草湯エキス顆粒' FROM nm UNION ALL SELECT k, 3, 'センノシド 12mg 眠前' FROM nm WHERE k % 3 = 0), al AS (SELECT k, number, {ALL_NAMES_SQL} AS l FROM (SELECT k, number, {CLEAN_SQL} AS t FROM bl)) SELECT k, number, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS names FROM al", with_mentions=False)
 def _(spark, sf):
     """Names before form words in numbered blocks made of each part's names."""
-    k = F.col("k")
-    text = F.concat(F.lit("1 "), F.col("name"), F.lit("錠 1日3回\n2 7オルケディア錠1mg ツムラ芍薬甘草湯エキス顆粒\n"), F.when(k % 3 == 0, "3 センノシド 12mg 眠前").otherwise(""))
-    out = names(spark, sf).select("k", F.explode(X.numbered_blocks(text)).alias("b")).select("k", "b.number", X.names_before_forms(F.col("b.content")).alias("n"))
-    return out.select("k", "number", F.array_join("n", "|").alias("names"))
+    text = F.concat(F.lit("1 "), F.col("name"), F.lit("錠 1日3回\n2 7オルケディア錠1mg ツムラ芍薬甘草湯エキス顆粒\n"), F.when(F.col("third"), "3 センノシド 12mg 眠前").otherwise(""))
+    named = lambda b: F.struct(b.number.alias("number"), F.array_join(X.names_before_forms(b.content), "|").alias("names"))
+    blocks = lambda d: d.select("name", "third", F.transform(X.numbered_blocks(text), named).alias("b"))
+    rows = names(spark, sf).select("k", "name", (F.col("k") % 3 == 0).alias("third"))
+    return per_name(rows, blocks, ("name", "third")).select("k", F.explode("b").alias("b")).select("k", "b.number", "b.names")
 
 
 def _cut_sql() -> str:

@@ -17,3 +17,15 @@ def test_a_filter_on_what_a_name_gives_is_not_worked_out_for_every_row(spark):
     rows = spark.range(4000).select(F.col("id").alias("k"), F.concat(F.lit("n"), F.col("id") % 4).alias("name"))
     out = pool.per_name(rows, lambda d: d.select("name", slow("name").alias("b"))).where("b IS NOT NULL")
     assert out.count() == 3000 and calls.value < 100
+
+
+def joined_by_name(spark, sf, query):
+    """The query's plan: the table of names, worked out once each, on one side of a join."""
+    plan = entry.queries()[query](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "collect_list" in plan
+    return plan.split("Join Inner")[1]
+
+
+def test_names_in_blocks_are_looked_for_once_for_each_name(spark, sf):
+    rows, known = joined_by_name(spark, sf, "block_names").split("Aggregate", 1)
+    assert "regexp_extract_all" in known and "regexp_extract_all" not in rows
