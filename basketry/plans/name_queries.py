@@ -208,8 +208,8 @@ def _candidates_sql() -> str:
 def _(spark, sf):
     """Names by patterns and by a dictionary, and lines of fixed form; three sources of a vote."""
     text = F.concat(F.lit("処方 "), "name", F.lit("錠 と ツムラ大建中湯エキス顆粒\nアムロジピン口腔内崩壊錠 5mg\n数量 3錠"))
-    out = names(spark, sf).select("k", text.alias("t"))
-    return out.select("k", F.array_join(X.pattern_names(F.col("t")), "|").alias("regex"), F.array_join(X.dictionary_names(F.col("t"), M.VOTED), "|").alias("dictionary"), F.array_join(X.expected_lines(F.col("t")), "|").alias("fixed"))
+    found = lambda d: d.select("name", F.array_join(X.pattern_names(text), "|").alias("regex"), F.array_join(X.dictionary_names(text, M.VOTED), "|").alias("dictionary"), F.array_join(X.expected_lines(text), "|").alias("fixed"))
+    return per_name(names(spark, sf), found).drop("name", "maker")
 
 
 @query("direct_tokens", "SELECT p_partkey AS k, len(string_split(p_name || ' ' || p_type, ' ')) >= 2 AS direct, string_split(p_name || ' ' || p_type, ' ')[1] AS first FROM part", with_mentions=False)

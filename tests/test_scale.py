@@ -29,3 +29,8 @@ def joined_by_name(spark, sf, query):
 def test_names_in_blocks_are_looked_for_once_for_each_name(spark, sf):
     rows, known = joined_by_name(spark, sf, "block_names").split("Aggregate", 1)
     assert "regexp_extract_all" in known and "regexp_extract_all" not in rows
+
+
+def test_pattern_candidates_are_looked_for_once_for_each_name(spark, sf):
+    rows, known = joined_by_name(spark, sf, "pattern_candidates").split("Aggregate", 1)
+    assert "regexp_extract_all" in known and "regexp_extract_all" not in rows
