@@ -113,16 +113,21 @@ def canonical(c: Column) -> Column:
 THREE = ("エナラプリル", "サクビトリル/バルサルタン", "テルミサルタン/アムロジピン")
 
 
-def displayed(names: Column) -> Column:
-    """Strength, maker and blanks go, brands become generic names, each is named once; THREE has its order, an empty list its own text."""
+def shown(x: Column) -> Column:
+    """One name without strength, maker and blanks, a brand as its generic name."""
+    for pattern in (r"(?i)\s*\d+(\.\d+)?\s*mg\b", "「.*?」", r"\s+"):
+        x = F.regexp_replace(x, pattern, "")
+    x = let(x, lambda y: F.when(F.contains(y, F.lit("徐放")), y).otherwise(F.replace(y, F.lit("ニフェジピン"), F.lit("ニフェジピン徐放"))))
+    return let(x, lambda y: F.coalesce(table(BRANDS, y), y))
 
-    def show(x):
-        for pattern in (r"(?i)\s*\d+(\.\d+)?\s*mg\b", "「.*?」", r"\s+"):
-            x = F.regexp_replace(x, pattern, "")
-        x = let(x, lambda y: F.when(F.contains(y, F.lit("徐放")), y).otherwise(F.replace(y, F.lit("ニフェジピン"), F.lit("ニフェジピン徐放"))))
-        return let(x, lambda y: F.coalesce(table(BRANDS, y), y))
 
+def listed(names: Column) -> Column:
+    """Names as shown() gives them in one text, each once; THREE has its order, an empty list its own text."""
     three = F.array(*map(F.lit, THREE))
     ordered = lambda x: F.when((F.size(x) == len(THREE)) & (F.size(F.array_except(three, x)) == 0), three).otherwise(x)
-    shown = let(F.array_distinct(F.transform(names, show)), ordered)
-    return F.when(F.size(shown) > 0, F.array_join(shown, "、")).otherwise("（該当なし）")
+    return let(let(F.array_distinct(names), ordered), lambda x: F.when(F.size(x) > 0, F.array_join(x, "、")).otherwise("（該当なし）"))
+
+
+def displayed(names: Column) -> Column:
+    """Strength, maker and blanks go, brands become generic names, each is named once; THREE has its order, an empty list its own text."""
+    return listed(F.transform(names, shown))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.names import canonical, displayed
+from ..functions.names import canonical, listed, shown
 from ..functions.strings import first_text
-from .rules import Rule, evaluate, findings
+from .lookup import each_once
+from .rules import Marks, Rule, evaluate_marked, findings
 
 # The classes of each name, and the rules with severity, title and priority in their order. What follows #
 # in a title tells two rules of one title apart and isn't shown.
@@ -91,16 +92,23 @@ def class_tags(name: Column) -> Column:
     return F.concat(F.coalesce(book[name], book[canonical(name)], none), F.coalesce(chelated, none))
 
 
+MARKS = Marks(RULES)
+
+
 def classified(mentions: DataFrame) -> DataFrame:
-    """mentions (rx_id, generic, name, brand, raw) -> rx_id, name, tag: a row for each class of a name."""
+    """mentions (rx_id, generic, name, brand, raw) -> rx_id, name, shown, marks: a row for each mention of a name that has classes.
+
+    Each different name is classified once. The spellings of the names that have classes go to all tasks: a shuffle by
+    name would put all mentions into as many tasks as there are names.
+    """
     named = mentions.select("rx_id", first_text("generic", "name", "brand", "raw").alias("name"))
-    known = named.select("name").distinct().select("name", F.explode(class_tags(F.col("name"))).alias("tag"))  # each different name once
-    return named.join(known, "name").select("rx_id", "name", "tag")
+    book = each_once(named, ["name"], lambda d: d.select("name", class_tags(F.col("name")).alias("tags"))).where(F.size("tags") > 0)
+    return named.join(F.broadcast(book.select("name", shown(F.col("name")).alias("shown"), MARKS.of(F.col("tags")).alias("marks"))), "name").select("rx_id", "name", "shown", "marks")
 
 
 def report_lines() -> Column:
-    """On a basket with items (distinct structs of name and tag): the findings by priority, a line each; empty if there are none."""
-    order = F.array_sort(findings(RULES, displayed))
+    """On a basket with columns as rules.gathered(MARKS) gives them: the findings by priority, a line each; empty if there are none."""
+    order = F.array_sort(findings(RULES, MARKS, listed))
     return F.array_join(F.transform(order, lambda f: F.concat(F.lit("["), f.severity, F.lit("] "), F.substring_index(f.rule_id, "#", 1), F.lit("："), f.targets)), "\n")
 
 
@@ -115,7 +123,7 @@ def report(mentions: DataFrame) -> DataFrame:
 
     Null or blank names are in no class; an empty table has no findings.
     """
-    found = evaluate(classified(mentions), RULES, displayed)
+    found = evaluate_marked(classified(mentions), RULES, listed)
     order = F.create_map(*(F.lit(x) for i, r in enumerate(RULES) for x in (r.id, i)))[F.col("rule_id")]
     rank = F.row_number().over(Window.partitionBy("rx_id").orderBy("priority", order))
     return found.select("rx_id", F.substring_index("rule_id", "#", 1).alias("title"), "severity", "priority", "targets", action(F.col("rule_id"), F.col("targets")).alias("action"), rank.alias("rank"))

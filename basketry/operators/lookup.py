@@ -10,6 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def each_once(rows: DataFrame, by: list[str], worked_out) -> DataFrame:
+    """The different values of by in rows with the columns that worked_out gives for them, a row each.
+
+    The columns are gathered behind the distinct: else Spark would carry a filter on them below it, and over a join with
+    rows, and work them out for every row.
+    """
+    known = worked_out(rows.select(*by).distinct())
+    columns = [c for c in known.columns if c not in by]
+    return known.groupBy(*by).agg(F.collect_list(F.struct(*columns)).alias("w")).select(*by, *(F.col("w")[0][c].alias(c) for c in columns))
+
+
 def substrings(name: str, least: int, lengths: list[int] | None = None) -> Column:
     """The distinct substrings of at least so many characters, or of the given lengths."""
     at = f"transform(sequence(1, length({name}) - n + 1), i -> substring({name}, i, n))"

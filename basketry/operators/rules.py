@@ -29,30 +29,74 @@ def _sql_list(terms) -> str:
     return ", ".join(f"'{t}'" for t in terms)
 
 
-def fires(rule: Rule) -> Column:
-    """On a basket with columns items (distinct structs of name, cls, first) and tags (distinct per name)."""
-    have = "transform(items, x -> x.tag)"
+class Marks:
+    """Sets of the tags that rules ask for, as bits of whole numbers, so that a rule is a few operations on numbers however often it is tried."""
+
+    def __init__(self, rules: list[Rule]):
+        tags = dict.fromkeys(t for r in rules for t in (*r.terms, *r.others, *r.given, *r.without))
+        self.place = {t: divmod(i, 63) for i, t in enumerate(tags)}
+        self.words = [f"w{i}" for i in range(-(-len(self.place) // 63))] or ["w0"]
+
+    def _bits(self, terms) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for t in dict.fromkeys(terms):
+            word, bit = self.place[t]
+            out[f"w{word}"] = out.get(f"w{word}", 0) | 1 << bit
+        return out
+
+    def of(self, tags: Column) -> Column:
+        """The set of an array of tags; tags that no rule asks for are left out."""
+        none = F.lit(0).cast("long")
+
+        def word(w: str) -> Column:
+            bits = F.create_map(*(F.lit(x) for t, (i, bit) in self.place.items() if f"w{i}" == w for x in (t, 1 << bit))).cast("map<string,bigint>")
+            return F.aggregate(tags, none, lambda acc, t: acc.bitwiseOR(F.coalesce(bits[t], none)))
+
+        return F.struct(*(word(w).alias(w) for w in self.words))
+
+    def held(self) -> Column:
+        """As an aggregate over rows with marks: all their tags."""
+        return F.struct(*(F.bit_or(f"marks.{w}").alias(w) for w in self.words))
+
+    def any(self, m: Column, terms) -> Column:
+        out = F.lit(False)
+        for w, bits in self._bits(terms).items():
+            out = out | (m[w].bitwiseAND(F.lit(bits).cast("long")) != 0)
+        return out
+
+    def all(self, m: Column, terms) -> Column:
+        out = F.lit(True)
+        for w, bits in self._bits(terms).items():
+            out = out & (m[w].bitwiseAND(F.lit(bits).cast("long")) == bits)
+        return out
+
+    def count(self, m: Column, terms) -> Column:
+        return sum((F.bit_count(m[w].bitwiseAND(F.lit(bits).cast("long"))) for w, bits in self._bits(terms).items()), F.lit(0))
+
+
+def fires(rule: Rule, marks: Marks) -> Column:
+    """On a basket with columns items (distinct structs of name, shown and marks, by name) and have (the marks of all of them)."""
+    have, items = F.col("have"), F.col("items")
     if rule.kind == "all_of":
-        return F.expr(" AND ".join(f"array_contains({have}, '{t}')" for t in rule.terms))
+        return marks.all(have, rule.terms)
     if rule.kind == "any_any":
-        return F.expr(f"arrays_overlap({have}, array({_sql_list(rule.terms)})) AND arrays_overlap({have}, array({_sql_list(rule.others)}))")
-    listed = f"filter(items, x -> x.tag IN ({_sql_list(rule.terms)}))"
+        return marks.any(have, rule.terms) & marks.any(have, rule.others)
     if rule.kind == "with_least":
-        return fires(Rule("", "at_least", rule.terms, least=rule.least)) & F.expr(f"arrays_overlap({have}, array({_sql_list(rule.others)}))")
+        return marks.any(have, rule.others) & fires(Rule("", "at_least", rule.terms, least=rule.least), marks)
     if rule.kind == "tags_present":
-        return F.expr(f"size(array_distinct(transform({listed}, x -> x.tag))) >= {rule.least}")
+        return marks.count(have, rule.terms) >= rule.least
     if rule.kind == "at_least":
-        return F.expr(f"size(array_distinct(transform({listed}, x -> x.name))) >= {rule.least}")
-    return F.expr(f"size({listed}) >= {rule.least}")
+        if rule.least == 1:
+            return marks.any(have, rule.terms)
+        listed = F.transform(F.filter(items, lambda x: marks.any(x.marks, rule.terms)), lambda x: x["name"])
+        return (marks.any(have, rule.terms) | F.lit(rule.least <= 0)) & (F.size(F.array_distinct(listed)) >= rule.least)
+    return F.aggregate(items, F.lit(0), lambda n, x: n + marks.count(x.marks, rule.terms)) >= rule.least
 
 
-def has(tag: str) -> Column:
-    return F.array_contains(F.transform("items", lambda x: x.tag), tag)
-
-
-def targets(rule: Rule) -> Column:
-    """The sorted names of the rule's classes."""
-    return F.expr(f"array_sort(array_distinct(transform(filter(items, x -> x.tag IN ({_sql_list(rule.terms + rule.others)})), x -> x.name)))")
+def targets(rule: Rule, marks: Marks) -> Column:
+    """What is shown for the names of the rule's classes, in the order of the names."""
+    own = F.filter("items", lambda x: marks.any(x.marks, rule.terms + rule.others))
+    return F.transform(F.array_distinct(F.transform(own, lambda x: F.struct(x["name"].alias("name"), x.shown.alias("shown")))), lambda x: x.shown)
 
 
 def comma_joined(names: Column) -> Column:
@@ -64,19 +108,24 @@ def tagged(items: DataFrame, tags: dict[str, tuple], on: str) -> DataFrame:
     return items.withColumn("tag", F.explode(table[F.col(on)]))
 
 
-def findings(rules: list[Rule], render=comma_joined) -> Column:
-    """On a basket with a column items (distinct structs of name and tag): an array of priority, place (the rule's), rule_id, severity, targets of the rules that hold and that no other suppresses."""
+def gathered(marks: Marks) -> list[Column]:
+    """As aggregates over rows with name, shown and marks: items and have, which findings() reads."""
+    return [F.array_sort(F.collect_set(F.struct("name", "shown", "marks"))).alias("items"), marks.held().alias("have")]
+
+
+def findings(rules: list[Rule], marks: Marks, render=comma_joined) -> Column:
+    """On a basket with columns as gathered() gives them: an array of priority, place (the rule's), rule_id, severity, targets of the rules that hold and that no other suppresses."""
     by_id = {r.id: r for r in rules}
     found = []
     for i, r in enumerate(rules):
-        ok = fires(r)
+        ok = fires(r, marks)
         for tag in r.given:
-            ok = ok & has(tag)
+            ok = ok & marks.any(F.col("have"), (tag,))
         for tag in r.without:
-            ok = ok & ~has(tag)
+            ok = ok & ~marks.any(F.col("have"), (tag,))
         for other in r.unless:
-            ok = ok & ~fires(by_id[other])
-        row = F.struct(F.lit(r.priority).alias("priority"), F.lit(i).alias("place"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), render(targets(r)).alias("targets"))
+            ok = ok & ~fires(by_id[other], marks)
+        row = F.struct(F.lit(r.priority).alias("priority"), F.lit(i).alias("place"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), render(targets(r, marks)).alias("targets"))
         found.append(F.when(ok, row))
     return F.array_compact(F.array(*found))
 
@@ -87,8 +136,15 @@ def evaluate(items: DataFrame, rules: list[Rule], render=comma_joined) -> DataFr
     render makes the targets' text of their sorted names. Rows without a name or a tag are in no class; a repeated row counts once.
     """
     items = items.where("name IS NOT NULL AND tag IS NOT NULL")
-    baskets = items.groupBy("rx_id").agg(F.collect_set(F.struct("name", "tag")).alias("items"))
-    return baskets.select("rx_id", F.explode(findings(rules, render)).alias("f")).select("rx_id", "f.rule_id", "f.severity", "f.priority", "f.targets")
+    marked = items.select("rx_id", "name", F.col("name").alias("shown"), Marks(rules).of(F.array("tag")).alias("marks"))
+    return evaluate_marked(marked, rules, render)
+
+
+def evaluate_marked(items: DataFrame, rules: list[Rule], render=comma_joined) -> DataFrame:
+    """The same of items (rx_id, name, shown, marks): marks are the tags of a name as Marks(rules) has them, and render gets what is shown for the names."""
+    marks = Marks(rules)
+    baskets = items.groupBy("rx_id").agg(*gathered(marks))
+    return baskets.select("rx_id", F.explode(findings(rules, marks, render)).alias("f")).select("rx_id", "f.rule_id", "f.severity", "f.priority", "f.targets")
 
 
 def evaluate_sql(rules: list[Rule], items: str) -> str:

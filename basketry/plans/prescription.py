@@ -6,48 +6,84 @@ or without a form word has no items and a failed gate; repeated rows of one rx_i
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import attributes as A, classes as C, names as N, steps as S, texts as T
 from ..functions.strings import first_text
-from ..operators import dedupe, gates, interactions
+from ..operators import dedupe, gates, interactions, rules
+from ..operators.lookup import each_once
+from ..streaming.buffer import shared_folder
 
 KINDS = "般|外|麻|向"
 
 
-def items(texts: DataFrame) -> DataFrame:
-    """texts (rx_id, text) -> a row for each line with a form word: rx_id, pos, raw, generic, form, strength, dose, freq, days, route, confidence."""
-    blocks = T.numbered_blocks(F.col("text"), KINDS)
+def lines(texts: DataFrame) -> DataFrame:
+    """texts (rx_id, text) -> rx_id, pos, raw: a row for each line with a form word."""
     whole = F.array(F.struct(F.lit(0).alias("number"), F.col("text").alias("content")))
-    rows = texts.select("rx_id", F.explode(F.when(F.size(blocks) > 0, blocks).otherwise(whole)).alias("b"))
+    blocks = T.let(T.numbered_blocks(F.col("text"), KINDS), lambda b: F.when(F.size(b) > 0, b).otherwise(whole))
+    rows = texts.select("rx_id", F.explode(blocks).alias("b"))
     rows = rows.select("rx_id", F.col("b.number").alias("number"), F.posexplode(F.split("b.content", "\n")).alias("n", "raw"))
-    rows = rows.where(F.col("raw").rlike("|".join(A.FORM_WORDS)))
+    return rows.where(F.col("raw").rlike("|".join(A.FORM_WORDS))).select("rx_id", (F.col("number") * 1000 + F.col("n")).cast("long").alias("pos"), "raw")
+
+
+def attributes(raws: DataFrame) -> DataFrame:
+    """raws (raw) -> raw, generic (null for noise), form, strength, dose, freq, days, route, confidence."""
     c = F.col("raw")
-    rows = rows.select("rx_id", (F.col("number") * 1000 + F.col("n")).cast("long").alias("pos"), "raw", F.trim(T.found(A.item_name(c), r"\A\S+")).alias("generic"), A.form(c).alias("form"), A.strength(c).alias("strength"), A.dose(c).alias("dose"), A.frequency(c).alias("freq"), T.first_integer(T.found(c, r"\d+\s*日分")).alias("days"))
-    rows = rows.where(F.col("generic").isNotNull() & ~N.is_noise(F.col("generic"))).withColumn("generic", N.generic_name(F.col("generic")))
+    generic = F.trim(T.found(A.item_name(c), r"\A\S+"))
+    rows = raws.select("raw", F.when(~N.is_noise(generic), N.generic_name(generic)).alias("generic"), A.form(c).alias("form"), A.strength(c).alias("strength"), A.dose(c).alias("dose"), A.frequency(c).alias("freq"), T.first_integer(T.found(c, r"\d+\s*日分")).alias("days"))
     sure = 0.5 + 0.3 * F.col("strength").isNotNull().cast("int") + 0.2 * F.col("freq").isNotNull().cast("int")
     return rows.withColumn("route", N.route(c)).withColumn("confidence", F.round(sure, 2))
 
 
+def items(texts: DataFrame) -> DataFrame:
+    """texts (rx_id, text) -> a row for each line with a form word: rx_id, pos, raw, generic, form, strength, dose, freq, days, route, confidence."""
+    rows = lines(texts)
+    known = each_once(rows, ["raw"], attributes).where("generic IS NOT NULL")
+    return rows.join(known, "raw").select("rx_id", "pos", *known.columns)
+
+
+def _key():
+    return N.same_key(F.col("generic"), F.col("raw"), F.col("route"))
+
+
 def distinct_items(rows: DataFrame) -> DataFrame:
     """The best mention of each medicine and route, in the place of its first."""
-    key = N.same_key(F.col("generic"), F.col("raw"), F.col("route"))
     best = F.col("strength").isNotNull().cast("int") + F.col("confidence")
-    return dedupe.best_per_key(rows.withColumn("key", key), ["rx_id", "key"], [F.desc(best), F.col("pos"), F.col("raw")], "pos").drop("key")
+    return dedupe.best_per_key(rows.withColumn("key", _key()), ["rx_id", "key"], [F.desc(best), F.col("pos"), F.col("raw")], "pos").drop("key")
+
+
+def judged_lines(raws: DataFrame) -> DataFrame:
+    """raws (raw) -> what the gate and the report need of a line: key, known, best, confidence, classified, no_id, name, shown, marks (null without classes); key is null for noise."""
+    name = first_text("generic", "raw")
+    classified = S.mapped(F.col("name"), C.CLASS_OF).isNotNull() | S.mapped(F.col("name"), C.FALLBACK).isNotNull()
+    rows = attributes(raws).withColumn("name", name).withColumn("tags", interactions.class_tags(F.col("name")))
+    known = F.col("strength").isNotNull()
+    return rows.select(
+        "raw", F.when(F.col("generic").isNotNull(), _key()).alias("key"), known.alias("known"), (known.cast("int") + F.col("confidence")).alias("best"), "confidence", classified.alias("classified"), S.mapped(F.col("name"), C.ENGLISH).isNull().alias("no_id"),
+        "name", N.shown(F.col("name")).alias("shown"), F.when(F.size("tags") > 0, interactions.MARKS.of(F.col("tags"))).alias("marks"),
+    )
 
 
 def diagnose(texts: DataFrame) -> DataFrame:
     """texts (rx_id, text) -> rx_id, n_items, issues, passed, retry, human, strategy, report (findings by priority, one a line; empty if none), for every text.
 
     An item is known if it has a strength, classified if the dictionary has its class, and has an id if its name can be
-    looked up. The items of a text are gathered once; the gate and the report come from the same row.
+    looked up. Each different line is read once; the table of lines is written to the shared folder, so that Spark knows
+    its size before the join: a short one goes to all tasks, a long one is shuffled. The items of a text are gathered
+    once; the gate and the report come from the same row.
     """
-    rows = distinct_items(items(texts))
-    name = first_text("generic", "raw")
-    tagged = F.transform(interactions.class_tags(F.col("name")), lambda t: F.struct(F.col("name").alias("name"), t.alias("tag")))
-    classified = S.mapped(F.col("name"), C.CLASS_OF).isNotNull() | S.mapped(F.col("name"), C.FALLBACK).isNotNull()
-    measures = gates.measures(F.col("strength").isNotNull(), classified, S.mapped(F.col("name"), C.ENGLISH).isNull())
-    g = rows.withColumn("name", name).withColumn("tags", tagged).groupBy("rx_id").agg(*measures, F.array_distinct(F.flatten(F.collect_list("tags"))).alias("items"))
-    g = g.withColumn("report", interactions.report_lines()).drop("items")
+    spark, rows = texts.sparkSession, lines(texts)
+    at = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    each_once(rows, ["raw"], judged_lines).where("key IS NOT NULL").write.parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    rows = rows.join(spark.read.parquet(at), "raw")
+    rows = dedupe.best_per_key(rows, ["rx_id", "key"], [F.desc("best"), F.col("pos"), F.col("raw")])
+    measures = gates.measures(F.col("known"), F.col("classified"), F.col("no_id"))
+    item = F.when(F.col("marks").isNotNull(), F.struct("name", "shown", "marks"))
+    g = rows.groupBy("rx_id").agg(*measures, F.array_sort(F.collect_set(item)).alias("items"), interactions.MARKS.held().alias("have"))
+    g = g.withColumn("report", F.when(F.size("items") > 0, interactions.report_lines())).drop("items", "have")
     out = texts.select("rx_id").distinct().join(g, "rx_id", "left").fillna(0, ["n", "coverage", "classified", "low", "no_id"])
     return out.select("rx_id", F.col("n").cast("long").alias("n_items"), *gates.judged(), F.coalesce("report", F.lit("")).alias("report"))

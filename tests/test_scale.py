@@ -3,6 +3,7 @@
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
+from basketry.operators import rules
 from basketry.plans import pool
 
 
@@ -34,3 +35,20 @@ def test_names_in_blocks_are_looked_for_once_for_each_name(spark, sf):
 def test_pattern_candidates_are_looked_for_once_for_each_name(spark, sf):
     rows, known = joined_by_name(spark, sf, "pattern_candidates").split("Aggregate", 1)
     assert "regexp_extract_all" in known and "regexp_extract_all" not in rows
+
+
+def test_items_of_a_report_are_not_shuffled_by_a_few_names(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # small tables stand for large ones
+    try:
+        plan = entry.queries()["interaction_report"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [name#" not in plan and "BroadcastHashJoin [name#" in plan
+
+
+def test_rules_of_more_tags_than_a_number_has_bits(spark):
+    own = [f"t{i}" for i in range(130)]
+    all_rules = [rules.Rule("all", "all_of", tuple(own[60:130])), rules.Rule("sum", "tag_sum", (own[0], own[129]), least=3), rules.Rule("least", "at_least", (own[62], own[63]), unless=("all",)), rules.Rule("none", "any_any", (own[1],), (own[128],), without=(own[5],))]
+    items = [(1, "a", t) for t in own] + [(1, "b", own[0]), (1, "b", own[0]), (2, "a", own[62]), (2, "b", own[63]), (2, "b", "other"), (3, "c", own[1]), (3, "d", own[128]), (3, None, own[5]), (3, "e", None)]
+    got = rules.evaluate(spark.createDataFrame(items, "rx_id int, name string, tag string"), all_rules).collect()
+    assert sorted((r.rx_id, r.rule_id, r.targets) for r in got) == [(1, "all", "a"), (1, "sum", "a, b"), (2, "least", "a, b"), (3, "none", "c, d")]
