@@ -52,3 +52,8 @@ def test_rules_of_more_tags_than_a_number_has_bits(spark):
     items = [(1, "a", t) for t in own] + [(1, "b", own[0]), (1, "b", own[0]), (2, "a", own[62]), (2, "b", own[63]), (2, "b", "other"), (3, "c", own[1]), (3, "d", own[128]), (3, None, own[5]), (3, "e", None)]
     got = rules.evaluate(spark.createDataFrame(items, "rx_id int, name string, tag string"), all_rules).collect()
     assert sorted((r.rx_id, r.rule_id, r.targets) for r in got) == [(1, "all", "a"), (1, "sum", "a, b"), (2, "least", "a, b"), (3, "none", "c, d")]
+
+
+def test_lines_of_prescriptions_are_read_once_for_each_different_line(spark, sf):
+    plan = entry.queries()["prescription_diagnosis"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(raw" not in plan and "nfkc" not in plan
