@@ -57,3 +57,12 @@ def test_rules_of_more_tags_than_a_number_has_bits(spark):
 def test_lines_of_prescriptions_are_read_once_for_each_different_line(spark, sf):
     plan = entry.queries()["prescription_diagnosis"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract(raw" not in plan and "nfkc" not in plan
+
+
+def test_items_are_not_shuffled_by_name_for_their_tags(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()["medicine_tag_counts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [name#" not in plan and "BroadcastHashJoin [name#" in plan
