@@ -3,7 +3,7 @@
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from basketry.operators import rules
+from basketry.operators import fragments, rules
 from basketry.plans import pool
 
 
@@ -66,3 +66,11 @@ def test_items_are_not_shuffled_by_name_for_their_tags(spark, sf):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin [name#" not in plan and "BroadcastHashJoin [name#" in plan
+
+
+def test_a_list_of_cut_names_is_cleaned_once_and_not_for_each_pair(spark):
+    pairs = [(f"a{i}", f"b{i}") for i in range(300)]
+    odd = spark.createDataFrame([(["a0", "a0", "b0", "b0", "b0"],), ([],), (None,), ([None],)], "n array<string>")
+    assert [r.m for r in odd.select(fragments.merged(F.col("n"), pairs).alias("m")).collect()] == [["a0b0", "b0"], [], [], []]
+    plan = odd.select(fragments.merged(F.col("n"), pairs).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(n#") == 1
