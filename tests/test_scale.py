@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import fragments, rules
 from basketry.plans import pool
+from basketry.sources import pictures
 
 
 def test_a_filter_on_what_a_name_gives_is_not_worked_out_for_every_row(spark):
@@ -74,3 +75,16 @@ def test_a_list_of_cut_names_is_cleaned_once_and_not_for_each_pair(spark):
     assert [r.m for r in odd.select(fragments.merged(F.col("n"), pairs).alias("m")).collect()] == [["a0b0", "b0"], [], [], []]
     plan = odd.select(fragments.merged(F.col("n"), pairs).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("filter(n#") == 1
+
+
+def test_measures_of_pictures_that_are_not_asked_for_are_not_worked_out(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(pictures, "skew", never)
+    monkeypatch.setattr(pictures, "edge_pixels", never)
+    picture = b"P5 2 1 255\n" + bytes([10, 30])
+    assert pictures.measures(picture, ("width", "height", "spread", "brightness")) == (2, 1, 10.0, 20.0)
+    rows = spark.createDataFrame([(1, bytearray(picture)), (2, None), (3, bytearray(b"no"))], "id int, content binary")
+    got = {r.id: tuple(r.m) for r in pictures.measured(rows, column="m", asked=("brightness", "width")).collect()}
+    assert got == {1: (20.0, 2), 2: (None, None), 3: (None, None)}
