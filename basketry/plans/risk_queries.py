@@ -63,7 +63,7 @@ def _(spark, sf):
     c, k = F.col("name"), F.col("p_partkey")
     rows = read(spark, sf, "part").select(k.alias("k"), picked(CATEGORIZED, k).alias("name"))
     known = rows.select("name").distinct().select("name", C.category(c, M.plain(c)).alias("category"), C.ladder(c).alias("rung"))
-    return rows.join(known, "name").select("k", "category", "rung", F.coalesce(S.mapped(F.col("category"), C.CATEGORY_LABELS), "category").alias("label"))
+    return rows.join(F.broadcast(known), "name").select("k", "category", "rung", F.coalesce(S.mapped(F.col("category"), C.CATEGORY_LABELS), "category").alias("label"))
 
 
 CLASSED_SQL = RISKY_SQL + f", w AS (SELECT DISTINCT rx_id, name, {S.sql('name', M.PLAIN_STEPS)} AS bare FROM r), g AS (SELECT rx_id, name, {CATEGORY_SQL} AS category FROM w)"
@@ -75,7 +75,7 @@ def clinical_risks(spark, sf):
     """Each different name is classified once; an item goes to the risks of its category, and to the one for sleeping aids of both kinds."""
     items = risky(spark, sf).select("rx_id", "name").distinct()
     classed = items.select("name").distinct().withColumn("category", C.category(F.col("name"), M.plain(F.col("name"))))
-    return K.class_risks(items.join(classed, "name"))
+    return K.class_risks(items.join(F.broadcast(classed), "name"))
 
 
 @query("clinical_risks", RISKS_SQL + f" SELECT *, {S.mapped_sql('risk', {k: v[0] for k, v in K.RISK_TEXTS.items()})} AS impact, {S.mapped_sql('risk', {k: v[1] for k, v in K.RISK_TEXTS.items()})} AS recommendation FROM a")
