@@ -14,6 +14,14 @@ def measures(known: Column, classified: Column, no_id: Column) -> list[Column]:
     return [n.alias("n"), (F.count_if(known) / n).alias("coverage"), (F.count_if(classified) / n).alias("classified"), F.count_if(F.col("confidence") < CONFIDENCE).alias("low"), F.count_if(no_id).alias("no_id")]
 
 
+def measures_of(items: Column) -> list[Column]:
+    """The same of a basket that is an array of items with confidence, known, classified and no_id; of an empty one all are 0."""
+    n = F.size(items)
+    count = lambda test: F.size(F.filter(items, test))
+    share = lambda test: F.when(n > 0, count(test) / n).otherwise(0.0)
+    return [n.alias("n"), share(lambda x: x.known).alias("coverage"), share(lambda x: x.classified).alias("classified"), count(lambda x: x.confidence < CONFIDENCE).alias("low"), count(lambda x: x.no_id).alias("no_id")]
+
+
 def judged() -> list[Column]:
     """issues, passed, retry, human, strategy from the measures; of a basket without items n and both shares are 0."""
     thin, unclear, unsure, few, many = F.col("coverage") < COVERAGE, F.col("classified") < CLASSIFIED, F.col("low") > 0, F.col("n") < FEWEST, F.col("n") > MOST

@@ -108,7 +108,7 @@ def classified(mentions: DataFrame) -> DataFrame:
 
 def report_lines() -> Column:
     """On a basket with columns as rules.gathered(MARKS) gives them: the findings by priority, a line each; empty if there are none."""
-    order = F.array_sort(findings(RULES, MARKS, listed))
+    order = F.sort_array(findings(RULES, MARKS, listed))
     return F.array_join(F.transform(order, lambda f: F.concat(F.lit("["), f.severity, F.lit("] "), F.substring_index(f.rule_id, "#", 1), F.lit("："), f.targets)), "\n")
 
 

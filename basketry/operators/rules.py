@@ -58,6 +58,14 @@ class Marks:
         """As an aggregate over rows with marks: all their tags."""
         return F.struct(*(F.bit_or(f"marks.{w}").alias(w) for w in self.words))
 
+    def held_by(self, items: Column) -> Column:
+        """The same of an array of structs with marks."""
+
+        def word(w: str) -> Column:
+            return F.aggregate(items, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x.marks[w]))
+
+        return F.struct(*(word(w).alias(w) for w in self.words))
+
     def any(self, m: Column, terms) -> Column:
         out = F.lit(False)
         for w, bits in self._bits(terms).items():

@@ -136,5 +136,5 @@ def _(spark, sf):
     m = mentions(spark, sf)
     name = F.element_at(F.array(*map(F.lit, MEDICINES)), (F.col("part") % len(MEDICINES)).cast("int") + 1)
     line = F.concat((F.col("pos") + 1).cast("string"), F.lit("【般】"), name, F.lit("錠 "), F.when(F.col("qty") > 5, F.concat(F.col("qty").cast("int").cast("string"), F.lit("mg "))).otherwise(""), F.lit("1錠 朝食後 7日分"))
-    texts = m.groupBy("rx_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("x"))
+    texts = m.groupBy("rx_id").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("x"))
     return prescription.diagnose(texts.select("rx_id", F.array_join(F.col("x.line"), "\n").alias("text")))

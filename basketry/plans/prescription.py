@@ -6,26 +6,29 @@ or without a form word has no items and a failed gate; repeated rows of one rx_i
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import attributes as A, classes as C, names as N, steps as S, texts as T
 from ..functions.strings import first_text
 from ..operators import dedupe, gates, interactions, rules
 from ..operators.lookup import each_once
-from ..streaming.buffer import shared_folder
+from ..streaming.buffer import written
 
 KINDS = "般|外|麻|向"
 
 
-def lines(texts: DataFrame) -> DataFrame:
-    """texts (rx_id, text) -> rx_id, pos, raw: a row for each line with a form word."""
+def line_lists(texts: DataFrame) -> DataFrame:
+    """texts (rx_id, text) -> rx_id, lines: of each text the lines with a form word, an array of (pos, raw)."""
     whole = F.array(F.struct(F.lit(0).alias("number"), F.col("text").alias("content")))
     blocks = T.let(T.numbered_blocks(F.col("text"), KINDS), lambda b: F.when(F.size(b) > 0, b).otherwise(whole))
-    rows = texts.select("rx_id", F.explode(blocks).alias("b"))
-    rows = rows.select("rx_id", F.col("b.number").alias("number"), F.posexplode(F.split("b.content", "\n")).alias("n", "raw"))
-    return rows.where(F.col("raw").rlike("|".join(A.FORM_WORDS))).select("rx_id", (F.col("number") * 1000 + F.col("n")).cast("long").alias("pos"), "raw")
+    of_block = lambda b: F.transform(F.split(b.content, "\n"), lambda raw, n: F.struct((b.number.cast("long") * 1000 + n).alias("pos"), raw.alias("raw")))
+    own = F.filter(F.flatten(F.transform(blocks, of_block)), lambda x: A.has_form_word(x.raw))
+    return texts.select("rx_id", F.coalesce(own, F.array().cast("array<struct<pos:bigint,raw:string>>")).alias("lines"))
+
+
+def lines(texts: DataFrame) -> DataFrame:
+    """texts (rx_id, text) -> rx_id, pos, raw: a row for each line with a form word."""
+    return line_lists(texts).select("rx_id", F.inline("lines"))
 
 
 def attributes(raws: DataFrame) -> DataFrame:
@@ -70,20 +73,21 @@ def diagnose(texts: DataFrame) -> DataFrame:
     """texts (rx_id, text) -> rx_id, n_items, issues, passed, retry, human, strategy, report (findings by priority, one a line; empty if none), for every text.
 
     An item is known if it has a strength, classified if the dictionary has its class, and has an id if its name can be
-    looked up. Each different line is read once; the table of lines is written to the shared folder, so that Spark knows
-    its size before the join: a short one goes to all tasks, a long one is shuffled. The items of a text are gathered
-    once; the gate and the report come from the same row.
+    looked up. Texts are cut into lines once, and each different line is read once. Both tables are written to the shared
+    folder: the first as it is read twice, the second so that Spark knows its size before the join: a short one goes to
+    all tasks, a long one is shuffled. The lines of a text are gathered once; the best mention of each medicine and
+    route, the gate and the report come from the same row.
     """
-    spark, rows = texts.sparkSession, lines(texts)
-    at = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
-    each_once(rows, ["raw"], judged_lines).where("key IS NOT NULL").write.parquet(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    rows = rows.join(spark.read.parquet(at), "raw")
-    rows = dedupe.best_per_key(rows, ["rx_id", "key"], [F.desc("best"), F.col("pos"), F.col("raw")])
-    measures = gates.measures(F.col("known"), F.col("classified"), F.col("no_id"))
-    item = F.when(F.col("marks").isNotNull(), F.struct("name", "shown", "marks"))
-    g = rows.groupBy("rx_id").agg(*measures, F.array_sort(F.collect_set(item)).alias("items"), interactions.MARKS.held().alias("have"))
-    g = g.withColumn("report", F.when(F.size("items") > 0, interactions.report_lines())).drop("items", "have")
-    out = texts.select("rx_id").distinct().join(g, "rx_id", "left").fillna(0, ["n", "coverage", "classified", "low", "no_id"])
-    return out.select("rx_id", F.col("n").cast("long").alias("n_items"), *gates.judged(), F.coalesce("report", F.lit("")).alias("report"))
+    lists = written(line_lists(texts), "texts")
+    rows = lists.select("rx_id", F.inline("lines"))
+    rows = rows.join(written(each_once(rows, ["raw"], judged_lines), "lines"), "raw")
+    mention = F.struct("key", (-F.col("best")).alias("worse"), "pos", "raw", "known", "confidence", "classified", "no_id", "name", "shown", "marks")
+    mention = F.when(F.col("key").isNotNull(), mention).alias("mention")
+    without = lists.where(F.size("lines") == 0).select("rx_id", F.lit(None).cast(rows.select(mention).schema[0].dataType).alias("mention"))
+    g = rows.select("rx_id", mention).union(without).groupBy("rx_id").agg(F.sort_array(F.collect_list("mention")).alias("all"))
+    g = g.select("rx_id", F.filter("all", lambda x, i: (i == 0) | (x.key != F.col("all")[F.greatest(i - 1, F.lit(0))].key)).alias("best"))
+    marked = F.transform(F.filter("best", lambda x: x.marks.isNotNull()), lambda x: F.struct(x["name"].alias("name"), x.shown.alias("shown"), x.marks.alias("marks")))
+    g = g.select("rx_id", *gates.measures_of(F.col("best")), F.sort_array(F.array_distinct(marked)).alias("items"))
+    g = g.withColumn("have", interactions.MARKS.held_by(F.col("items")))
+    report = F.when(F.size("items") > 0, interactions.report_lines()).otherwise("")
+    return g.select("rx_id", F.col("n").cast("long").alias("n_items"), *gates.judged(), report.alias("report"))

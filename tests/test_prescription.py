@@ -22,6 +22,16 @@ def test_items_and_report(spark):
     assert P.diagnose(texts.limit(0)).count() == 0
 
 
+def test_texts_of_noise_repeated_texts_and_lines_without_form(spark):
+    texts = spark.createDataFrame([(1, "1【般】アムロジピン錠 5mg 朝\n薬局"), (1, "ニフェジピン錠 10mg 朝\nアムロジピン錠 朝"), (2, "錠"), (None, "1【般】センナ錠 5mg")], "rx_id int, text string")
+    got = {r.rx_id: r for r in P.diagnose(texts).collect()}
+    assert {k: (r.n_items, r.passed, r.report.count("\n")) for k, r in got.items()} == {1: (2, True, 1), 2: (0, False, 0), None: (1, True, 0)}
+    whole = "|".join(A.FORM_WORDS)
+    lines = [*whole.split("|"), "a錠b", "カプ", "点 眼", "", None]
+    rows = spark.createDataFrame([(x,) for x in lines], "x string").select(A.has_form_word(F.col("x")).alias("a"), F.col("x").rlike(whole).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+
+
 def test_code_labels(spark):
     rows = [(["A06AB06"],), (["A02BC06"],), (["A06", "A06AB08"],), (["X99"],), ([],), (None,)]
     got = [r.x for r in spark.createDataFrame(rows, "c array<string>").select(A.code_label(F.col("c")).alias("x")).collect()]

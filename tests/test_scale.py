@@ -60,6 +60,11 @@ def test_lines_of_prescriptions_are_read_once_for_each_different_line(spark, sf)
     assert "regexp_extract(raw" not in plan and "nfkc" not in plan
 
 
+def test_texts_of_prescriptions_are_made_and_cut_once(spark, sf):
+    plan = entry.queries()["prescription_diagnosis"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "split(" not in plan and "Window" not in plan
+
+
 def test_items_are_not_shuffled_by_name_for_their_tags(spark, sf):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
