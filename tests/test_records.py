@@ -49,6 +49,16 @@ def test_reported_pairs_by_hand(spark):
     assert sorted((r.rx_id, r.name, r.advice, r.severity, r.source) for r in found.collect()) == [(1, "b × a", "Major bleeding", "重大", "KEGG"), (4, "c × a", "相互作用が報告されています。", "併用注意", "KEGG")]
 
 
+def test_each_of_equal_reports_is_a_row(spark):
+    lines = spark.createDataFrame([(x,) for x in ["D1\tD2\tmajor", "dr:D2\tD1\tmajor", "D1\tD2\tmajor\tx", "D1\tD2\t", "D2\tD2\tsame"]], "value string")
+    items = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "b"), (None, 0, "a"), (None, 1, "b"), (2, 0, "a")], "rx_id int, pos int, name string")
+    ids = spark.createDataFrame([("a", "D1"), ("b", "dr:D2")], "name string, id string")
+    found = reported_pairs.basket_findings(items, ids, reported_pairs.reported_pairs(lines))
+    got = sorted((r.rx_id, r.target_drugs, r.advice, r.severity) for r in found.collect())
+    assert got == sorted(2 * [*3 * [(1, "a、b", "major", "重大")], (1, "a、b", "相互作用が報告されています。", "併用注意")] + [(1, "b、b", "same", "併用注意")])
+    assert reported_pairs.basket_findings(items, ids, reported_pairs.reported_pairs(lines.limit(0))).count() == 0
+
+
 def test_audit_files_may_gain_columns_and_fields(spark, tmp_path):
     rows = spark.sql("SELECT 's1' session_id, TIMESTAMP '2024-01-01 10:00:00' ts, array(named_struct('generic', 'g', 'atc', array('A'), 'secret', 'x')) items, array(named_struct('id', 'r1', 'severity', 'major')) major, CAST(NULL AS array<struct<id string>>) moderate")
     one = audit.audit_records(rows)

@@ -65,6 +65,13 @@ def test_texts_of_prescriptions_are_made_and_cut_once(spark, sf):
     assert "l_orderkey" not in plan and "split(" not in plan and "Window" not in plan
 
 
+def test_a_reported_pair_is_made_once_for_all_equal_reports(spark, sf):
+    plan = entry.queries()["reported_pair_findings"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1
+    copies, made = plan.split("Generate explode(sequence", 1)
+    assert "concat_ws" not in copies and "concat_ws" in made
+
+
 def test_items_are_not_shuffled_by_name_for_their_tags(spark, sf):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
