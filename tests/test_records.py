@@ -1,11 +1,15 @@
 import os
 import time
+from collections import Counter, defaultdict
+from itertools import combinations
 
+import __spark_entry__ as entry
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from basketry.operators import records, reported_pairs
+from basketry.plans.pool import POOL, baskets
 from basketry.sources import audit, store
 from basketry.streaming import typed
 
@@ -59,6 +63,31 @@ def test_each_of_equal_reports_is_a_row(spark):
     assert reported_pairs.basket_findings(items, ids, reported_pairs.reported_pairs(lines.limit(0))).count() == 0
 
 
+def test_all_items_and_pairs_of_a_basket_count(spark):
+    items = [(1, i, f"n{i}") for i in range(23)] + [(2, i, "x") for i in range(30)] + [(2, 30, "n1"), (2, 31, "n0")]
+    ids = spark.createDataFrame([(f"n{i}", f"D{i}") for i in range(23)], "name string, id string")
+    pairs = reported_pairs.basket_pairs(spark.createDataFrame(items, "rx_id int, pos int, name string"), ids).collect()
+    assert sorted((r.rx_id, r.x.name, r.y.name) for r in pairs) == sorted([(1, f"n{i}", f"n{j}") for i in range(23) for j in range(i + 1, 23)] + [(2, "n1", "n0")])
+
+
+def test_reported_pairs_of_all_baskets_are_found(spark, sf):
+    def number(name):
+        return POOL.index(name)
+
+    reports = Counter()
+    for (k,) in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect():
+        if k % 13 and k % 17:
+            reports[frozenset((k % len(POOL), (k * 7 + 3) % len(POOL)))] += 1
+    own = defaultdict(list)
+    for r in baskets(spark, sf).select("rx_id", "pos", "name").collect():
+        if number(r.name) % 5 != 4 and not any(w in r.name for w in reported_pairs.SKIPPED):
+            own[r.rx_id].append((r.pos, number(r.name)))
+    expected = Counter({k: sum(reports[frozenset((x, y))] for (_, x), (_, y) in combinations(sorted(v), 2)) for k, v in own.items()})
+    assert max(map(len, own.values())) > 7
+    got = entry.queries()["reported_pair_findings"](spark, sf).groupBy("rx_id").count().collect()
+    assert {r.rx_id: r["count"] for r in got} == dict(+expected)
+
+
 def test_audit_files_may_gain_columns_and_fields(spark, tmp_path):
     rows = spark.sql("SELECT 's1' session_id, TIMESTAMP '2024-01-01 10:00:00' ts, array(named_struct('generic', 'g', 'atc', array('A'), 'secret', 'x')) items, array(named_struct('id', 'r1', 'severity', 'major')) major, CAST(NULL AS array<struct<id string>>) moderate")
     one = audit.audit_records(rows)
