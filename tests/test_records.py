@@ -88,6 +88,18 @@ def test_reported_pairs_of_all_baskets_are_found(spark, sf):
     assert {r.rx_id: r["count"] for r in got} == dict(+expected)
 
 
+def test_many_equal_reports_are_handed_out_in_blocks(spark):
+    copies = {("D1", "D2"): 2900, ("D2", "D1"): 17, ("D1", "D3"): 128, ("D2", "D3"): 3}
+    lines = spark.createDataFrame([(f"{a}\t{b}\tmajor",) for (a, b), n in copies.items() for _ in range(n)], "value string")
+    items = spark.createDataFrame([(k, i, n) for k in (1, 2) for i, n in enumerate("abc")], "rx_id int, pos int, name string")
+    ids = spark.createDataFrame([("a", "D1"), ("b", "D2"), ("c", "D3")], "name string, id string")
+    found = reported_pairs.findings(items, ids, reported_pairs.reported_pairs(lines))
+    got = found.groupBy(*found.columns).count().collect()
+    assert sorted((r.rx_id, r.target_drugs, r["count"]) for r in got) == [(k, *x) for k in (1, 2) for x in (("a、b", 2917), ("a、c", 128), ("b、c", 3))]
+    assert found.columns == ["rx_id", "name", "target_drugs", "advice", "severity", "source"]
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_audit_files_may_gain_columns_and_fields(spark, tmp_path):
     rows = spark.sql("SELECT 's1' session_id, TIMESTAMP '2024-01-01 10:00:00' ts, array(named_struct('generic', 'g', 'atc', array('A'), 'secret', 'x')) items, array(named_struct('id', 'r1', 'severity', 'major')) major, CAST(NULL AS array<struct<id string>>) moderate")
     one = audit.audit_records(rows)
